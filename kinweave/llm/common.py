@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,14 +103,3 @@ def schema_of(spec: str):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(spec)
-
-
-def default_parallel(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def in_local_mode(spark: SparkSession) -> bool:
-    return spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-
-
-__all__ = [x for x in dir() if not x.startswith("_") and x not in ("annotations", "os")]
