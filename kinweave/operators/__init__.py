@@ -1 +1 @@
-
+"""Graph operators as DataFrame plans."""

@@ -1 +1 @@
-
+"""Crawl replay and caches on Structured Streaming."""
