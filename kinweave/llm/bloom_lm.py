@@ -189,10 +189,10 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     def top(most: int) -> tuple[np.ndarray, np.ndarray]:
         """Keys and counts of the most frequent tokens: whole levels, as many as fit, sorted by key."""
         least = _cut([{"level": r["level"], "items": r["keys"]} for r in by_level], most)
-        got = single.where(F.col("level") >= least).select("key", "n").toPandas()
-        key = got["key"].to_numpy().astype(np.int64).view(np.uint64)
+        got = single.where(F.col("level") >= least).select("key", "n").toArrow().combine_chunks()
+        key = got["key"].to_numpy().view(np.uint64)
         order = np.argsort(key)
-        return key[order], got["n"].to_numpy().astype(np.int64)[order]
+        return key[order], got["n"].to_numpy()[order]
 
     known_key, known_n = top(exact)
     order = np.lexsort((known_key, -known_n))[:vocabulary]
@@ -219,8 +219,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
 
     double = table(_counted(train, bigrams).groupBy("key").agg(F.sum("n").alias("n")).withColumn("level", level_of), "bigram-counts")
     followers = double.groupBy(F.shiftright("key", 32).alias("v")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()  # vocabulary rows at most
-    count_of = dict(zip(known_key.tolist(), known_n.tolist()))
-    context = np.array([count_of.get(w, 0) for w in words.tolist()], float)
+    at = np.minimum(np.searchsorted(known_key, words), max(0, len(known_key) - 1))
+    context = np.where(known_key[at] == words, known_n[at], 0).astype(float) if len(known_key) else np.zeros(len(words))
     distinct = context.copy()  # a follower outside the vocabulary counts as a kind of its own
     for r in followers:
         distinct[r["v"]] += r["kinds"] - r["n"]
