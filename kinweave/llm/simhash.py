@@ -232,7 +232,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, width: int = 2, parts: int = 4, leaf: int = 256) -> DataFrame:
-    """One row per document: id, fp (long), n_near (others linked directly), component_id (smallest id reachable).
+    """One row per document: id, fp (long), root (the same throughout a component), n_near (others linked directly), component_id (smallest id reachable).
 
     Only fingerprints leave the scan; texts are read once and never shuffled.
     """
@@ -243,5 +243,38 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = distinct.join(near, "fp", "left").join(roots, distinct["fp"] == roots["node"], "left").select("fp", "n", "low", "near", F.coalesce("root", "fp").alias("root"))
     found = table(found, "classes")
     least = found.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = found.join(least, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
-    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "n_near", "component_id")
+    classes = found.join(least, "root").select("fp", "root", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), "component_id")
+    return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "root", "n_near", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """df with one row of each component: one with the smallest id.
+
+    Rows are picked by id, so hot groups never meet in one task. Only rows that share their id with
+    another picked row (repeated ids, null ids) are told apart by their component.
+    """
+    found = table(near_duplicates(df, id_col, text_col, **options).withColumnRenamed(id_col, "__id"), "near-duplicates")
+    picked = found.where(F.col("__id").eqNullSafe(F.col("component_id")))
+    names = df.columns
+    held = df.join(picked.select("__id").distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
+    shared = picked.groupBy("__id").count().where(F.col("count") > 1).select("__id")
+    if shared.isEmpty():
+        return held
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
+    alone, rest = held.join(shared, same, "left_anti"), held.join(shared, same, "left_semi")
+    roots = picked.select("fp", "root").distinct()
+    one = with_fingerprint(rest, text_col, options.get("width", 2)).join(roots, F.col("__fp") == F.col("fp")).dropDuplicates([id_col, "root"])
+    return alone.unionByName(one.select(*(F.col(f"`{c}`") for c in names)))
+
+
+def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 2, seed: int = 42) -> DataFrame:
+    """df with a column __fp."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("long")
+    def fp(t):
+        import pandas as pd
+
+        return pd.Series(_fingerprints(t.tolist(), width, seed).view(np.int64))
+
+    return df.withColumn("__fp", fp(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
