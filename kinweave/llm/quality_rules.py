@@ -14,6 +14,7 @@ judged each by itself; an empty table gives an empty result; other columns are n
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,10 +25,37 @@ from pyspark.sql import functions as F
 
 from .common import WHITE, schema_of, ship, table
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, n_ends long, top_word long, n_digits long"
 _NAMES = [x.split()[0] for x in MEASURES.split(", ")]
-_NO_UPPER = {c: None for c in range(65, 91)}
+_UPPER, _LOWER = bytes(range(65, 91)), bytes(range(97, 123))
+_WIDE = re.compile("[^\x00-\x7f]")
+
+
+def _among(raw: bytes, chars: bytes) -> int:
+    return len(raw) - len(raw.translate(None, chars))
+
+
+def _repeats(number: np.ndarray, kinds: int) -> int:
+    """Words in windows of three that are found twice or more, given each word's number."""
+    if len(number) < 4:
+        return 0
+    if kinds < 1 << 20:
+        key = (number[:-2] * kinds + number[1:-1]) * kinds + number[2:]
+    else:
+        _, first = np.unique(number[:-1] * kinds + number[1:], return_inverse=True)
+        key = first[:-1] * kinds + number[2:]
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    if not same.any():
+        return 0
+    twice = np.zeros(len(key), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    flags = np.zeros(len(number), bool)
+    for k in range(3):
+        flags[k : len(number) - 2 + k] |= twice
+    return int(flags.sum())
 
 
 def measure(text: str | None) -> tuple[int, ...]:
@@ -35,42 +63,42 @@ def measure(text: str | None) -> tuple[int, ...]:
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
-    grams = list(zip(words, words[1:], words[2:]))
-    seen = Counter(grams)
-    repeated = 0
-    if len(seen) < len(grams):
-        flags = np.zeros(len(words), bool)
-        at = np.fromiter((seen[g] > 1 for g in grams), bool, len(grams))
-        for k in range(3):
-            flags[k : len(words) - 2 + k] |= at
-        repeated = int(flags.sum())
+    known: dict[bytes, int] = {}
+    number = np.array([known.setdefault(w, len(known)) for w in words], np.int64)
     lines = [x for x in raw.split(b"\n") if x.strip(WHITE)]
-    counts = Counter(words)
-    lower, upper = text.lower(), text.upper()
-    n_upper = sum(map(str.__ne__, text, lower)) if len(lower) == len(text) else sum(c.isupper() for c in text)
-    n_letters = n_upper + (sum(map(str.__ne__, text, upper)) if len(upper) == len(text) else sum(c.islower() for c in text))
+    n_upper, n_lower = _among(raw, _UPPER), _among(raw, _LOWER)
+    if len(raw) != len(text):
+        for c, n in Counter(_WIDE.findall(text)).items():
+            n_upper += n * c.isupper()
+            n_lower += n * c.islower()
     return (
         len(words),
-        len(text) - sum(text.count(chr(c)) for c in WHITE),
-        sum(text.count(c) for c in SYMBOLS),
+        len(text) - _among(raw, WHITE),
+        _among(raw, SYMBOLS),
         len(lines) - len(set(lines)),
-        repeated,
+        _repeats(number, len(known)),
         len(lines),
         n_upper,
-        n_letters,
-        len(counts),
-        sum(text.count(c) for c in ".!?"),
-        max(counts.values(), default=0),
-        sum(text.count(c) for c in "0123456789"),
+        n_upper + n_lower,
+        len(known),
+        _among(raw, b".!?"),
+        int(np.bincount(number).max()) if len(number) else 0,
+        _among(raw, b"0123456789"),
     )
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of figures per document, in one pass without a shuffle."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             cols = list(zip(*map(measure, b.column(1).to_pylist()))) or [[]] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["__id", *_NAMES])
 
@@ -182,7 +210,7 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     good = sorted(p for p, post in found.items() if post >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _slices(batches):
             cols = list(zip(*map(measure, b.column(b.schema.get_field_index("__text")).to_pylist()))) or [[]] * len(_NAMES)
             at = [i for i, n in enumerate(b.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), *(pa.array(c, pa.int64()) for c in cols)], names=[*(f"c{k}" for k in range(len(at))), *(f"m_{n}" for n in _NAMES)])
