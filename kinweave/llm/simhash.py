@@ -257,14 +257,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     picked = found.where(F.col("__id").eqNullSafe(F.col("component_id")))
     names = df.columns
     held = df.join(picked.select("__id").distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    shared = picked.groupBy("__id").count().where(F.col("count") > 1).select("__id")
+    per_id = found.groupBy("__id").agg(F.count("*").alias("n"), F.count_if(F.col("__id").eqNullSafe(F.col("component_id"))).alias("picked"))
+    shared = per_id.where("n > 1 and picked > 0").select("__id")
     if shared.isEmpty():
         return held
     same = F.col(f"`{id_col}`").eqNullSafe(F.col("__id"))
     alone, rest = held.join(shared, same, "left_anti"), held.join(shared, same, "left_semi")
-    roots = picked.select("fp", "root").distinct()
-    one = with_fingerprint(rest, text_col, options.get("width", 2)).join(roots, F.col("__fp") == F.col("fp")).dropDuplicates([id_col, "root"])
-    return alone.unionByName(one.select(*(F.col(f"`{c}`") for c in names)))
+    roots = picked.select("__id", F.col("fp").alias("__pfp"), F.col("root").alias("__root")).distinct()
+    one = with_fingerprint(rest, text_col, options.get("width", 2)).join(roots, same & (F.col("__fp") == F.col("__pfp")))
+    return alone.unionByName(one.dropDuplicates([id_col, "__root"]).select(*(F.col(f"`{c}`") for c in names)))
 
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 2, seed: int = 42) -> DataFrame:
