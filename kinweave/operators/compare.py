@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import effect_label, relative_difference, verdict
+from ..store import with_row
 
 
 def two_samples(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
@@ -27,7 +28,7 @@ def _table(both: DataFrame) -> DataFrame:
 def ks_statistic(both: DataFrame) -> DataFrame:
     t = _table(both)
     n = both.agg(F.sum((F.col("side") == "a").cast("long")).alias("ta"), F.sum((F.col("side") == "b").cast("long")).alias("tb"))
-    return t.join(F.broadcast(n)).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
+    return with_row(t, n).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"))
 
 
 def mann_whitney(both: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def representativeness(differences: DataFrame) -> DataFrame:
 def size_ratios(full: DataFrame, sub: DataFrame) -> DataFrame:
     """Nodes and edges of the part over those of the whole; both are one-row graph_counts."""
     f, s = full.select(F.col("nodes").alias("fn"), F.col("edges").alias("fe")), sub.select(F.col("nodes").alias("sn"), F.col("edges").alias("se"))
-    return f.join(s).select((F.col("sn") / F.col("fn")).alias("node_ratio"), (F.col("se") / F.col("fe")).alias("edge_ratio"))
+    return with_row(f, s).select((F.col("sn") / F.col("fn")).alias("node_ratio"), (F.col("se") / F.col("fe")).alias("edge_ratio"))
 
 
 def benchmark_rollup(runs: DataFrame) -> DataFrame:

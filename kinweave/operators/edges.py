@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..store import with_row
+
 
 def at_least(sim: Column, least: float, kind: str) -> Column:
     """Inclusive threshold; the literal takes the column's type, or 0.7 as a float would fall below 0.7."""
@@ -56,7 +58,7 @@ def pair_strength(edges: DataFrame) -> DataFrame:
 def local_degree(edges: DataFrame) -> DataFrame:
     """Edges at each node of a result graph, and the largest such number."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    return ends.join(F.broadcast(ends.agg(F.max("degree").alias("max_degree"))))  # one row
+    return with_row(ends, ends.agg(F.max("degree").alias("max_degree")))
 
 
 def induced_with_stats(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,7 +66,7 @@ def induced_with_stats(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, D
     inner = induced(edges, nodes)
     before = edges.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").agg(F.count("*").alias("edges_before"))
     after = inner.agg(F.count("*").alias("edges_kept"), F.count_distinct("src").alias("sources_kept"))
-    stats = before.join(after).withColumns({
+    stats = with_row(before, after).withColumns({
         "preserved": F.when(F.col("edges_before") > 0, F.col("edges_kept") / F.col("edges_before")).otherwise(0.0),
         "average_degree": F.when(F.col("sources_kept") > 0, F.col("edges_kept") / F.col("sources_kept")).otherwise(0.0),
     })

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import layer_of
-from ..store import table
+from ..store import counted, table
 from .paths import _ids, distances
+from .small import LOCAL_EDGES, frame, small
 
 
 def induced_view(view: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -16,7 +18,7 @@ def induced_view(view: DataFrame, nodes: DataFrame) -> DataFrame:
     return inner.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("sim").alias("similarity"))
 
 
-def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int) -> DataFrame:
+def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int, local: bool | None = None) -> DataFrame:
     """(id, similarity, layer, ord): the first `budget` nodes in order of discovery.
 
     The order is (layer, place of the discoverer, rank in its list); only nodes with a list of their own,
@@ -24,6 +26,10 @@ def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int) -> Dat
     still allows before it is numbered, so no task sees more rows than the budget.
     """
     spark = view.sparkSession
+    held = small(view, local)
+    if held is not None and owners.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
+        rows = held.explore(center, budget, {r["id"] for r in owners.select("id").collect()})
+        return frame(spark, rows, ["id", "similarity", "layer", "ord"], [held.kind, pa.float64(), pa.int32(), pa.int64()])
     levels = [table(_ids(spark, view, center).select("id", F.lit(1.0).alias("similarity"), F.lit(0).alias("layer"), F.lit(0).cast("long").alias("ord")), "explored")]
     found = 1
     while found < budget:
@@ -31,13 +37,12 @@ def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int) -> Dat
         for x in levels[1:]:
             seen = seen.unionByName(x)
         frontier = levels[-1].select(F.col("id").alias("src"), F.col("ord").alias("parent"))
-        reached = view.join(F.broadcast(frontier), "src")  # no more rows than the budget
-        reached = reached.join(F.broadcast(seen.select(F.col("id").alias("dst"))), "dst", "left_anti").join(owners.select(F.col("id").alias("dst")), "dst", "left_semi")
+        reached = view.join(frontier, "src")
+        reached = reached.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").join(owners.select(F.col("id").alias("dst")), "dst", "left_semi")
         first = reached.groupBy("dst").agg(F.min(F.struct("parent", "rk", F.col("sim").cast("double").alias("sim"))).alias("m"))
         cut = first.select(F.col("dst").alias("id"), F.col("m.sim").alias("similarity"), F.col("m.parent"), F.col("m.rk")).orderBy("parent", "rk").limit(budget - found)
         numbered = cut.withColumn("ord", F.row_number().over(Window.orderBy("parent", "rk")) + F.lit(found - 1))
-        fresh = table(numbered.select("id", "similarity", F.lit(len(levels)).alias("layer"), F.col("ord").cast("long")), "explored")
-        n = fresh.count()
+        fresh, n = counted(numbered.select("id", "similarity", F.lit(len(levels)).alias("layer"), F.col("ord").cast("long")), "explored")
         if not n:
             break
         levels.append(fresh)
@@ -48,13 +53,13 @@ def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int) -> Dat
     return out
 
 
-def explore_weighted(view: DataFrame, center, budget: int) -> DataFrame:
+def explore_weighted(view: DataFrame, center, budget: int, local: bool | None = None) -> DataFrame:
     """(id, similarity, layer): the `budget` nearest nodes by summed 1 - similarity; budget 0 is empty."""
     start = _ids(view.sparkSession, view, center)
     if budget <= 0:
         near = start.select("id", F.lit(0).cast("long").alias("c")).limit(0)
     else:
-        near = distances(view, start, nearest=budget).orderBy("c", "id").limit(budget)
+        near = distances(view, start, nearest=budget, local=local).orderBy("c", "id").limit(budget)
     same = F.col("id") == F.lit(center)
     return near.select("id", F.round(F.lit(1.0) - F.col("c") / 1_000_000_000, 9).alias("similarity"), F.when(same, 0).otherwise(layer_of(F.col("c"))).alias("layer"))
 

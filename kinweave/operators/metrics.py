@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import with_row
+
 
 def owners(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).distinct()
@@ -71,7 +73,7 @@ def fit_curve(fit: DataFrame, degrees: DataFrame, column: str, points: int = 50)
     span = degrees.where(F.col(column) > 0).agg(F.log10(F.min(column).cast("double")).alias("lo"), F.log10(F.max(column).cast("double")).alias("hi"))
     at = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("k")
     grid = span.select("lo", "hi", at).select("k", F.pow(F.lit(10.0), F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / (points - 1)).alias("x"))
-    return grid.join(F.broadcast(fit)).select("k", "x", (F.pow(F.lit(10.0), "intercept") * F.pow(F.col("x"), -F.col("alpha"))).alias("y"))
+    return with_row(grid, fit.select("intercept", "alpha")).select("k", "x", (F.pow(F.lit(10.0), "intercept") * F.pow(F.col("x"), -F.col("alpha"))).alias("y"))
 
 
 def bins(values: DataFrame, column: str, number: int = 50) -> DataFrame:
@@ -80,7 +82,7 @@ def bins(values: DataFrame, column: str, number: int = 50) -> DataFrame:
     span = values.agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / number
     k = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((x - F.col("lo")) / width), F.lit(number - 1))).otherwise(0).cast("int")
-    marked = values.join(F.broadcast(span)).select(k.alias("bin"), "lo", width.alias("w"))
+    marked = with_row(values, span).select(k.alias("bin"), "lo", width.alias("w"))
     return marked.groupBy("bin").agg(F.count("*").alias("count"), F.first("lo").alias("lo"), F.first("w").alias("w")).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("low"), "count")
 
 
@@ -97,7 +99,8 @@ def evenly_spaced(values: DataFrame, order: str, most: int = 1000) -> DataFrame:
     from pyspark.sql import Window
 
     n = values.agg(F.count("*").alias("n"))
-    ranked = values.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1).join(F.broadcast(n))
+    ranked = values.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = with_row(ranked, n)
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(most - 1)))
     return ranked.where((F.col("n") <= most) | F.array_contains(picks, F.col("k").cast("long"))).drop("n", "k")
 

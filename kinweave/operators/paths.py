@@ -7,18 +7,23 @@ Among optimal paths the one that follows forward lists longest is taken, then at
 strongest edge, then the smallest id.
 
 A sweep is a loop of one job a level; each level is a table of its own, so plans stay small and
-nothing of it is lost with an executor.
+nothing of it is lost with an executor. Views that are small, as counted, are searched in memory instead
+(see small.py) with the same result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.values import cost
-from ..store import table
+from ..store import counted
+from .small import LOCAL_EDGES, UNIT, frame, small
 
 
 @dataclass
@@ -34,34 +39,37 @@ class HopSweep:
 
     def __init__(self, view: DataFrame, start: DataFrame):
         self.view = view.select("src", "dst").where("src != dst")
-        self.levels = [table(start.select("id").distinct(), "level")]
-        self.done = self.levels[0].isEmpty()
+        first, n = counted(start.select("id", F.lit(0).alias("level")).distinct(), "level")
+        self.levels = [first]
+        self.done = n == 0
 
     @property
     def depth(self) -> int:
         return len(self.levels) - 1
 
     def visited(self) -> DataFrame:
-        out = None
-        for k, x in enumerate(self.levels):
-            x = x.select("id", F.lit(k).alias("level"))
-            out = x if out is None else out.unionByName(x)
-        return out
+        spark = self.levels[0].sparkSession
+        return spark.read.schema(self.levels[0].schema).parquet(*(f for x in self.levels for f in x.inputFiles()))
 
     def advance(self) -> bool:
         if self.done:
             return False
-        reached = self.view.join(self.levels[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct()
-        fresh = table(reached.join(self.visited(), "id", "left_anti"), "level")
-        if fresh.isEmpty():
+        reached = self.view.join(self.levels[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+        fresh = reached.join(self.visited().select("id"), "id", "left_anti").distinct().select("id", F.lit(len(self.levels)).alias("level"))
+        fresh, n = counted(fresh, "level")
+        if not n:
             self.done = True
             return False
         self.levels.append(fresh)
         return True
 
 
-def hop_levels(view: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+def hop_levels(view: DataFrame, start: DataFrame, most: int | None = None, local: bool | None = None) -> DataFrame:
     """(id, level) of every node within reach of start(id)."""
+    held = small(view, local)
+    if held is not None and start.count() <= LOCAL_EDGES:
+        rows = list(held.levels([r["id"] for r in start.select("id").collect()], most).items())
+        return frame(view.sparkSession, rows, ["id", "level"], [held.kind, pa.int32()])
     sweep = HopSweep(view, start)
     while (most is None or sweep.depth < most) and sweep.advance():
         pass
@@ -76,15 +84,30 @@ def step_cost(sim: Column) -> Column:
     return F.greatest(cost(sim), F.lit(0)) * F.lit(HOPS) + 1
 
 
-def distances(view: DataFrame, start: DataFrame, bound: int | None = None, nearest: int | None = None, stop_at=None, hops: bool = False) -> DataFrame:
+def _steps(hops: bool):
+    """step_cost or the plain cost, of a number."""
+    units = lambda w: 0 if w != w else max(0, floor_half_up((1.0 - w) * UNIT))
+    return (lambda w: units(w) * HOPS + 1) if hops else units
+
+
+def floor_half_up(x: float) -> int:
+    """What round() does in SQL: halves away from zero, judged on the shortest decimal form."""
+    return int(Decimal(repr(x)).quantize(Decimal(1), ROUND_HALF_UP))
+
+
+def distances(view: DataFrame, start: DataFrame, bound: int | None = None, nearest: int | None = None, stop_at=None, hops: bool = False, local: bool | None = None) -> DataFrame:
     """(id, c): least cost in billionths from start(id), by rounds of relaxation; with `hops` times HOPS plus hops.
 
     Only nodes whose distance fell last round are expanded. With `nearest`, nodes further than the
     nearest-th tentative distance are not expanded, as they cannot bring in a nearer one.
     """
+    held = small(view, local)
+    if held is not None and start.count() <= LOCAL_EDGES:
+        rows = list(held.costs([r["id"] for r in start.select("id").collect()], _steps(hops)).items())
+        return frame(view.sparkSession, rows, ["id", "c"], [held.kind, pa.int64()])
     edges = view.where("src != dst").select("src", "dst", (step_cost(F.col("sim")) if hops else F.greatest(cost(F.col("sim")), F.lit(0))).alias("w"))
-    state = table(start.select("id", F.lit(0).cast("long").alias("c"), F.lit(True).alias("fresh")).distinct(), "distances")
-    while True:
+    state, open_ = counted(start.select("id", F.lit(0).cast("long").alias("c"), F.lit(True).alias("fresh")).distinct(), "distances")
+    while open_:
         frontier = state.where("fresh")
         limit = bound
         if nearest is not None:
@@ -95,12 +118,11 @@ def distances(view: DataFrame, start: DataFrame, bound: int | None = None, neare
             limit = at if at is not None and (limit is None or at < limit) else limit
         if limit is not None:
             frontier = frontier.where(F.col("c") <= limit)
-        if frontier.isEmpty():
-            return state.select("id", "c")
         reached = edges.join(frontier.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("c") + F.col("w")).alias("new"))
         joined = state.select("id", "c").join(reached, "id", "full_outer")
         better = F.col("new").isNotNull() & (F.col("c").isNull() | (F.col("new") < F.col("c")))
-        state = table(joined.select("id", F.when(better, F.col("new")).otherwise(F.col("c")).alias("c"), better.alias("fresh")), "distances")
+        state, open_ = counted(joined.select("id", F.when(better, F.col("new")).otherwise(F.col("c")).alias("c"), better.alias("fresh")), "distances", F.col("fresh"))
+    return state.select("id", "c")
 
 
 def _ids(spark: SparkSession, like: DataFrame, node) -> DataFrame:
@@ -113,12 +135,9 @@ def _has(graph: Graph, node) -> bool:
     return not graph.forward.where(same).isEmpty() or not graph.reverse.where(same).isEmpty()
 
 
-PATH = "step int, id {}, similarity double"
-
-
 def _rows(spark: SparkSession, graph: Graph, steps: list[tuple]) -> DataFrame:
-    kind = graph.forward.schema["src"].dataType.simpleString()
-    return spark.createDataFrame([(k, i, None if s is None else float(s)) for k, (i, s) in enumerate(steps)], PATH.format(kind))
+    kind = to_arrow_type(graph.forward.schema["src"].dataType)
+    return frame(spark, [(k, i, None if s is None else float(s)) for k, (i, s) in enumerate(steps)], ["step", "id", "similarity"], [pa.int32(), kind, pa.float64()])
 
 
 def _walk(view: DataFrame, known: DataFrame, node, at: int, weighted: bool) -> list[tuple]:
@@ -143,9 +162,27 @@ def _join_halves(front: list[tuple], back: list[tuple]) -> list[tuple]:
     return path
 
 
-def hop_path(graph: Graph, start, target) -> DataFrame:
+def _small_path(graph: Graph, start, target, weighted: bool, local: bool | None) -> list[tuple] | None:
+    """Steps of the path within views that are held in memory, [] without one; None if a view is too large."""
+    ahead, behind = small(graph.forward, local), small(graph.reverse, local)
+    if ahead is None or behind is None:
+        return None
+    if start == target:
+        return [(start, None)] if start in ahead or start in behind else []
+    step = _steps(True) if weighted else lambda w: 1
+    front, back = (v.costs([n], step) if weighted else v.levels([n]) for v, n in ((ahead, start), (behind, target)))
+    m = min(((c + back[n], -c, n) for n, c in front.items() if n in back), default=None)
+    if m is None:
+        return []
+    return _join_halves(ahead.walk(front, m[2], -m[1], step), behind.walk(back, m[2], back[m[2]], step))
+
+
+def hop_path(graph: Graph, start, target, local: bool | None = None) -> DataFrame:
     """(step, id, similarity) of a shortest path by hops; no rows if there is none."""
     spark = graph.forward.sparkSession
+    found = _small_path(graph, start, target, False, local)
+    if found is not None:
+        return _rows(spark, graph, found)
     if start == target:
         return _rows(spark, graph, [(start, None)] if _has(graph, start) else [])
     front, back = HopSweep(graph.forward, _ids(spark, graph.forward, start)), HopSweep(graph.reverse, _ids(spark, graph.forward, target))
@@ -166,14 +203,17 @@ def hop_path(graph: Graph, start, target) -> DataFrame:
     return _rows(spark, graph, _join_halves(a, b))
 
 
-def weighted_path(graph: Graph, start, target) -> DataFrame:
+def weighted_path(graph: Graph, start, target, local: bool | None = None) -> DataFrame:
     """(step, id, similarity) of a path of least total 1 - similarity, and of these with fewest hops; no rows if there is none."""
     spark = graph.forward.sparkSession
+    found = _small_path(graph, start, target, True, local)
+    if found is not None:
+        return _rows(spark, graph, found)
     if start == target:
         return _rows(spark, graph, [(start, None)] if _has(graph, start) else [])
-    front = distances(graph.forward, _ids(spark, graph.forward, start), stop_at=target, hops=True)
+    front = distances(graph.forward, _ids(spark, graph.forward, start), stop_at=target, hops=True, local=False)
     direct = front.where(F.col("id") == F.lit(target)).agg(F.min("c")).first()[0]
-    back = distances(graph.reverse, _ids(spark, graph.forward, target), bound=direct, hops=True)
+    back = distances(graph.reverse, _ids(spark, graph.forward, target), bound=direct, hops=True, local=False)
     meet = front.join(back.withColumnRenamed("c", "rest"), "id").withColumn("total", F.col("c") + F.col("rest"))
     m = meet.orderBy("total", F.col("c").desc(), "id").first()
     if m is None:

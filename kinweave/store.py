@@ -6,7 +6,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
+    """A table and how many of its rows there are (for which `what` holds), counted by the job that writes it."""
+    seen = Observation()
+    n = F.count(F.lit(1)) if what is None else F.count_if(what)
+    out = table(df.observe(seen, n.alias("n")), name)
+    return out, int(seen.get["n"])
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """df with the columns of a one-row DataFrame, by a scalar subquery: no join."""
+    one = row.select(F.struct(*(F.col(f"`{c}`") for c in row.columns)).alias("r"))
+    return df.withColumn("__row", one.scalar()).select(*(F.col(f"`{c}`") for c in df.columns), "__row.*")
+
+
 _built: dict[tuple[str, str, str], DataFrame] = {}
 
 

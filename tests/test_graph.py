@@ -25,36 +25,41 @@ def ids(path):
     return [r["id"] for r in path.orderBy("step").collect()]
 
 
-def test_hop_path(spark):
+@pytest.fixture(params=[None, False], ids=["in memory", "distributed"])
+def local(request):
+    return request.param
+
+
+def test_hop_path(spark, local):
     g = graph(spark, QUAD)
-    rows = paths.hop_path(g, "T", "B").orderBy("step").collect()
+    rows = paths.hop_path(g, "T", "B", local).orderBy("step").collect()
     assert [(r["id"], r["similarity"]) for r in rows] == [("T", None), ("O", 1.0), ("B", 0.8)]
-    assert ids(paths.hop_path(g, "T", "T")) == ["T"]
-    assert ids(paths.hop_path(g, "T", "nobody")) == []
-    assert ids(paths.hop_path(g, "nobody", "nobody")) == []
-    assert ids(paths.hop_path(graph(spark, PENTA), "A", "C")) == ["A", "B", "C"]
+    assert ids(paths.hop_path(g, "T", "T", local)) == ["T"]
+    assert ids(paths.hop_path(g, "T", "nobody", local)) == []
+    assert ids(paths.hop_path(g, "nobody", "nobody", local)) == []
+    assert ids(paths.hop_path(graph(spark, PENTA), "A", "C", local)) == ["A", "B", "C"]
 
 
-def test_weighted_path(spark):
-    assert ids(paths.weighted_path(graph(spark, DIAMOND), "Alice", "Dave")) == ["Alice", "Charlie", "Dave"]
-    assert ids(paths.weighted_path(graph(spark, DIAMOND, 0.75), "Alice", "Dave")) == []
+def test_weighted_path(spark, local):
+    assert ids(paths.weighted_path(graph(spark, DIAMOND), "Alice", "Dave", local)) == ["Alice", "Charlie", "Dave"]
+    assert ids(paths.weighted_path(graph(spark, DIAMOND, 0.75), "Alice", "Dave", local)) == []
 
 
 @pytest.mark.parametrize(("budget", "least", "want"), [(2, 0.0, [("T", 1.0, 0), ("O", 1.0, 1)]), (4, 0.0, [("T", 1.0, 0), ("O", 1.0, 1), ("B", 0.8, 2), ("F", 1.0, 3)]), (4, 0.9, [("T", 1.0, 0), ("O", 1.0, 1)]), (0, 0.0, [("T", 1.0, 0)])])
-def test_explore_hops(spark, budget, least, want):
+def test_explore_hops(spark, local, budget, least, want):
     v = graph(spark, QUAD, least).forward
-    nodes = explore.explore_hops(v, metrics.owners(v), "T", budget)
+    nodes = explore.explore_hops(v, metrics.owners(v), "T", budget, local)
     assert [(r["id"], r["similarity"], r["layer"]) for r in nodes.orderBy("ord").collect()] == want
     if budget == 4 and not least:
         assert explore.induced_view(v, nodes).count() == 6
 
 
-def test_explore_weighted(spark):
+def test_explore_weighted(spark, local):
     # similarities are single precision in files: 1 - 0.8 lies just below 0.2, within the first ring
     v = edges.top_edges(frame(spark, QUAD).selectExpr("src", "dst", "cast(sim as float) as sim"))
-    got = {(r["id"], round(r["similarity"], 6), r["layer"]) for r in explore.explore_weighted(v, "T", 4).collect()}
+    got = {(r["id"], round(r["similarity"], 6), r["layer"]) for r in explore.explore_weighted(v, "T", 4, local).collect()}
     assert got == {("T", 1.0, 0), ("O", 1.0, 1), ("B", 0.8, 1), ("F", 0.8, 1)}
-    assert explore.explore_weighted(v, "T", 0).count() == 0
+    assert explore.explore_weighted(v, "T", 0, local).count() == 0
 
 
 def test_explore_reverse(spark):
@@ -65,11 +70,11 @@ def test_explore_reverse(spark):
     assert {tuple(r) for r in flipped.collect()} == {("B", "F", 1.0), ("B", "O", 0.8), ("F", "B", 1.0), ("O", "B", 0.8)}
 
 
-def test_only_owners_are_discovered(spark):
+def test_only_owners_are_discovered(spark, local):
     v = graph(spark, [("A", "B", 1.0), ("A", "C", 0.9), ("C", "A", 0.9)]).forward
-    got = explore.explore_hops(v, metrics.owners(v), "A", 10)
+    got = explore.explore_hops(v, metrics.owners(v), "A", 10, local)
     assert {r["id"] for r in got.collect()} == {"A", "C"}
-    assert {r["id"] for r in explore.explore_weighted(v, "A", 10).collect()} == {"A", "B", "C"}
+    assert {r["id"] for r in explore.explore_weighted(v, "A", 10, local).collect()} == {"A", "B", "C"}
 
 
 def test_neighborhood(spark):
@@ -145,8 +150,14 @@ def test_random_graphs(spark, seed):
     for weighted, find in ((False, paths.hop_path), (True, paths.weighted_path)):
         want = brute(rows, 2, "n0", "n7", weighted)
         got = find(g, "n0", "n7").orderBy("step").collect()
+        assert got == find(g, "n0", "n7", local=False).orderBy("step").collect()
         assert bool(got) == (want is not None)
         if got:
             assert (got[0]["id"], got[-1]["id"]) == ("n0", "n7")
             cost = sum(round((1 - r["similarity"]) * 1e9) for r in got[1:]) if weighted else len(got) - 1
             assert (cost, len(got) - 1) == want
+    start = spark.createDataFrame([("n0",)], "id string")
+    for f in (paths.hop_levels, paths.distances):
+        assert sorted(f(g.forward, start).collect()) == sorted(f(g.forward, start, local=False).collect())
+    one, two = (explore.explore_hops(g.forward, metrics.owners(g.forward), "n0", 6, x).orderBy("ord").collect() for x in (None, False))
+    assert one == two
