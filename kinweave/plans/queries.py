@@ -230,6 +230,11 @@ def top_nodes_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- names
 
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "part-names", lambda: search.name_index(adapters.parts(spark, sf_dir)))
+
+
 _CLEAN = "lower(strip_accents(trim(regexp_replace({}, '\\s+', ' ', 'g'))))"
 
 
@@ -240,18 +245,18 @@ def clean_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT {_CLEAN.format('p_name')} AS clean, count(DISTINCT p_partkey) AS n, min(p_partkey) AS first FROM part GROUP BY 1")
 def name_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.lookup(search.name_index(adapters.parts(spark, sf_dir))).select("clean", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"))
+    return search.lookup(_names(spark, sf_dir)).select("clean", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first"))
 
 
 @query(f"WITH q AS (SELECT DISTINCT upper(p_name) AS query FROM part) SELECT query, id, name FROM (SELECT query, p_partkey AS id, p_name AS name, row_number() OVER (PARTITION BY query ORDER BY (lower(p_name) = lower(query)) DESC, p_partkey) AS k FROM q JOIN part ON {_CLEAN.format('p_name')} = {_CLEAN.format('query')}) WHERE k = 1")
 def name_resolve_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = adapters.parts(spark, sf_dir)
-    return search.by_name(search.name_index(p), p.select(F.upper("name").alias("query")).distinct())
+    return search.by_name(_names(spark, sf_dir), p.select(F.upper("name").alias("query")).distinct())
 
 
 @query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY (lower(p_name) = 'ring') DESC, (lower(p_name) = 'ring') DESC, starts_with(lower(p_name), 'ring') DESC, strlen(p_name), p_partkey LIMIT 25")
 def name_search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(search.name_index(adapters.parts(spark, sf_dir)), "Ring", 25).select("id", "name")
+    return search.search(_names(spark, sf_dir), "Ring", 25).select("id", "name")
 
 
 @query("SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', CAST((instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 AS INTEGER) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) END AS uid FROM (SELECT s_suppkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('https://supplier.example/' || s_suppkey)) AS h FROM supplier)")
