@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,14 +26,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or in local mode one of our own."""
+    """This application's folder in spark.checkpoint.dir; where that is unset, in local mode only, in a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='kinweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
-    return at
+    own = f"{at.rstrip('/')}/kinweave-{spark.sparkContext.applicationId}"
+    if own not in _dirs:
+        _dirs.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        atexit.register(_remove, path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
+    return own
+
+
+_dirs: set[str] = set()
+
+
+def _remove(path, fs) -> None:
+    """Clear an application's tables when its driver ends."""
+    try:
+        fs.delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone already
+        pass
 
 
 def table(df: DataFrame, name: str) -> DataFrame:

@@ -339,9 +339,10 @@ def labelled_pages(count: int = 800, seed: int = 5) -> list[tuple[list[list[str]
                 paragraphs.append(f"<p>{body}</p>" if rng.random() < 0.85 else f"<div>{body}</div>" if rng.random() < 0.5 else f"<p>{body}<br>")
         head = f"<h1>{say(main, words(int(rng.integers(1, 10)), lang).capitalize())}</h1>" if rng.random() < 0.75 else ""
         inside = "".join(paragraphs)
-        if rng.random() < 0.25 and len(paragraphs) > 2:
-            inside = "".join(paragraphs[:2]) + junk(pick("ad share form sidebar notice")) + "".join(paragraphs[2:])
-        if rng.random() < 0.12:
+        if rng.random() < 0.5 and len(paragraphs) > 1:
+            cut = int(rng.integers(1, len(paragraphs)))
+            inside = "".join(paragraphs[:cut]) + junk(pick("ad ad ad share form sidebar notice")) + "".join(paragraphs[cut:])
+        if rng.random() < 0.15:
             inside += junk(pick("comments share ad"))
         form = rng.random()
         if semantic:
