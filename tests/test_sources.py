@@ -94,3 +94,21 @@ def test_state_and_streams(spark, tmp_path):
     q = crawl.stream_entities(spark, f"{tmp_path}/ents", f"{tmp_path}/ents-out", f"{tmp_path}/cp2", {"availableNow": True})
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/ents-out").count() == 1
+
+
+def test_service_answers(spark):
+    from kinweave.sources import service
+
+    body = json.dumps({"similarartists": {"artist": [{"name": "x", "mbid": B, "url": "u", "match": "0.5"}, {"name": "y", "mbid": "", "url": "https://a/y", "match": "1"}, {"name": "z", "match": "1"}]}})
+    df = spark.createDataFrame([(A, body), (B, '{"error": 6}'), (C, "broken")], "id string, body string")
+    got = [(r["dst"], r["sim"], r["pos"]) for r in service.similar(df).orderBy("pos").collect()]
+    assert got == [(B, 0.5, 0), (str(uuid.uuid5(uuid.NAMESPACE_URL, "https://a/y")), 1.0, 1)]
+    body = json.dumps({"artist": {"name": "x", "url": "u", "image": [{"#text": "s", "size": "small"}, {"#text": "", "size": "large"}], "stats": {"listeners": "5", "playcount": "9"}, "tags": {"tag": [{"name": "pop"}]}, "bio": {"summary": "Hi. Read more on Last.fm", "content": ""}}})
+    row = service.info(spark.createDataFrame([(A, body), (B, '{"error": 6}')], "id string, body string")).orderBy("id").collect()
+    assert row[0]["lastfm"].asDict() == {"url": "u", "image_url": None, "listeners": "5", "playcount": "9", "tags": ["pop"], "bio_summary": "Hi.", "bio_full": None}
+    assert row[1]["lastfm"] is None
+    body = json.dumps({"toptracks": {"track": [{"name": f"t{k}", "url": "u", "playcount": "1", "listeners": "2"} for k in range(7)]}})
+    t = service.tracks(spark.createDataFrame([(A, body)], "id string, body string"))
+    assert t.count() == 5
+    found = service.preview(spark.createDataFrame([(A, "t0", '{"results": [{"previewUrl": "p"}]}', 0), (A, "t1", '{"results": []}', 1)], "id string, name string, body string, n int"))
+    assert {(r["name"], r["preview_url"]) for r in search.zip_previews(t.where("name in ('t0', 't1', 't2')"), found).collect()} == {("t0", "p"), ("t1", None), ("t2", None)}
