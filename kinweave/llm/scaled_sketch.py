@@ -118,11 +118,10 @@ def _at_most(x: Column, cuts: list[float]) -> Column:
     if not cuts:
         return F.lit(0)
     size = max(1, int(len(cuts) ** 0.5))
-    groups = [cuts[i : i + size] for i in range(0, len(cuts), size)]
+    every, heads = F.lit(np.array(cuts, float)), F.lit(np.array(cuts[::size], float))
     count = lambda array: F.size(F.filter(array, lambda c: c <= x))
-    heads = count(F.array(*(F.lit(float(g[0])) for g in groups)))
-    inner = F.array(*(F.array(*(F.lit(float(c)) for c in g)) for g in groups))
-    return F.when(heads == 0, 0).otherwise((heads - 1) * size + count(F.element_at(inner, F.greatest(heads, F.lit(1)))))
+    k = count(heads)
+    return F.when(k == 0, 0).otherwise((k - 1) * size + count(F.slice(every, F.greatest(k - 1, F.lit(0)) * size + 1, size)))
 
 
 def in_order(df: DataFrame, id_col: str, text_col: str, partitions: int) -> DataFrame:

@@ -89,7 +89,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 class VantageTree:
     """A complete tree of vantage values over one block of bits; leaves are numbered from 0."""
 
-    def __init__(self, values: np.ndarray, depth: int, seed: int):
+    def __init__(self, values: np.ndarray, depth: int, seed: int, bits: int = 16):
         self.depth = depth
         inner = (1 << depth) - 1
         self.vantage, self.median = np.zeros(inner, np.uint64), np.zeros(inner, np.int64)
@@ -97,12 +97,12 @@ class VantageTree:
         bags = {0: values}
         for node in range(inner):
             bag = bags.pop(node, values[:0])
-            best = (2.0, np.uint64(0), 0)
-            for v in rng.choice(bag, 8) if len(bag) else [np.uint64(0)]:
+            best = (2.0, rng.integers(0, 1 << bits, dtype=np.uint64), bits // 2 - int(rng.integers(2)))
+            for v in rng.choice(bag, 8) if len(bag) >= 8 else ():
                 d = np.bitwise_count(bag ^ v).astype(np.int64)
-                m = int(np.median(d)) if len(d) else 0
+                m = int(np.median(d))
                 for cut in (m - 1, m):
-                    share = abs(float((d <= cut).mean()) - 0.5) if len(d) else 0.5
+                    share = abs(float((d <= cut).mean()) - 0.5)
                     if share < best[0]:
                         best = (share, v, cut)
             self.vantage[node], self.median[node] = best[1], best[2]
@@ -173,21 +173,23 @@ def _search(fp: np.ndarray, n: np.ndarray, home: np.ndarray, part: int, layout:
     return sums, pairs[:, 0], pairs[:, 1]
 
 
-def links(distinct: DataFrame, radius: int = 6, parts: int = 4, leaf: int = 256, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
+def links(distinct: DataFrame, radius: int = 6, parts: int | None = None, leaf: int = 256, sample: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Of a table of distinct (fp, n): (fp, near) with the documents linked to each, and forest edges (u, v).
 
     The trees' medians come from a bounded sample of `sample` fingerprints; that shapes the shards
-    only, as any tree gives the same pairs. Past 2**24 fingerprints use parts=3, past 2**32 parts=2.
+    only, as any tree gives the same pairs. More fingerprints call for longer blocks, whose trees can be
+    deeper: `parts` is 4 up to 2**24 of them, 3 up to 2**32 and then 2.
     """
     spark = distinct.sparkSession
     ship(spark)
     total = distinct.count()
+    parts = parts or (4 if total <= 1 << 24 else 3 if total <= 1 << 32 else 2)
     reach, layout = radius // parts, blocks_of(parts)
     depth = 0
-    while total > leaf << depth and depth < 14:
+    while total > leaf << depth and depth < {4: 14, 3: 18}.get(parts, 20):
         depth += 1
     seen = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(sample).toPandas()["fp"].to_numpy().astype(np.int64).view(np.uint64)
-    trees = spark.sparkContext.broadcast([VantageTree(_block(seen, *layout[k]), depth, k) for k in range(parts)])
+    trees = spark.sparkContext.broadcast([VantageTree(_block(seen, *layout[k]), depth, k, layout[k][1].bit_length()) for k in range(parts)])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -231,7 +233,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, width: int = 2, parts: int = 4, leaf: int = 256) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, width: int = 2, parts: int | None = None, leaf: int = 256) -> DataFrame:
     """One row per document: id, fp (long), root (the same throughout a component), n_near (others linked directly), component_id (smallest id reachable).
 
     Only fingerprints leave the scan; texts are read once and never shuffled.
