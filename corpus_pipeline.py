@@ -21,9 +21,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go; a document that loses all of them goes too."""
-    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_docs=10)
-    out = out.where((F.col("__n_dropped") == 0) | (F.length(F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))) > 0))
+    """Lines found in ten documents or more go.
+
+    A document that would lose over 30 % is one of a group of copies, not a text with boilerplate. It stays
+    whole: the next stage keeps one of its group, and would not know the group without the lines they share.
+    """
+    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_docs=10, max_share=0.3)
     return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

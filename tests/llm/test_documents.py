@@ -57,18 +57,25 @@ def small(spark):
 # --- line dedup
 
 
-def brute_lines(texts, least):
+def brute_lines(texts, least, share=1.0):
     key = lambda x: x.strip(WS).translate({c: c + 32 for c in range(65, 91)})
     split = {d: (t or "").split("\n") for d, t in texts.items()}
     seen = Counter(k for ls in split.values() for k in {key(x) for x in ls} if k)
-    return {d: (len(ls), sum(seen[key(x)] >= least for x in ls), "\n".join(x for x in ls if seen[key(x)] < least)) for d, ls in split.items()}
+    out = {}
+    for d, ls in split.items():
+        gone = [seen[key(x)] >= least for x in ls]
+        size = [len(key(x).encode()) for x in ls]
+        if share < 1 and sum(n for n, g in zip(size, gone) if g) > share * sum(size):
+            gone = [False] * len(ls)
+        out[d] = (len(ls), sum(gone), "\n".join(x for x, g in zip(ls, gone) if not g))
+    return out
 
 
 @pytest.mark.parametrize("bound", [64 << 20, 0])
-@pytest.mark.parametrize("least", [1, 2, 10])
-def test_lines(messy, bound, least):
-    got = {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in line_dedup.line_dedup(messy, min_docs=least, broadcast_bytes=bound, keys_per_shard=16).collect()}
-    assert got == brute_lines(texts_of(messy), least)
+@pytest.mark.parametrize(("least", "share"), [(1, 1.0), (2, 1.0), (10, 1.0), (10, 0.3), (2, 0.6)])
+def test_lines(messy, bound, least, share):
+    out = line_dedup.line_dedup(messy, min_docs=least, max_share=share, broadcast_bytes=bound, keys_per_shard=16)
+    assert {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in out.collect()} == brute_lines(texts_of(messy), least, share)
 
 
 def test_lines_edges(spark, messy, empty):
@@ -509,7 +516,7 @@ def test_pipeline(spark):
 
     texts = small(spark)
     kept = {d for d, r in ((r["doc_id"], r) for r in quality_rules.quality(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()) if r["kept"]}
-    after = {d: x for d, (_, gone, x) in brute_lines({d: texts[d] for d in kept}, 10).items() if not gone or x.strip(WS)}
+    after = {d: x for d, (_, _, x) in brute_lines({d: texts[d] for d in kept}, 10, 0.3).items()}
     one = {d: after[d] for d, (_, _, c) in brute_near(after).items() if c == d}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
