@@ -72,5 +72,10 @@ def link_strength(sim: Column) -> Column:
     return sim * F.lit(0.8)
 
 
+def zoom_floor(nodes: Column) -> Column:
+    """How far a drawing of so many nodes may be zoomed out."""
+    return F.greatest(F.lit(0.005), F.least(F.lit(0.5), F.lit(2.0) / F.sqrt(F.greatest(nodes, F.lit(1)))))
+
+
 def font_size(degree: Column, largest: Column) -> Column:
     return F.lit(9.0) + degree / F.greatest(largest, F.lit(1)) * F.lit(6.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import font_size, link_length, link_strength
+from ..functions.values import font_size, link_length, link_strength, zoom_floor
 
 
 def _ordered(path: DataFrame, *columns: str) -> Column:
@@ -43,6 +43,17 @@ def layout(edges: DataFrame, degrees: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").select("src", "dst", link_length(F.col("sim")).alias("length"), link_strength(F.col("sim")).alias("strength"), "src_font", "dst_font")
 
 
+def node_boxes(nodes: DataFrame, degrees: DataFrame) -> DataFrame:
+    """(id, font, width, height) of nodes (id, name): a box follows its font and the length of its name."""
+    font = font_size(F.coalesce("degree", F.lit(0)), F.coalesce("max_degree", F.lit(1)))
+    sized = nodes.join(degrees, "id", "left").select("id", "name", font.alias("font"))
+    return sized.select("id", "font", (F.length("name") * F.col("font") * 0.6 + 8).alias("width"), (F.col("font") + 10).alias("height"))
+
+
+def view_limits(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count("*").alias("nodes")).withColumn("min_zoom", zoom_floor(F.col("nodes")))
+
+
 def highlight(edges: DataFrame, steps: DataFrame) -> DataFrame:
     """edges with `on_path`: whether either direction is a step of the path (src, dst)."""
     either = steps.select("src", "dst").union(steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("on_path", F.lit(True))

@@ -445,6 +445,16 @@ def layout_params(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(render.layout(v, edges.local_degree(v)))
 
 
+@query(f"WITH {VIEWS}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM f UNION ALL SELECT dst FROM f) GROUP BY id), b AS (SELECT s_suppkey AS id, s_name AS name, 9 + coalesce(degree, 0) / (SELECT max(degree) FROM d) * 6 AS font FROM supplier LEFT JOIN d ON d.id = s_suppkey) SELECT id, round(CAST(font AS DOUBLE), 6) AS font, round(CAST(length(name) * font * 0.6 + 8 AS DOUBLE), 6) AS width, round(CAST(font + 10 AS DOUBLE), 6) AS height FROM b")
+def node_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(render.node_boxes(adapters.suppliers(spark, sf_dir), edges.local_degree(adapters.supplier_view(spark, sf_dir, TOP))))
+
+
+@query("SELECT count(*) AS nodes, round(CAST(greatest(0.005, least(0.5, 2 / sqrt(greatest(count(*), 1)))) AS DOUBLE), 6) AS min_zoom FROM supplier")
+def view_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(render.view_limits(adapters.suppliers(spark, sf_dir)))
+
+
 @query(f"{_HOP} SELECT string_agg(s_name, ' → ' ORDER BY step) AS flow, string_agg(CAST(step + 1 AS VARCHAR) || '. ' || s_name || CASE WHEN step > 0 THEN ' [' || printf('%.3f', similarity) || ']' ELSE '' END, chr(10) ORDER BY step) AS lines FROM path JOIN supplier ON s_suppkey = id")
 def path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _hop_path(spark, sf_dir).join(F.broadcast(adapters.suppliers(spark, sf_dir).join(_hop_path(spark, sf_dir).select("id"), "id", "left_semi")), "id")
