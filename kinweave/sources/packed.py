@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import ship, table
+
 _PAIR = np.dtype([("id", "V16"), ("sim", "<f4")])
 
 
@@ -56,6 +58,7 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
                 rows = [(i, d, s, k, path_, o) for i, o, pairs in decode_adjacency(bytes(content)) for k, (d, s) in enumerate(pairs)]
                 yield pd.DataFrame(rows, columns=["src", "dst", "sim", "pos", "file", "offset"]).astype({"sim": "float32"})
 
+    ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     return raw.mapInPandas(run, "src string, dst string, sim float, pos int, file string, offset long")
 
@@ -66,6 +69,7 @@ def write_adjacency(edges: DataFrame, folder: str, files: int | None = None) ->
     Each task writes one file by way of Hadoop-free Python I/O, so the folder has to be mounted alike
     on all executors (file:// paths).
     """
+    ship(edges.sparkSession)
     at = folder.removeprefix("file://")
     order = F.col("pos") if "pos" in edges.columns else -F.col("sim")
     lists = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("dst").alias("dst"), F.col("sim").alias("sim")))).alias("l"))
@@ -93,8 +97,6 @@ def write_adjacency(edges: DataFrame, folder: str, files: int | None = None) ->
             os.replace(temporary, f"{at}/{name}")  # a retried task replaces its file whole
         yield pd.DataFrame(rows, columns=["id", "file", "offset", "connections"])
 
-    from ..store import table
-
     return table(parts.mapInPandas(run, "id string, file string, offset long, connections int"), "packed-index")
 
 
@@ -164,4 +166,5 @@ def read_metadata(spark: SparkSession, path: str, section: str) -> DataFrame:
             for content in f["content"]:
                 yield pd.DataFrame(decode_metadata(bytes(content))[section], columns=names)
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)

@@ -6,11 +6,19 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers started from now on import this package."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = f"{root}:{env['PYTHONPATH']}" if env.get("PYTHONPATH") else root
+
+
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder in spark.checkpoint.dir; where that is unset, in local mode only, in a folder of our own."""
     at = spark.conf.get("spark.checkpoint.dir", None)

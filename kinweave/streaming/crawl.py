@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, resolve_id
-from ..store import table
+from ..store import ship, table
 
 
 class Transient(Exception):
@@ -39,6 +39,7 @@ def fetch(ids: DataFrame, client: Callable[[str], list[tuple[str, float]] | None
                 rows.extend((i, d, float(s)) for d, s in (got or [(None, float("nan"))]))
             yield pd.DataFrame(rows, columns=["id", "dst", "sim"])
 
+    ship(ids.sparkSession)
     return ids.select("id").mapInPandas(run, "id string, dst string, sim double")
 
 
