@@ -18,7 +18,7 @@ The sort is a mergesort, vectorised over all suffixes of a batch. Prefix polynom
 common extension, so a comparison takes log2(length) steps. Neighbours that the hashes call equal over
 `length` bytes are verified byte by byte, and false ones are told apart.
 
-Hot content: copies within some 16 MB are settled where they are read, so that a passage in every document
+Hot content: copies within some 8 MB are settled where they are read, so that a passage in every document
 sends a row per task. An anchor with more than `hot` contents has its windows sent one by one, to the
 bucket of their own hash. No step holds a whole group of copies in memory.
 
@@ -38,7 +38,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, powers, prefix_hash, ship, text_buffers
+from .common import CHUNK_BYTES, chunks, mix64, powers, prefix_hash, ship, text_buffers
 
 LENGTH = 100
 ANCHOR = 32
@@ -226,11 +226,11 @@ def _scan(length: int, anchor: int):
         for b in batches:
             did, rn = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             data, offsets = text_buffers(b.column(2))
-            for i, j in chunks(offsets):
+            for i, j in chunks(offsets, CHUNK_BYTES // 2):
                 row, start, windows, k1, k2 = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, anchor)
                 held.append((did[i + row], _pack(rn[i + row], start, windows, 0), k1, k2))
                 size += int(offsets[j] - offsets[i])
-                if size > 16 << 20:
+                if size > 8 << 20:
                     yield settle(held)
                     held, size = [], 0
         if held:
@@ -374,7 +374,7 @@ def _compare(length: int):
                 continue
             held.append(b)
             size += b.num_rows
-            if size > 12_000:
+            if size > 8_000:
                 table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 anchor = table.column(0).to_numpy().view(np.uint64) >> np.uint64(16)
                 cut = _last_run(anchor)
@@ -409,7 +409,7 @@ def _cut(length: int):
     """Documents with verdicts and further spans -> kept bytes and removed spans."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(i, 512) for x in batches for i in range(0, x.num_rows, 512)):
             data, offsets = text_buffers(b.column(2))
             did, rn = b.column(0), b.column(1).to_numpy()
             one, two = b.column(3), b.column(4)
