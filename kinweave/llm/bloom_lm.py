@@ -40,6 +40,8 @@ BASE = 1.5
 SHARD_BITS = 1 << 19
 PROBES = 5
 BITS_PER_ITEM = 8
+#: Bytes of a text above which its tokens are hashed in several runs.
+LONG_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -58,6 +60,21 @@ MIDDLE = np.array([0.0] + [(_LEAST[q] + max(_LEAST[q], _LEAST[q + 1] - 1)) / 2 f
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, offsets) of the tokens of each row, with the end token last."""
+    n = len(offsets) - 1
+    if n == 1 and len(data) > LONG_BYTES:  # a long text, cut at white space
+        at, parts = 0, []
+        while at < len(data):
+            stop = at + LONG_BYTES
+            while stop < len(data) and not _SPACE[data[stop]]:
+                stop += 1
+            parts.append(_tokens(data[at:stop], np.array([0, min(stop, len(data)) - at]))[0][:-1])
+            at = stop
+        h = np.append(np.concatenate(parts), END)
+        return h, np.array([0, len(h)], np.int64)
+    return _tokens(data, offsets)
+
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(offsets) - 1
     low = _LOWER[data]
     space = _SPACE[data]

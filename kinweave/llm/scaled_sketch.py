@@ -8,7 +8,7 @@ found in the other estimates containment however unequal the documents are.
 A text shorter than `width` is one shingle. If no hash lies below the threshold, the smallest hash
 stands in, marked by "~"; it is dropped as soon as a merge brings a real one.
 
-Defined results: null counts as the empty text, whose sketch is "" (two empty sketches are alike, 1.0;
+Ids are integers. Defined results: null counts as the empty text, whose sketch is "" (two empty sketches are alike, 1.0;
 an empty one and another 0.0); repeated rows get equal fingerprints; rows with one id follow each
 other in text order; an empty table gives an empty result; columns other than the named ones are not
 looked at.
@@ -29,6 +29,22 @@ from .common import chunks, mix64, prefix_hash, ship, span_hash, text_buffers
 WIDTH = 20
 SCALE = 16
 _BITS = 48
+#: Bytes of a document above which its shingles are hashed in several runs.
+LONG_BYTES = 4 << 20
+
+
+def _long(raw: np.ndarray, width: int, limit: np.uint64) -> tuple[np.ndarray, bool]:
+    """Kept hashes of one long document, in runs of windows."""
+    kept, least = [], None
+    for p in range(0, len(raw) - width + 1, LONG_BYTES):
+        part = raw[p : p + LONG_BYTES + width - 1]
+        prefix = prefix_hash(part)
+        start = np.arange(len(part) - width + 1)
+        h = mix64(span_hash(prefix, start, start + width)) >> np.uint64(64 - _BITS)
+        kept.append(np.unique(h[h < limit]))
+        least = h.min() if least is None else min(least, h.min())
+    kept = np.unique(np.concatenate(kept))
+    return (kept, False) if len(kept) else (np.array([least], np.uint64), True)
 
 
 def sketches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, scale: int = SCALE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -37,6 +53,11 @@ def sketches(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, scale: i
     values, rows, guard = [], [], np.zeros(n, bool)
     limit = np.uint64((1 << _BITS) // scale)
     for i, j in chunks(offsets):
+        if j == i + 1 and offsets[j] - offsets[i] > LONG_BYTES:
+            kept, guard[i] = _long(data[offsets[i] : offsets[j]], width, limit)
+            values.append(kept)
+            rows.append(np.full(len(kept), i))
+            continue
         off = offsets[i : j + 1] - offsets[i]
         raw = data[offsets[i] : offsets[j]]
         size = np.diff(off)

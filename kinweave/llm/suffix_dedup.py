@@ -22,7 +22,7 @@ Hot content: copies within some 8 MB are settled where they are read, so that a
 sends a row per task. An anchor with more than `hot` contents has its windows sent one by one, to the
 bucket of their own hash. No step holds a whole group of copies in memory.
 
-Defined results: null counts as the empty text, which has nothing to remove; a null id counts as the
+Ids are integers. Defined results: null counts as the empty text, which has nothing to remove; a null id counts as the
 smallest; rows with one id follow each other in the order of their texts, so the later of two equal
 rows goes whole if it is long enough; an empty table gives an empty result; columns other than the two
 named ones are not looked at.
@@ -43,6 +43,8 @@ from .common import CHUNK_BYTES, chunks, mix64, powers, prefix_hash, ship, text_
 LENGTH = 100
 ANCHOR = 32
 HOT = 4096
+#: Bytes of a document above which its windows are scanned in several runs.
+LONG_BYTES = 4 << 20
 _NONE = -(1 << 63)
 _LOW = np.uint64(0xFFFF)
 
@@ -227,12 +229,18 @@ def _scan(length: int, anchor: int):
             did, rn = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             data, offsets = text_buffers(b.column(2))
             for i, j in chunks(offsets, CHUNK_BYTES // 2):
-                row, start, windows, k1, k2 = segments(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, anchor)
-                held.append((did[i + row], _pack(rn[i + row], start, windows, 0), k1, k2))
-                size += int(offsets[j] - offsets[i])
-                if size > 8 << 20:
-                    yield settle(held)
-                    held, size = [], 0
+                # a long document is cut into runs of windows; where segments are cut doesn't matter to the result
+                whole = int(offsets[j] - offsets[i])
+                step = LONG_BYTES if j == i + 1 and whole > LONG_BYTES else whole + 1
+                for p in range(0, max(1, whole - length + 1), step):
+                    stop = min(whole, p + step + length - 1)
+                    own = offsets[i : j + 1] - offsets[i] if step > whole else np.array([0, stop - p])
+                    row, start, windows, k1, k2 = segments(data[offsets[i] + p : offsets[i] + stop], own, length, anchor)
+                    held.append((did[i + row], _pack(rn[i + row], start + p, windows, 0), k1, k2))
+                    size += stop - p
+                    if size > 8 << 20:
+                        yield settle(held)
+                        held, size = [], 0
         if held:
             yield settle(held)
 

@@ -135,6 +135,38 @@ def test_suffixes_edges(spark, empty):
         assert suffixes(df, hot=hot) == brute_suffixes(pairs, 100)
 
 
+def test_long_documents_in_runs(messy, monkeypatch):
+    for m in (suffix_dedup, scaled_sketch, bloom_lm):
+        monkeypatch.setattr(m, "LONG_BYTES", 300)
+        monkeypatch.setattr(m, "CHUNK_BYTES", 200) if hasattr(m, "CHUNK_BYTES") else None
+    import pyarrow as pa
+
+    from kinweave.llm.common import text_buffers
+
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choice("abcÄ") for _ in range(rng.randint(1, 400))) for _ in range(40))
+    raw = np.frombuffer(text.encode(), np.uint8)
+    one = np.array([0, len(raw)])
+    runs = bloom_lm.token_hashes(raw, one)[0].tolist(), scaled_sketch._long(raw, 20, np.uint64(1 << 44))
+    none = scaled_sketch._long(raw, 20, np.uint64(0))
+    segs = []
+    pa_texts = [text, text[500:] + text[:500]]
+
+    def scan():
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1], pa.int32()), pa.array(pa_texts)], names=["did", "rn", "t"])
+        return sum((int(((b.column(3).to_numpy() >> 1) & 0x7F).sum()) for b in suffix_dedup._scan(100, 32)(iter([batch]))), 0)
+
+    segs.append(scan())
+    monkeypatch.undo()
+    segs.append(scan())
+    assert segs[0] == segs[1] == sum(len(t.encode()) - 99 for t in pa_texts)
+    assert runs[0] == bloom_lm.token_hashes(raw, one)[0].tolist()
+    v, _, g = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 16)
+    assert runs[1][0].tolist() == v.tolist() and not g[0]
+    least = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 1)[0].min()
+    assert none[1] and none[0].tolist() == [least]
+
+
 def test_suffix_sort_and_collisions(monkeypatch):
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 900).astype(np.uint8)
