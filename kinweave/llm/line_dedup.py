@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, mix64, schema_of, ship, table
+from .common import WHITE, mix64, schema_of, ship, slices, table
 
 _LEVELS = 40
 _GAMMA = 1.7
@@ -158,7 +158,7 @@ def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush
             return out
 
         held = 0
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 for k in {key_of(x) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")}:
                     if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars):
@@ -221,7 +221,7 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
 def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LineIndex(bits, {s: Shard.load(b) for s, b in sent.value})
-        for b in batches:
+        for b in slices(batches):
             lines = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in b.column(at).to_pylist()]
             flat = [x for ls in lines for x in ls]
             drop = index.count(*_key_hashes(flat)) > 0 if flat else np.zeros(0, bool)

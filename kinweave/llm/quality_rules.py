@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, schema_of, ship, table
+from .common import WHITE, schema_of, ship, slices, table
 
 SYMBOLS = b"#*$%&|<>"
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_letters long, n_distinct long, n_ends long, top_word long, n_digits long"
@@ -87,18 +87,12 @@ def measure(text: str | None) -> tuple[int, ...]:
     )
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of figures per document, in one pass without a shuffle."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             cols = list(zip(*map(measure, b.column(1).to_pylist()))) or [[]] * len(_NAMES)
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["__id", *_NAMES])
 
@@ -210,7 +204,7 @@ def keep_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     good = sorted(p for p, post in found.items() if post >= threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in slices(batches):
             cols = list(zip(*map(measure, b.column(b.schema.get_field_index("__text")).to_pylist()))) or [[]] * len(_NAMES)
             at = [i for i, n in enumerate(b.schema.names) if n != "__text"]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in at), *(pa.array(c, pa.int64()) for c in cols)], names=[*(f"c{k}" for k in range(len(at))), *(f"m_{n}" for n in _NAMES)])

@@ -196,7 +196,7 @@ class Pieces:
 class Encoder:
     """Keeps the chunks it has encoded, up to a bound on memory."""
 
-    def __init__(self, pieces: Pieces, most: int = 400_000, most_bytes: int = 32 << 20):
+    def __init__(self, pieces: Pieces, most: int = 200_000, most_bytes: int = 16 << 20):
         self.pieces, self.most, self.most_bytes = pieces, most, most_bytes
         self._clear()
 
