@@ -147,7 +147,7 @@ def _held_out(doc: str):
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 3_000_000) -> DataFrame:
+def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 1_500_000) -> DataFrame:
     """Rows (key, n) of a map with counts merged within each task; keys(data, offsets) gives uint64 keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,12 +164,12 @@ def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 3_
 
         for b in batches:
             data, offsets = text_buffers(b.column(0))
-            for i, j in chunks(offsets, 2 * CHUNK_BYTES):
+            for i, j in chunks(offsets):
                 found = keys(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 k, n = np.unique(found, return_counts=True)
                 held.append((k, n))
                 size += len(k)
-                if size > floor + 1_500_000:
+                if size > floor + 500_000:
                     held = [merged()]
                     size = floor = len(held[0][0])
                     if size > most:
