@@ -3,15 +3,18 @@
 Counts are quantised on a logarithmic scale, q = 1 + floor(log_1.5 c), and an n-gram of level q enters
 the filter as the q items (n-gram, 1) ... (n-gram, q). Probing level after level until one is missing gives
 the level back: never too low, and one too high only as often as the filter errs. The filter holds
-the tokens and, over the most frequent `vocabulary` tokens, the bigrams; it is built shard by shard (a shard is a
-run of 2**19 bits to which a key belongs by its hash), each in a task of its own, and is broadcast.
+all tokens, all bigrams and, for each token, the number of its distinct followers; its size follows their number. It
+is built shard by shard (a shard is a run of 2**19 bits to which a key belongs by its hash), each in a task of its own.
 
-Its size has a bound, `max_bits`. If the corpus has more items than fit, the rarest levels of counts stay
-out (least count first, for tokens and bigrams alike), and such an n-gram scores as unseen.
+Up to `max_bits` it is broadcast. Beyond that, nothing is left out: the distinct keys of each chunk of text go to the shards by a
+shuffle, and their levels come back to the chunk by another. Both ways give the same scores.
+
+A bigram's key has 32 bits of the first token's hash above 32 bits of the pair's, so the followers of a token
+are counted from the keys; two tokens that agree in those 32 bits have their followers counted together.
 
 The model interpolates bigram and token by Witten-Bell:
 P(w | v) = g(v) * c(v, w) / c(v) + (1 - g(v)) * (c(w) + 1) / (N + V + 1), g(v) = c(v) / (c(v) + T(v)),
-where T(v) counts the distinct followers of v (each occurrence of one outside the vocabulary as one), g = 0 outside the vocabulary, and c(w), c(v, w) are read from
+where T(v) counts the distinct followers of v, g = 0 for a v without any, and all of c(v), T(v), c(w), c(v, w) are read from
 the filter. A text is preceded by an end token, as if another text had just ended.
 
 The base score needs exact counts. Those of the most frequent tokens come as a table of
@@ -36,10 +39,13 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, chunks, mix64, prefix_hash, schema_of, ship, span_hash, table, text_buffers
 
 END = np.uint64(0x5BD1E9955BD1E995)
+_LOW = np.uint64(0xFFFFFFFF)
 BASE = 1.5
 SHARD_BITS = 1 << 19
 PROBES = 5
 BITS_PER_ITEM = 8
+#: Bits of the filter that one probing task holds at once, where it is not broadcast.
+GROUP_BITS = 1 << 26
 #: Bytes of a text above which its tokens are hashed in several runs.
 LONG_BYTES = 4 << 20
 _SPACE = np.zeros(256, bool)
@@ -93,8 +99,13 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Key of a bigram of vocabulary numbers in the filter."""
-    return mix64((first.astype(np.uint64) << np.uint64(32)) + second.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    """Key of a bigram of token hashes; its upper half is that of the first token's hash."""
+    return (first & ~_LOW) | (mix64(mix64(first + np.uint64(0x9E3779B97F4A7C15)) + second) & _LOW)
+
+
+def follow_key(half: np.ndarray) -> np.ndarray:
+    """Key of the number of followers of a token, of whose hash `half` is the upper half."""
+    return mix64(half + np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
@@ -121,19 +132,19 @@ def fill(key: np.ndarray, levels: np.ndarray) -> bytes:
 
 
 class Filter:
-    """The whole filter: one byte array, shard after shard."""
+    """Shards `first` up to `last` (all, if not given) of a filter: one byte array, shard after shard."""
 
-    def __init__(self, shards: int, blobs: dict[int, bytes]):
-        self.shards = shards
-        self.data = np.zeros(shards * SHARD_BITS // 8, np.uint8)
+    def __init__(self, shards: int, blobs: dict[int, bytes], first: int = 0, last: int | None = None):
+        self.shards, self.first = shards, first
+        self.data = np.zeros(((shards if last is None else last) - first) * SHARD_BITS // 8, np.uint8)
         for s, b in blobs.items():
-            self.data[s * SHARD_BITS // 8 : (s + 1) * SHARD_BITS // 8] = np.frombuffer(b, np.uint8)
+            self.data[(s - first) * SHARD_BITS // 8 : (s - first + 1) * SHARD_BITS // 8] = np.frombuffer(b, np.uint8)
 
     def levels(self, key: np.ndarray) -> np.ndarray:
         """Level of each key, by probing until one is missing."""
         out = np.zeros(len(key), np.int64)
         open_, at = np.arange(len(key)), 1
-        base = shard_of(key, self.shards) * SHARD_BITS
+        base = (shard_of(key, self.shards) - self.first) * SHARD_BITS
         while len(open_) and at < len(MIDDLE):
             for k in range(PROBES):
                 p = base[open_] + _bit(key[open_], at, k)
@@ -147,6 +158,34 @@ def _held_out(doc: str):
     return F.crc32(F.coalesce(F.col(doc).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+class Chunk:
+    """The tokens of a chunk of texts, and the distinct keys that its scores need from the filter."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        h, self.offsets = token_hashes(data, offsets)
+        self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.offsets))
+        self.kinds, self.inverse = np.unique(h, return_inverse=True)
+        self.before = before(self.inverse, self.offsets, np.searchsorted(self.kinds, END))
+        both, self.back = np.unique(pair_key(self.kinds[self.before], h), return_inverse=True)
+        self.keys = np.concatenate([self.kinds, follow_key(self.kinds >> np.uint64(32)), both])
+
+    def scores(self, levels: np.ndarray, space: float) -> np.ndarray:
+        """log10 of each text's probability, given the levels of `keys`."""
+        n = len(self.kinds)
+        count, follow, both = MIDDLE[levels[:n]], MIDDLE[levels[n : 2 * n]], MIDDLE[levels[2 * n :]]
+        trust = np.where((count > 0) & (follow > 0), count / np.maximum(count + follow, 1), 0.0)[self.before]
+        after = np.minimum(both[self.back] / np.maximum(count[self.before], 1), 1.0)
+        p = ((count + 1) / space)[self.inverse]
+        return np.bincount(self.row, np.log10(trust * after + (1 - trust) * p), len(self.offsets) - 1)
+
+
+def before(h: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
+    """Each token's predecessor; `end` for the first of a text."""
+    out = np.concatenate([h[:1], h[:-1]])
+    out[offsets[:-1]] = end
+    return out
+
+
 def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 1_500_000) -> DataFrame:
     """Rows (key, n) of a map with counts merged within each task; keys(data, offsets) gives uint64 keys."""
 
@@ -191,8 +230,12 @@ def _cut(histogram: list, most: int) -> int:
     return 1
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 8192, exact: int = 1 << 20, max_bits: int = 1 << 28) -> DataFrame:
-    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10)."""
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, exact: int = 1 << 20, max_bits: int = 1 << 29) -> DataFrame:
+    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
+
+    A filter of over `max_bits` is probed by shard instead of being broadcast. With a `vocabulary`, bigrams are
+    counted over only so many of the most frequent tokens (at most `exact`).
+    """
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
@@ -212,103 +255,151 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
         return key[order], got["n"].to_numpy()[order]
 
     known_key, known_n = top(exact)
-    order = np.lexsort((known_key, -known_n))[:vocabulary]
-    words = np.sort(np.append(known_key[order][known_key[order] != END], END))
-    vocab = spark.sparkContext.broadcast(words)
-
-    def numbered(h: np.ndarray, words: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        return np.where(words[at] == h, at, -1)
-
-    def pairs(h: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vocabulary numbers of each token and of the one before it; -1 outside the vocabulary."""
-        kinds_, inverse = np.unique(h, return_inverse=True)
-        own = numbered(kinds_, words)[inverse]
-        before = np.concatenate([[0], own[:-1]])
-        before[offsets[:-1]] = np.searchsorted(words, END)
-        return before, own
+    words = None if vocabulary is None else spark.sparkContext.broadcast(np.append(known_key[np.lexsort((known_key, -known_n))[:vocabulary]], END))
 
     def bigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         h, off = token_hashes(data, offsets)
-        a, b = pairs(h, off, vocab.value)
-        ok = (a >= 0) & (b >= 0)
-        return ((a[ok] << 32) + b[ok]).astype(np.uint64)
-
-    double = table(_counted(train, bigrams).groupBy("key").agg(F.sum("n").alias("n")).withColumn("level", level_of), "bigram-counts")
-    followers = double.groupBy(F.shiftright("key", 32).alias("v")).agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).collect()  # vocabulary rows at most
-    at = np.minimum(np.searchsorted(known_key, words), max(0, len(known_key) - 1))
-    context = np.where(known_key[at] == words, known_n[at], 0).astype(float) if len(known_key) else np.zeros(len(words))
-    distinct = context.copy()  # a follower outside the vocabulary counts as a kind of its own
-    for r in followers:
-        distinct[r["v"]] += r["kinds"] - r["n"]
-    distinct = np.maximum(distinct, 1.0)
-    trust = np.where(context > 0, context / np.maximum(context + distinct, 1), 0.0)
-
-    sizes = single.select("level").union(double.select("level")).groupBy("level").agg(F.sum("level").alias("items")).collect()
-    least = _cut(sizes, max_bits // BITS_PER_ITEM)
-    items = sum(r["items"] for r in sizes if r["level"] >= least)
+        a = before(h, off, END)
+        if words is not None:
+            ok = np.isin(a, words.value) & np.isin(h, words.value)
+            a, h = a[ok], h[ok]
+        return pair_key(a, h)
+
+    # few bigrams occur again within a task, so their counts are merged in short runs
+    double = table(_counted(train, bigrams, most=400_000).groupBy("key").agg(F.sum("n").alias("n")).select("key", level_of.alias("level")), "bigram-levels")
+    follow = table(double.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.count("*").alias("n")).select("key", level_of.alias("level")), "follower-levels")
+    items = sum(x.agg(F.sum("level")).first()[0] or 0 for x in (single, double, follow))
     shards = max(1, -(-items * BITS_PER_ITEM // SHARD_BITS))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(0).to_numpy().view(np.uint64)
-            two = b.column(2).to_numpy(zero_copy_only=False)
-            key = np.where(two, pair_key(key >> np.uint64(32), key & np.uint64(0xFFFFFFFF)), key)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards)), pa.array(key.view(np.int64)), b.column(1)], names=["shard", "key", "level"])
+            key = np.where(b.column(2).to_numpy(zero_copy_only=False), follow_key(key), key)
+            yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column(1)], names=["shard", "key", "level"])
 
     def build(group):
         import pandas as pd
 
         return pd.DataFrame({"shard": group["shard"].iloc[:1], "blob": [fill(group["key"].to_numpy().view(np.uint64), group["level"].to_numpy().astype(np.int64))]})
 
-    entries = single.select("key", "level", F.lit(False).alias("two")).union(double.select("key", "level", F.lit(True).alias("two"))).where(F.col("level") >= least)
-    blobs = entries.mapInArrow(keyed, "shard long, key long, level int").groupBy("shard").applyInPandas(build, "shard long, blob binary").collect()
-    sent = spark.sparkContext.broadcast((known_key, known_n, words, context, trust, Filter(shards, {r["shard"]: bytes(r["blob"]) for r in blobs})))
+    entries = single.select("key", "level", F.lit(False).alias("half")).union(double.select("key", "level", F.lit(False))).union(follow.select("key", "level", F.lit(True)))
+    blobs = table(entries.mapInArrow(keyed, "shard int, key long, level int").groupBy("shard").applyInPandas(build, "shard int, blob binary"), "filter")
+    known = spark.sparkContext.broadcast((known_key, known_n))
     space = float(total + kinds + 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known_key, known_n, words, context, trust, bloom = sent.value
-        rid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            data, offsets = text_buffers(b.column(1))
-            for i, j in chunks(offsets):
-                h, off = token_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                row = np.repeat(np.arange(j - i), np.diff(off))
-                kinds_, inverse = np.unique(h, return_inverse=True)
-                at = np.minimum(np.searchsorted(known_key, kinds_), max(0, len(known_key) - 1))
-                hit = known_key[at] == kinds_ if len(known_key) else np.zeros(len(kinds_), bool)
-                exact_n = np.where(hit, known_n[at] if len(known_key) else 0, 0)
-                base = np.bincount(row, np.log10((exact_n + 1) / space)[inverse] * hit[inverse], j - i)
-                sure = np.bincount(row, hit[inverse], j - i).astype(np.int64)
-                one = (MIDDLE[bloom.levels(kinds_)] + 1) / space
-                a, w = pairs(h, off, words)
-                p = one[inverse]
-                ok = np.flatnonzero((a >= 0) & (w >= 0))
-                both, back = np.unique((a[ok] << 32) + w[ok], return_inverse=True)
-                left, right = (both >> 32).astype(np.int64), both & 0xFFFFFFFF
-                c = MIDDLE[bloom.levels(pair_key(left.astype(np.uint64), right.astype(np.uint64)))]
-                follow = np.zeros(len(h))
-                follow[ok] = np.minimum(c / np.maximum(context[left], 1), 1.0)[back]
-                g = np.where(a >= 0, trust[a], 0.0)
-                made = np.bincount(row, np.log10(g * follow + (1 - g) * p), j - i)
-                # the tokens whose exact count is not at hand: distinct ones of each row with their number
-                rare = np.flatnonzero(~hit[inverse])
-                pair = row[rare] * len(kinds_) + inverse[rare]
-                pair, times = np.unique(pair, return_counts=True)
-                r = pair // max(1, len(kinds_))
-                cuts = np.concatenate([[0], np.cumsum(np.bincount(r, minlength=j - i))]).astype(np.int32)
-                rares = kinds_[pair % max(1, len(kinds_))].view(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rid + np.arange(j - i)), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(np.diff(off)), pa.array(sure), pa.array(base), pa.array(made),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(rares)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64))),
-                ], names=["rid", "id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times"])
-                rid += j - i
+    def row(c: Chunk, levels: np.ndarray, rid: pa.Array, ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
+        known_key, known_n = known.value
+        n, kinds_, inverse = len(rid), c.kinds, c.inverse
+        at = np.minimum(np.searchsorted(known_key, kinds_), max(0, len(known_key) - 1))
+        hit = known_key[at] == kinds_ if len(known_key) else np.zeros(len(kinds_), bool)
+        exact_n = np.where(hit, known_n[at] if len(known_key) else 0, 0)
+        base = np.bincount(c.row, np.log10((exact_n + 1) / space)[inverse] * hit[inverse], n)
+        sure = np.bincount(c.row, hit[inverse], n).astype(np.int64)
+        # the tokens whose exact count is not at hand: distinct ones of each row with their number
+        rare = np.flatnonzero(~hit[inverse])
+        pair, times = np.unique(c.row[rare] * len(kinds_) + inverse[rare], return_counts=True)
+        cuts = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(kinds_)), minlength=n))]).astype(np.int32)
+        rares = kinds_[pair % max(1, len(kinds_))].view(np.int64)
+        return pa.RecordBatch.from_arrays([
+            rid, ids, held, pa.array(np.diff(c.offsets)), pa.array(sure), pa.array(base), pa.array(c.scores(levels, space)),
+            pa.ListArray.from_arrays(pa.array(cuts), pa.array(rares)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64))),
+        ], names=["rid", "id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times"])
 
     picked = docs.withColumn("held_out", _held_out("id"))
-    schema = type(picked.schema)([*schema_of("rid long").fields, picked.schema["id"], *schema_of("held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, times array<long>").fields])
-    scored = table(picked.mapInArrow(run, schema), "scored")
+    kind = type(picked.schema)
+    schema = kind([*schema_of("rid long").fields, picked.schema["id"], *schema_of("held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, times array<long>").fields])
+    if shards * SHARD_BITS <= max_bits:
+        sent = spark.sparkContext.broadcast(Filter(shards, {r["shard"]: r["blob"] for r in blobs.collect()}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rid = TaskContext.get().partitionId() << 40
+            for b in batches:
+                data, offsets = text_buffers(b.column(1))
+                for i, j in chunks(offsets):
+                    c = Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    yield row(c, sent.value.levels(c.keys), pa.array(rid + np.arange(j - i)), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i))
+                    rid += j - i
+
+        scored = picked.mapInArrow(run, schema)
+    else:
+        scored = _by_shards(picked, blobs, shards, row, schema)
+    scored = table(scored, "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     joined = rare.join(single.select("key", "n"), "key", "left")
     more = joined.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(space))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))
     out = scored.drop("rare", "times").join(more, "rid", "left")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+
+
+def _by_shards(picked: DataFrame, blobs: DataFrame, shards: int, row, schema) -> DataFrame:
+    """The way for a filter that is too large to broadcast: a chunk's keys meet each group of shards in the task that holds it."""
+    groups = min(shards, -(-shards * SHARD_BITS // GROUP_BITS) + 1)
+    kind = type(picked.schema)
+    spec = kind([*schema_of("chunk long, grp int, rid long").fields, picked.schema["id"], *schema_of("held_out boolean, t string, blob binary").fields])
+    names = [f.name for f in spec.fields]
+
+    def home(keys: np.ndarray) -> np.ndarray:
+        return shard_of(keys, shards) * groups // shards
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            ids, texts, held = b.columns
+            data, offsets = text_buffers(texts)
+            for i, j in chunks(offsets):
+                n = j - i
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(np.full(n, -1, np.int32)), pa.array(rid + np.arange(n)), ids.slice(i, n), held.slice(i, n), texts.slice(i, n), pa.nulls(n, pa.binary())], names=names)
+                keys = Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).keys
+                at = home(keys)
+                for g in np.unique(at).tolist():
+                    blob = keys[at == g].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([g], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, held.type), pa.nulls(1, texts.type), pa.array([blob], pa.binary())], names=names)
+                rid += n
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, bloom = -1, {}, None
+        for b in batches:
+            for k in range(b.num_rows):
+                chunk, g, blob = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py()
+                if g != group:
+                    group, held, bloom = g, {}, None
+                if chunk < 0:  # a shard; those of a group come before its keys
+                    held[-1 - chunk] = blob
+                    continue
+                if bloom is None:
+                    bloom, held = Filter(shards, held, -(-g * shards // groups), -(-(g + 1) * shards // groups)), {}
+                levels = bloom.levels(np.frombuffer(blob, np.uint64)).astype(np.uint8).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([g], pa.int32()), pa.array([levels], pa.binary())], names=["chunk", "grp", "blob"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            t = pa.Table.from_batches(texts).combine_chunks()
+            rid, ids, held, text = (t[x].combine_chunks() if t.num_rows else t[x] for x in ("rid", "id", "held_out", "t"))
+            c = Chunk(*text_buffers(text))
+            at, levels = home(c.keys), np.zeros(len(c.keys), np.int64)
+            for g, blob in found:
+                levels[at == g] = np.frombuffer(blob, np.uint8)
+            return row(c, levels, rid, ids, held)
+
+        now, texts, found = None, [], []
+        for b in batches:
+            chunk, grp = b.column(0).to_numpy(), b.column(1).to_numpy()
+            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)]):
+                if chunk[i] != now:
+                    if texts:
+                        yield made()
+                    now, texts, found = chunk[i], [], []
+                n = int(np.searchsorted(grp[i:j], 0))  # the documents come before the levels
+                if n:
+                    texts.append(b.slice(i, n))
+                found += [(int(grp[k]), b.column(6)[k].as_py()) for k in range(i + n, j)]
+        if texts:
+            yield made()
+
+    packed = table(picked.mapInArrow(pack, spec), "chunks")
+    sides = blobs.select((-1 - F.col("shard")).cast("long").alias("chunk"), F.expr(f"CAST(CAST(shard AS LONG) * {groups} div {shards} AS INT)").alias("grp"), "blob")
+    asked = packed.where("grp >= 0").select("chunk", "grp", "blob").union(sides).repartition("grp").sortWithinPartitions("grp", "chunk")
+    levels = asked.mapInArrow(probe, "chunk long, grp int, blob binary")
+    levels = levels.select("chunk", "grp", *(F.lit(None).cast(f.dataType).alias(f.name) for f in spec.fields[2:-1]), "blob")
+    return packed.where("grp < 0").union(levels).repartition("chunk").sortWithinPartitions("chunk", "grp", "rid").mapInArrow(finish, schema)

@@ -524,6 +524,24 @@ def test_lm_helps_on_held_out(spark):
     assert got[0] > got[1]
 
 
+def test_lm_keeps_everything(spark, messy):
+    """Rare bigrams of rare tokens count, and a filter too large to broadcast scores alike."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for df in (docs, messy):
+        rows_ = [sorted(((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in bloom_lm.score(df, **o).collect())) for o in ({}, {"max_bits": 1 << 12})]
+        assert rows_[0] == rows_[1]
+    words = [f"w{k}" for k in range(9000)]
+    held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
+    seen = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 != 2)
+    other = next(k for k in range(held + 1, 999) if zlib.crc32(str(k).encode()) % 7 == 2)
+    text = " ".join(words)
+    df = spark.createDataFrame([(seen, text), (held, text), (other, " ".join(words[::-1]))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score(df).collect()}
+    # every pair of the first was seen once after a token seen once with one follower: 1/2 + 1/2 * 2 / (N + V + 1)
+    want = 9001 * math.log10(0.5 + 1 / (9001 + 9001 + 1))
+    assert abs(got[held] - want) < 0.05 * abs(want) and got[other] < 5 * got[held]
+
+
 def test_filter_levels():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**63, 30_000).astype(np.uint64))
