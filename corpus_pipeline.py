@@ -23,10 +23,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go.
 
-    A document that would lose over 30 % is one of a group of copies, not a text with boilerplate. It stays
-    whole: the next stage keeps one of its group, and would not know the group without the lines they share.
+    A document that would lose over 30 % stays whole if its fingerprint is equal or linked to another's: the next
+    stage keeps one of its group, and would not know the group without the lines they share.
     """
-    out = line_dedup.line_dedup(docs.select(*COLUMNS), min_docs=10, max_share=0.3)
+    docs = docs.select(*COLUMNS)
+    linked = table(simhash.near_duplicates(docs).where("n_near > 0").select(F.col("doc_id").alias("__id")).distinct(), "linked").withColumn("__copy", F.lit(True))
+    marked = docs.join(linked, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
+    out = line_dedup.line_dedup(marked, min_docs=10, max_share=0.3, copy_col="__copy")
     return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

@@ -196,12 +196,12 @@ def _key_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[:, 0].astype(np.uint64), h[:, 1].astype(np.uint64)
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, max_share: float = 1.0, broadcast_bytes: int = 64 << 20, keys_per_shard: int = 1 << 16) -> DataFrame:
+def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, max_share: float = 1.0, copy_col: str | None = None, broadcast_bytes: int = 64 << 20, keys_per_shard: int = 1 << 16) -> DataFrame:
     """df with its text replaced by the lines that stay, and with n_lines and n_dropped (both long).
 
     A line goes if its key has `min_chars` code points and stands in `min_docs` documents. The two
     counts come under the names `__n_lines` and `__n_dropped`. A document of whose keys such lines make up
-    more than `max_share` (of bytes) is a copy of others rather than a text with boilerplate: it stays whole.
+    more than `max_share` (of bytes) stays whole; with a boolean `copy_col`, only if that column is true.
     """
     spark = df.sparkSession
     frequent = table(line_counts(df, text_col, min_chars).where(F.col("n") >= min_docs), "lines")
@@ -209,16 +209,17 @@ def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_ch
     shards = table(shards, "line-index")
     size = shards.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()["b"]
     columns, at = df.columns, df.columns.index(text_col)
+    copy = None if copy_col is None else columns.index(copy_col)
     plain = df.select(*(F.col(f"`{c}`").cast("string") if k == at else F.col(f"`{c}`") for k, c in enumerate(columns))).toDF(*(f"c{k}" for k in range(len(columns))))
     if size > broadcast_bytes:
-        out = _by_join(plain, f"c{at}", frequent.select("h1", "h2"), max_share)
+        out = _by_join(plain, f"c{at}", frequent.select("h1", "h2"), max_share, copy)
     else:
         sent = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in shards.collect()])
-        out = _by_probe(plain, at, sent, bits, max_share)
+        out = _by_probe(plain, at, sent, bits, max_share, copy)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), "__n_lines", "__n_dropped")
 
 
-def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float) -> DataFrame:
+def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float, copy: int | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = LineIndex(bits, {s: Shard.load(b) for s, b in sent.value})
         for b in slices(batches):
@@ -227,9 +228,9 @@ def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float) -> D
             drop = index.count(*_key_hashes(flat)) > 0 if flat else np.zeros(0, bool)
             ends = np.cumsum([len(ls) for ls in lines])
             texts, dropped = [], []
-            for ls, e in zip(lines, ends):
+            for k, (ls, e) in enumerate(zip(lines, ends)):
                 d = drop[e - len(ls) : e]
-                if max_share < 1 and d.any():
+                if max_share < 1 and d.any() and (copy is None or b.column(copy)[k].as_py()):
                     size = np.array([len(x.strip(WHITE)) for x in ls])
                     if size[d].sum() > max_share * size.sum():
                         d = np.zeros(len(ls), bool)
@@ -241,7 +242,7 @@ def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float) -> D
     return plain.mapInArrow(run, type(plain.schema)([*plain.schema.fields, *schema_of("__n_lines long, __n_dropped long").fields]))
 
 
-def _by_join(plain: DataFrame, text: str, frequent: DataFrame, max_share: float) -> DataFrame:
+def _by_join(plain: DataFrame, text: str, frequent: DataFrame, max_share: float, copy: int | None) -> DataFrame:
     """The way for an index that is too large to broadcast; rows are told apart by their own content."""
     plain = plain.withColumn("__row", F.sha2(F.to_json(F.struct(*plain.columns)), 256))
 
@@ -262,6 +263,6 @@ def _by_join(plain: DataFrame, text: str, frequent: DataFrame, max_share: float)
         sizes = F.transform(all_, lambda x: F.octet_length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))))
         lost = F.transform(sizes, lambda n, i: F.when(F.array_contains(F.col("__gone"), i.cast("long")), n).otherwise(0))
         total = lambda array: F.aggregate(array, F.lit(0), lambda a, n: a + n)
-        out = out.withColumn("__gone", F.when(total(lost) > max_share * total(sizes), F.array().cast("array<long>")).otherwise(F.col("__gone")))
+        out = out.withColumn("__gone", F.when((total(lost) > max_share * total(sizes)) & (F.lit(True) if copy is None else F.coalesce(F.col(f"c{copy}"), F.lit(False))), F.array().cast("array<long>")).otherwise(F.col("__gone")))
     out = out.withColumns({"__n_lines": F.size(all_).cast("long"), "__n_dropped": F.size("__gone").cast("long"), text: F.concat_ws("\n", kept)})
     return out.drop("__row", "__gone")

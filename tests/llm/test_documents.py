@@ -578,6 +578,21 @@ def test_pipeline(spark):
     assert all(p.decode(r["token_ids"]) == one[r["doc_id"]] for r in out)
 
 
+def test_pipeline_lines_of_no_copies(spark):
+    """A frequent line of over 30 % goes unless the document is linked to another."""
+    import corpus_pipeline as cp
+
+    rng, line = random.Random(3), "the same licence line stands here in every one"
+    own = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(7)) for _ in range(12)]
+    texts = {k: f"{x}\n{line}" for k, x in enumerate(own)} | {50: f"{own[0]}\n{line}"}
+    near = brute_near(texts)
+    linked = {d for d in texts if near[d][1]}
+    assert {0, 50} <= linked and len(linked) < 8
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    got = texts_of(cp.lines(spark, docs, SMALL))
+    assert got == {d: t if d in linked else own[d] for d, t in texts.items()}
+
+
 @pytest.mark.parametrize("stage", range(4))
 def test_stages_on_messy_input(spark, messy, empty, stage):
     import corpus_pipeline as cp
