@@ -218,6 +218,12 @@ def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.clustering(adapters.supplier_view(spark, sf_dir, TOP)))
 
 
+@query()
+def clustering_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all edges, up to the 250 strongest of each supplier; `clustering` describes the graph of the five strongest."""
+    return _rounded(metrics.clustering(adapters.supplier_view(spark, sf_dir, 250)))
+
+
 @query(f"WITH {_IN} SELECT id, degree, coalesce(p_name, CAST(id AS VARCHAR)) AS name FROM (SELECT * FROM d ORDER BY degree DESC, id LIMIT 20) LEFT JOIN part ON p_partkey = id")
 def top_nodes_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.top_nodes(metrics.in_degree(adapters.part_edges(spark, sf_dir)), adapters.parts(spark, sf_dir))
