@@ -548,7 +548,7 @@ def reservoir_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def random_walk_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.supplier_edges(spark, sf_dir)
-    return sample.walk_subgraph(e, metrics.out_degree(e), walks=5, steps=5)
+    return sample.walk_subgraph(e, metrics.out_degree(e))
 
 
 # --- files and functions

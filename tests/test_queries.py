@@ -52,6 +52,13 @@ def test_clustering_of_all_edges(spark):
     assert abs(got["mean_local"] - want[0]) < 2e-6 and abs(got["transitivity"] - want[1]) < 2e-6 and got["wedges"] == want[2]
 
 
+def test_walks_as_many_as_the_operator_makes(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(graph.sample, "walk_subgraph", lambda e, d, **kw: asked.append(kw) or d)
+    graph.queries()["random_walk_sample"](spark, SMALL)
+    assert asked == [{}]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
