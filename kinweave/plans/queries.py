@@ -619,4 +619,4 @@ def crawl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     v = adapters.supplier_view(spark, sf_dir, TOP)
     recorded = table(edges.adjacency(v.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "sim")), "recorded")
-    return crawl(recorded, [str(START)], most=50).groupBy("id").agg(F.count("*").alias("edges"))
+    return crawl(recorded, [str(START)]).groupBy("id").agg(F.count("*").alias("edges"))

@@ -59,6 +59,23 @@ def test_walks_as_many_as_the_operator_makes(spark, monkeypatch):
     assert asked == [{}]
 
 
+def test_crawl_reaches_everything(spark):
+    from kinweave.sources import adapters
+
+    near = {}
+    for r in adapters.supplier_view(spark, "/root/testdata/sf0.01", graph.TOP).collect():
+        near.setdefault(str(r["src"]), set()).add(str(r["dst"]))
+    seen, queue = set(), [str(graph.START)]
+    while queue:
+        x = queue.pop()
+        if x not in seen:
+            seen.add(x)
+            queue += near.get(x, ())
+    want = {x: len(near[x]) for x in seen if x in near}
+    assert len(want) > 50
+    assert {r["id"]: r["edges"] for r in graph.queries()["crawl_replay"](spark, "/root/testdata/sf0.01").collect()} == want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
