@@ -31,7 +31,9 @@ from .common import schema_of, ship
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/?)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_RAW = {"script", "style", "title", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "audio", "video"}
+_RAW = {"script", "style", "title", "template", "textarea", "iframe", "svg", "canvas"}
+#: Of these, all but the last two run to the end of the page if nothing closes them.
+_TO_END = _RAW - {"svg", "canvas"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr", "param"}
 _BLOCK = set("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html label legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _CLOSES_P = _BLOCK - {"html", "body", "head", "button", "label", "option", "select"}
@@ -87,7 +89,7 @@ def blocks(page: str | None) -> list[tuple[str, list[tuple[str, str]], int, str]
         if name in _RAW:
             if not m.group("self"):
                 raw = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-                at = raw.end() if raw else end
+                at = raw.end() if raw else end if name in _TO_END else at
             continue
         if name == "a":
             in_link = 1

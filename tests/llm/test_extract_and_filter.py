@@ -129,3 +129,13 @@ def test_grams_do_not_cross_rows():
     row, bucket = url_filter.hashed_grams(*text_buffers(pa.array(["abcdef", "", None, "ab", "abcdef"])))
     assert set(row.tolist()) == {0, 4}
     assert sorted(bucket[row == 0]) == sorted(bucket[row == 4])
+
+
+def test_text_after_an_unclosed_element():
+    said = lambda page: " ".join(b[0] for b in html_crf.blocks(page))
+    for name in ("svg", "math", "object", "canvas", "audio", "video", "noscript"):
+        assert "after" in said(f"<article><p>one</p><{name}><p>after</p></article>")
+    for name in ("math", "object", "noscript", "audio", "video"):
+        assert "within" in said(f"<article><p>one <{name}>within</{name}> two</p></article>")
+    for name in ("script", "style", "textarea", "iframe"):
+        assert "after" not in said(f"<article><p>one</p><{name}><p>after</p></article>")
