@@ -11,7 +11,7 @@ class names, whose every block is known to be article or not.
 
 Defined results: a null or empty page has no text (""); a page whose blocks are all rejected likewise;
 repeated rows are treated each by itself; an empty table gives an empty result; broken markup is
-read as far as it can be, a "<" that begins no tag being text; other columns are not looked at.
+read as far as it can be, in time linear in its length, a "<" that begins no tag being text; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,7 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import schema_of, ship
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?P<self>/?)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
+_NAME = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*+)")
+#: The usual tag: no "<" before its end. Possessive, so that a failed match costs no more than one look at its characters.
+_TAG = re.compile(r"<(?P<close>/?)(?P<name>[A-Za-z][A-Za-z0-9:-]*+)(?P<attrs>(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+)>")
+_MARK = re.compile(r"[<>\"']")
 _ATTR = re.compile(r"\b(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "title", "template", "textarea", "iframe", "svg", "canvas"}
 #: Of these, all but the last two run to the end of the page if nothing closes them.
@@ -40,56 +43,112 @@ _CLOSES_P = _BLOCK - {"html", "body", "head", "button", "label", "option", "sele
 _SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr",), "th": ("tr",), "tr": ("table", "tbody", "thead", "tfoot"), "option": ("select",)}
 _APART = {"nav", "header", "footer", "aside", "form", "button", "label", "menu", "dialog", "select", "fieldset"}
 _WORD = re.compile(r"[a-z]+")
+#: Elements opened deeper than this count as siblings at that depth; their text stays.
+DEPTH = 128
+_ENDS = re.compile(r"[<>]")
+
+
+class Tags:
+    """Finds the end of tags in one page, in time linear in the page whatever it holds."""
+
+    def __init__(self, page: str):
+        self.page, self.last, self.lone = page, page.rfind(">"), {q: page.rfind(q) for q in "\"'"}
+        self.bad: set[int] = set()  # where quotes began in tags that came to nothing
+
+    def end(self, at: int) -> int:
+        """The place of the ">" that ends the tag whose name ends at `at`; -1 if it is none."""
+        if at > self.last:
+            return -1
+        k, opened = at, []
+        while m := _MARK.search(self.page, k):
+            k, c = m.start(), m.group()
+            if c == ">":
+                return k
+            if c == "<" or k in self.bad:
+                break
+            opened.append(k)
+            k = k + 1 if k == self.lone[c] else self.page.index(c, k + 1) + 1  # the last quote of its kind quotes nothing
+        self.bad.update(opened)
+        m = _ENDS.search(self.page, at)  # quotes that don't pair up are characters like others
+        return m.start() if m and m.group() == ">" else -1
+
+
+def path(node: tuple | None) -> list[tuple[str, str]]:
+    """The open elements of a block as (tag, words of its attributes), outermost first."""
+    out = []
+    while node:
+        node, element = node
+        out.append(element)
+    return out[::-1]
 
 
-def blocks(page: str | None) -> list[tuple[str, list[tuple[str, str]], int, str]]:
-    """(text, open elements as (tag, words of its attributes), characters in links, own tag) of each leaf block."""
+def blocks(page: str | None) -> list[tuple[str, tuple | None, int, str]]:
+    """(text, node of the open elements, characters in links, own tag) of each leaf block."""
     out: list = []
     stack: list[tuple[str, str]] = []
+    nodes: list[tuple] = []  # for each open element (the node around it, its tag and words), shared by all blocks within
     parts: list[str] = []
     in_link = link_chars = 0
-    raw = None
 
     def flush() -> None:
         nonlocal link_chars
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, list(stack), link_chars, stack[-1][0] if stack else ""))
+                out.append((text, nodes[-1] if nodes else None, link_chars, stack[-1][0] if stack else ""))
             parts.clear()
         link_chars = 0
 
     page = page or ""
     at, end = 0, len(page)
+    tags, over, unclosed = Tags(page), {}, set()
     while at < end:
-        m = _TOKEN.match(page, at)
-        if m is None:  # cannot happen; keeps a broken page from looping
-            break
-        at = m.end()
-        text = m.group("text")
-        if text is not None:
+        if page[at] != "<":
+            k = page.find("<", at)
+            text, at = page[at : k if k >= 0 else end], k if k >= 0 else end
             parts.append(text)
             if in_link:
                 link_chars += len(text)
             continue
-        name = m.group("name")
-        if name is None:
+        if page.startswith("<!--", at):
+            k = page.find("-->", at + 4)
+            at = k + 3 if k >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), at) and at < tags.last:
+            at = page.index(">", at) + 1
             continue
-        name = name.lower()
-        if m.group("close"):
+        m = _TAG.match(page, at)
+        if m:
+            closing, name, attrs, at = m.group("close"), m.group("name").lower(), m.group("attrs"), m.end()
+        else:
+            m = _NAME.match(page, at)
+            stop = tags.end(m.end()) if m else -1
+            if stop < 0:  # no tag begins here
+                parts.append("<")
+                link_chars += bool(in_link)
+                at += 1
+                continue
+            closing, name, attrs, at = m.group(1), m.group(2).lower(), page[m.end() : stop], stop + 1
+        alone = attrs.endswith("/")
+        if closing:
             if name == "a":
                 in_link = max(0, in_link - 1)
             if name in _BLOCK:
                 flush()
+                if over.get(name):
+                    over[name] -= 1
+                    continue
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        del stack[k:]
+                        del stack[k:], nodes[k:]
                         break
             continue
         if name in _RAW:
-            if not m.group("self"):
-                raw = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
+            if not alone and name not in unclosed:
+                raw = re.compile(f"</{re.escape(name)}\\s*+>", re.I).search(page, at)
                 at = raw.end() if raw else end if name in _TO_END else at
+                if not raw:
+                    unclosed.add(name)
             continue
         if name == "a":
             in_link = 1
@@ -104,7 +163,7 @@ def blocks(page: str | None) -> list[tuple[str, list[tuple[str, str]], int, str]
         if name in _CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
-                    del stack[k:]
+                    del stack[k:], nodes[k:]
                     break
                 if stack[k][0] in ("td", "th", "button", "li", "div", "section", "article"):
                     break
@@ -113,22 +172,26 @@ def blocks(page: str | None) -> list[tuple[str, list[tuple[str, str]], int, str]
                 if stack[k][0] in _SAME[name]:
                     break
                 if stack[k][0] == name or (name in ("dt", "dd") and stack[k][0] in ("dt", "dd")) or (name in ("td", "th") and stack[k][0] in ("td", "th")):
-                    del stack[k:]
+                    del stack[k:], nodes[k:]
                     break
-        attrs = m.group("attrs")
         words = " ".join(a or b or c for _, a, b, c in _ATTR.findall(attrs)).lower() if "=" in attrs else ""
-        if not m.group("self"):
-            stack.append((name, words))
+        if not alone:
+            if len(stack) < DEPTH:
+                stack.append((name, words))
+                nodes.append((nodes[-1] if nodes else None, stack[-1]))
+            else:
+                over[name] = over.get(name, 0) + 1
         in_link = 0 if name in ("article", "main", "section", "body") else in_link
     flush()
-    return [b for b in out if not any(t == "head" for t, _ in b[1])]
+    return [b for b in out if not any(t == "head" for t, _ in path(b[1]))]
 
 
 def features(found: list) -> list[list[str]]:
     """Feature names of each block of a page."""
     out = []
     n = len(found)
-    for k, (text, stack, links, own) in enumerate(found):
+    for k, (text, node, links, own) in enumerate(found):
+        stack = path(node)
         f = ["bias", f"own={own}"]
         tags = {t for t, _ in stack}
         f.extend(f"in={t}" for t in tags)

@@ -1,7 +1,9 @@
 """HTML extraction and URL filters."""
 
 import html
+import random
 import re
+import time
 
 import pytest
 
@@ -139,3 +141,46 @@ def test_text_after_an_unclosed_element():
         assert "within" in said(f"<article><p>one <{name}>within</{name}> two</p></article>")
     for name in ("script", "style", "textarea", "iframe"):
         assert "after" not in said(f"<article><p>one</p><{name}><p>after</p></article>")
+
+
+@pytest.mark.parametrize("page", ['<p>hi</p><a ' + '"" ' * 10_000 + "<b", "<a " + '"' * 20_001 + "<b>x", "<" * 50_000, "<p" * 50_000, "<!" * 50_000, "<svg>" * 20_000, "<div>x" * 30_000, "<div>" * 10_000 + "</p>" * 30_000, '<a "<a \'<a "<a \'<b' * 10_000, ('<a x="<b y=\'<c z=">\' ' * 10_000)])
+def test_reading_takes_linear_time(page):
+    began = time.perf_counter()
+    html_crf.features(html_crf.blocks(page))
+    assert time.perf_counter() - began < 10
+    began = time.perf_counter()
+    html_crf.blocks(page[: len(page) // 10])
+    assert time.perf_counter() - began < 1
+
+
+def test_quotes_and_unclosed_elements():
+    text = lambda page: [b[0] for b in html_crf.blocks(page)]
+    assert text('<p title="a > b <c>">x<br/>y</p><img src="a\'b"><p class="x>t</p>a < b') == ["x y", "t", "a < b"]
+    for name in ("svg", "canvas", "noscript", "object", "math", "audio", "video"):
+        assert text(f"<p>one</p><{name}><p>two</p><article><p>three</p></article>")[0] == "one"
+        assert text(f"<p>one</p><{name}><p>two</p><article><p>three</p></article>")[-1] == "three"
+    deep = "<div>" * 1000 + "<p>in</p>" + "</div>" * 1000 + "<p>out</p>"
+    assert text(deep) == ["in", "out"] and html_crf.path(html_crf.blocks(deep)[1][1]) == [("p", "")]
+
+
+def test_pages_of_another_hand(chain):
+    """Layouts and names that the labelled pages do not know; every block is tagged with what it is."""
+    rng = random.Random(11)
+    say = lambda n: " ".join("".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    right = total = 0
+    for k in range(120):
+        prose = [(say(rng.randint(12, 60)).capitalize() + ".", 1) for _ in range(rng.randint(3, 9))]
+        title = [(say(rng.randint(3, 8)).capitalize(), 1)]
+        menu, foot = [(say(rng.randint(1, 2)), 0) for _ in range(rng.randint(3, 8))], [("© 2024 " + say(3), 0)]
+        listed = "".join(f'<li><a href="/{i}">{t}</a></li>' for i, (t, _) in enumerate(menu))
+        kind = rng.choice(["div", "section"])
+        body = f'<h1>{title[0][0]}</h1>' + "".join(f"<p>{t}</p>" for t, _ in prose)
+        body = f'<article>{body}</article>' if k % 2 else f'<{kind} class="qx{k}">{body}</{kind}>'
+        page = f'<body><nav><ul>{listed}</ul></nav>{body}<footer><p>{foot[0][0]}</p></footer></body>'
+        truth = [*menu, *title, *prose, *foot]
+        found = html_crf.blocks(page)
+        assert [b[0] for b in found] == [t for t, _ in truth]
+        got = chain.decode(html_crf.features(found))
+        right += sum(a == y for a, (_, y) in zip(got, truth))
+        total += len(truth)
+    assert right / total > 0.95
