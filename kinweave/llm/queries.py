@@ -39,7 +39,7 @@ def op4_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(_documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.round("__exponent", 9).alias("exponent"), F.col("__copies").cast("long").alias("copies"), F.col("__order").alias("mix_order"))
+    return out.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), F.round("__weight", 9).alias("weight"), F.round("__exponent", 9).alias("exponent"), F.col("__met").alias("met"), F.col("__copies").cast("long").alias("copies"), F.col("__order").alias("mix_order"))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

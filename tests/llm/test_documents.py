@@ -369,12 +369,60 @@ def test_chain_component(spark):
 
 def test_exponent():
     tokens = [900.0, 80.0, 15.0, 5.0]
-    a = mixing.fit_exponent(tokens, 1000, target_entropy=1.0)
-    assert abs(mixing.entropy(mixing.tempered([t / 1000 for t in tokens], a)) - 1.0) < 1e-9
-    a = mixing.fit_exponent(tokens, 1000, max_repeats=3)
+    a, met = mixing.fit_exponent(tokens, 1000, target_entropy=1.0)
+    assert met == "entropy" and a < 1 and abs(mixing.entropy(mixing.tempered([t / 1000 for t in tokens], a)) - 1.0) < 1e-9
+    a, met = mixing.fit_exponent(tokens, 1000, max_repeats=3)
     weights = mixing.tempered([t / 1000 for t in tokens], a)
-    assert abs(max(w * 1000 / t for w, t in zip(weights, tokens)) - 3) < 1e-6
-    assert mixing.fit_exponent(tokens, 1000) == 1.0 == mixing.fit_exponent([], 0) and mixing.fit_exponent([0.0, 0.0], 0, 1.0) == 1.0
+    assert met == "repeats" and abs(max(w * 1000 / t for w, t in zip(weights, tokens)) - 3) < 1e-6
+    for none in ([], [0.0, 0.0], tokens):
+        assert mixing.fit_exponent(none, sum(none)) == (1.0, "proportional")
+    # flatter than the target: steeper than the sources
+    tokens = [100.0, 110.0, 90.0, 105.0]
+    a, met = mixing.fit_exponent(tokens, 405, target_entropy=1.317)
+    assert met == "entropy" and a > 1 and abs(mixing.entropy(mixing.tempered([t / 405 for t in tokens], a)) - 1.317) < 1e-9
+    a, met = mixing.fit_exponent(tokens, 405, target_entropy=0.5, max_repeats=1.5)
+    weights = mixing.tempered([t / 405 for t in tokens], a)
+    assert met == "repeats" and a > 1 and abs(max(w * 405 / t for w, t in zip(weights, tokens)) - 1.5) < 1e-6
+    # out of reach
+    assert mixing.fit_exponent([5.0] * 4, 20, target_entropy=1.0) == (1.0, "unreachable")
+    assert mixing.fit_exponent(tokens, 4050, max_repeats=4) == (1.0, "unreachable")
+    assert mixing.fit_exponent([9.0], 9, target_entropy=0.0, max_repeats=4) in [(0.0, "entropy"), (1.0, "entropy")]
+    assert mixing.fit_exponent(tokens, 405, target_entropy=9.0) == (0.0, "unreachable")
+
+
+def test_equal_sources_are_left_alone(spark):
+    df = spark.createDataFrame([(k, f"one two three {k}", f"s{k % 3}") for k in range(30)], "doc_id long, text string, source string")
+    got = mixing.mix(df).collect()
+    assert {(r["__copies"], r["__met"], r["__exponent"]) for r in got} == {(1, "unreachable", 1.0)}
+
+
+def test_hot_and_steep_mixtures(spark):
+    """A third of all rows in one source, hundreds of small ones, repeated rows, mixes flatter and steeper than the sources."""
+    rng = random.Random(4)
+    body = lambda: " ".join(rng.choice("abcdef") for _ in range(rng.randint(0, 30)))
+    data = [(k, body(), "hot") for k in range(600)] + [(k, body(), f"s{k % 400}") for k in range(600, 1800)] + [(7, "the same row", "hot")] * 50
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    for options in ({}, {"entropy_share": 0.5, "max_repeats": None}, {"entropy_share": None, "max_repeats": 3.0}, {"budget": 2500}, {"entropy_share": 1.0, "max_repeats": None}):
+        got = mixing.mix(df, **options).collect()
+        assert len(got) == len(data) and len({r["__exponent"] for r in got}) == 1
+        by = {}
+        for r in got:
+            by.setdefault(r["source"], []).append(r)
+        total = sum(r["__tokens"] for r in got)
+        budget = options.get("budget", total)
+        weights = {s: rs[0]["__weight"] for s, rs in by.items()}
+        assert abs(sum(weights.values()) - 1) < 1e-9
+        some = [sum(r["__tokens"] for r in rs) for rs in by.values()]
+        assert abs(got[0]["__exponent"] - mixing.fit_exponent(some, budget, None if (e := options.get("entropy_share", 0.95)) is None else e * math.log(sum(t > 0 for t in some)), options.get("max_repeats", 4.0))[0]) < 1e-9
+        if got[0]["__met"] == "entropy":
+            assert abs(mixing.entropy(weights.values()) - options.get("entropy_share", 0.95) * math.log(sum(t > 0 for t in some))) < 1e-9
+        for s, rs in by.items():
+            used, largest = sum(r["__tokens"] * r["__copies"] for r in rs), max(r["__tokens"] for r in rs) * (50 if s == "hot" else 1)
+            assert weights[s] * budget - 0.51 <= used <= weights[s] * budget + 0.51 + largest
+            same = {}
+            for r in rs:
+                same.setdefault((r["doc_id"], r["text"]), set()).add(r["__copies"])
+            assert all(len(x) == 1 for x in same.values())
 
 
 @pytest.mark.parametrize("blocks", [1, 7, 1024])
@@ -396,7 +444,7 @@ def test_mixture(messy, empty, blocks):
         assert abs(rs[0]["__weight"] - weights[s]) < 1e-9
         used = sum(r["__tokens"] * r["__copies"] for r in rs)
         largest = max(r["__tokens"] for r in rs)
-        assert want - 1e-6 <= used <= want + 2 * largest
+        assert want - 0.51 <= used <= want + 0.51 + largest
         assert max(r["__copies"] for r in rs) - min(r["__copies"] for r in rs) <= 1
         assert used <= (2.5 + 1) * own
     again = mixing.mix(messy, blocks=blocks, entropy_share=None, target_entropy=1.2, max_repeats=2.5)
