@@ -3,11 +3,14 @@
 Counts are quantised on a logarithmic scale, q = 1 + floor(log_1.5 c), and an n-gram of level q enters
 the filter as the q items (n-gram, 1) ... (n-gram, q). Probing level after level until one is missing gives
 the level back: never too low, and one too high only as often as the filter errs. The filter holds
-all tokens, all bigrams and, for each token, the number of its distinct followers; its size follows their number. It
-is built shard by shard (a shard is a run of 2**19 bits to which a key belongs by its hash), each in a task of its own.
+all tokens, all bigrams and, for each token, the number of its distinct followers: nothing is left out, and its size follows
+their number. It comes in groups, to which a key belongs by its hash; a group has as many bits as its own items need.
 
-Up to `max_bits` it is broadcast. Beyond that, nothing is left out: the distinct keys of each chunk of text go to the shards by a
-shuffle, and their levels come back to the chunk by another. Both ways give the same scores.
+The keys of bigrams go to their groups as they are counted: each task merges its own, and sends every group one sorted run of
+keys, so that the task of a group adds them up and fills its bits at once.
+
+Up to `max_bits` the filter is broadcast. Beyond that the distinct keys of each run of documents go to the groups by a
+shuffle, and their levels come back by another. Both ways give the same scores. No key is hot in either: a run sends a key once.
 
 A bigram's key has 32 bits of the first token's hash above 32 bits of the pair's, so the followers of a token
 are counted from the keys; two tokens that agree in those 32 bits have their followers counted together.
@@ -19,7 +22,7 @@ the filter. A text is preceded by an end token, as if another text had just ende
 
 The base score needs exact counts. Those of the most frequent tokens come as a table of
 bounded size; the other tokens of each document are joined with the counts, a join without hot keys, as each
-of its tokens is rare.
+of its tokens is rare in the training texts (those that they lack are scored without it).
 
 Defined results: a null or empty text is one end token; a null id counts as the empty text when
 held-out documents are picked; repeated rows are scored (and counted) each by itself; an empty
@@ -32,22 +35,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, mix64, prefix_hash, schema_of, ship, span_hash, table, text_buffers
+from .common import CHUNK_BYTES, chunks, drop, mix64, prefix_hash, schema_of, ship, span_hash, table, text_buffers
 
 END = np.uint64(0x5BD1E9955BD1E995)
 _LOW = np.uint64(0xFFFFFFFF)
 BASE = 1.5
-SHARD_BITS = 1 << 19
 PROBES = 5
 BITS_PER_ITEM = 8
-#: Bits of the filter that one probing task holds at once, where it is not broadcast.
-GROUP_BITS = 1 << 26
+#: Tokens of the training texts for each group of the filter: bounds what the task of a group holds.
+GROUP_TOKENS = 1 << 21
+#: Bytes of text of a run of documents that asks the groups together.
+RUN_BYTES = 8 << 20
 #: Bytes of a text above which its tokens are hashed in several runs.
 LONG_BYTES = 4 << 20
+#: Bytes from which a token has a hash of its own kind: in polynomials modulo 2**64, some words of 2048 bytes collide by construction.
+LONG_TOKEN = 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -68,11 +75,10 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     """(hashes, offsets) of the tokens of each row, with the end token last."""
     n = len(offsets) - 1
     if n == 1 and len(data) > LONG_BYTES:  # a long text, cut at white space
-        at, parts = 0, []
+        at, parts, spaces = 0, [], np.flatnonzero(_SPACE[data])
         while at < len(data):
-            stop = at + LONG_BYTES
-            while stop < len(data) and not _SPACE[data[stop]]:
-                stop += 1
+            k = np.searchsorted(spaces, at + LONG_BYTES)
+            stop = int(spaces[k]) if k < len(spaces) else len(data)
             parts.append(_tokens(data[at:stop], np.array([0, min(stop, len(data)) - at]))[0][:-1])
             at = stop
         h = np.append(np.concatenate(parts), END)
@@ -91,6 +97,8 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     after[offsets[1:][filled] - 1] = True
     start, end = np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
     h = mix64(span_hash(prefix_hash(low), start, end) ^ ((end - start).astype(np.uint64) << np.uint64(40)))
+    for k in np.flatnonzero(end - start >= LONG_TOKEN):
+        h[k] = xxhash.xxh3_64_intdigest(low[start[k] : end[k]].tobytes())
     h[h == END] = np.uint64(1)
     row = np.searchsorted(offsets, start, side="right") - 1
     out = np.full(len(h) + n, END)
@@ -108,50 +116,77 @@ def follow_key(half: np.ndarray) -> np.ndarray:
     return mix64(half + np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def shard_of(key: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(key ^ np.uint64(0xA5A5A5A5)) % np.uint64(shards)).astype(np.int64)
+def item_of(key: np.ndarray) -> np.ndarray:
+    """What the filter knows a key by: 48 bits of its hash."""
+    return mix64(key ^ np.uint64(0xA5A5A5A5)) >> np.uint64(16)
+
+
+def group_of(item: np.ndarray, groups: int) -> np.ndarray:
+    """Groups are ranges of items."""
+    return (((item >> np.uint64(16)) * np.uint64(groups)) >> np.uint64(32)).astype(np.int64)
 
 
-def _bit(key: np.ndarray, at: int, k: int) -> np.ndarray:
-    """Place of the k-th bit of item (key, at) in its shard."""
-    a = mix64(key + np.uint64((at * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
-    return ((a + np.uint64(k) * ((a >> np.uint64(32)) | np.uint64(1))) & np.uint64(SHARD_BITS - 1)).astype(np.int64)
+def _bits(item: np.ndarray, at: int, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Places of the bits of (item, at) in a group of `size` bits."""
+    a = mix64(item + np.uint64((at * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF))
+    b = mix64(a) | np.uint64(1)
+    for _ in range(PROBES):
+        yield ((a >> np.uint64(32)) * size) >> np.uint64(32)
+        a = a + b
 
 
-def fill(key: np.ndarray, levels: np.ndarray) -> bytes:
-    """The bits of one shard."""
-    bits = np.zeros(SHARD_BITS, bool)
-    at = 1
-    while len(key):
-        for k in range(PROBES):
-            bits[_bit(key, at, k)] = True
+def fill(item: np.ndarray, levels: np.ndarray) -> bytes:
+    """The bits of one group."""
+    size = -(-max(64, int(levels.sum()) * BITS_PER_ITEM) // 8) * 8
+    bits, at = np.zeros(size, bool), 1
+    while len(item):
+        for p in _bits(item, at, np.uint64(size)):
+            bits[p.astype(np.int64)] = True
         at += 1
         some = levels >= at
-        key, levels = key[some], levels[some]
+        item, levels = item[some], levels[some]
     return np.packbits(bits, bitorder="little").tobytes()
 
 
 class Filter:
-    """Shards `first` up to `last` (all, if not given) of a filter: one byte array, shard after shard."""
-
-    def __init__(self, shards: int, blobs: dict[int, bytes], first: int = 0, last: int | None = None):
-        self.shards, self.first = shards, first
-        self.data = np.zeros(((shards if last is None else last) - first) * SHARD_BITS // 8, np.uint8)
-        for s, b in blobs.items():
-            self.data[(s - first) * SHARD_BITS // 8 : (s - first + 1) * SHARD_BITS // 8] = np.frombuffer(b, np.uint8)
-
-    def levels(self, key: np.ndarray) -> np.ndarray:
-        """Level of each key, by probing until one is missing."""
-        out = np.zeros(len(key), np.int64)
-        open_, at = np.arange(len(key)), 1
-        base = (shard_of(key, self.shards) - self.first) * SHARD_BITS
-        while len(open_) and at < len(MIDDLE):
-            for k in range(PROBES):
-                p = base[open_] + _bit(key[open_], at, k)
-                open_ = open_[(self.data[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-            out[open_] = at
-            at += 1
-        return out
+    """Groups of a filter, one after the other; one that isn't given holds nothing."""
+
+    def __init__(self, groups: int, blobs: dict[int, bytes]):
+        none = bytes(8)
+        self.groups = groups
+        self.data = np.frombuffer(b"".join(blobs.get(g, none) for g in range(groups)), np.uint8)
+        self.sizes = np.array([len(blobs.get(g, none)) * 8 for g in range(groups)], np.uint64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]]).astype(np.uint64)
+
+    def levels(self, item: np.ndarray) -> np.ndarray:
+        """Level of each item, by probing until one is missing."""
+        return _probe(self.data, item, self.starts[g := group_of(item, self.groups)], self.sizes[g])
+
+
+def _probe(data: np.ndarray, item: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(item), np.int64)
+    open_, at = np.arange(len(item)), 1
+    while len(open_) and at < len(MIDDLE):
+        alive = np.ones(len(open_), bool)
+        for p in _bits(item[open_], at, size[open_]):
+            p += start[open_]
+            alive &= (data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        open_ = open_[alive]
+        out[open_] = at
+        at += 1
+    return out
+
+
+def _planes(a: np.ndarray, width: int) -> bytes:
+    """The low `width` bytes of each value, all lowest bytes first: sorted values then compress well."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize)[:, :width].T.tobytes()
+
+
+def _unplanes(blob: bytes, width: int, kind=np.uint64) -> np.ndarray:
+    n = len(blob) // width
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    out[:, :width] = np.frombuffer(blob, np.uint8).reshape(width, n).T
+    return out.reshape(-1).view(kind)
 
 
 def _held_out(doc: str):
@@ -159,26 +194,34 @@ def _held_out(doc: str):
 
 
 class Chunk:
-    """The tokens of a chunk of texts, and the distinct keys that its scores need from the filter."""
+    """The tokens of some texts, and what their scores need from the filter: `single` for each token, `follow` for its followers, `both` for bigrams."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         h, self.offsets = token_hashes(data, offsets)
         self.row = np.repeat(np.arange(len(offsets) - 1), np.diff(self.offsets))
         self.kinds, self.inverse = np.unique(h, return_inverse=True)
         self.before = before(self.inverse, self.offsets, np.searchsorted(self.kinds, END))
-        both, self.back = np.unique(pair_key(self.kinds[self.before], h), return_inverse=True)
-        self.keys = np.concatenate([self.kinds, follow_key(self.kinds >> np.uint64(32)), both])
+        self.both, self.back = np.unique(item_of(pair_key(self.kinds[self.before], h)), return_inverse=True)
 
-    def scores(self, levels: np.ndarray, space: float) -> np.ndarray:
-        """log10 of each text's probability, given the levels of `keys`."""
-        n = len(self.kinds)
-        count, follow, both = MIDDLE[levels[:n]], MIDDLE[levels[n : 2 * n]], MIDDLE[levels[2 * n :]]
+    def scores(self, single: np.ndarray, follow: np.ndarray, both: np.ndarray, space: float) -> np.ndarray:
+        """log10 of each text's probability, given the levels."""
+        count, follow = MIDDLE[single], MIDDLE[follow]
         trust = np.where((count > 0) & (follow > 0), count / np.maximum(count + follow, 1), 0.0)[self.before]
-        after = np.minimum(both[self.back] / np.maximum(count[self.before], 1), 1.0)
+        after = np.minimum(MIDDLE[both][self.back] / np.maximum(count[self.before], 1), 1.0)
         p = ((count + 1) / space)[self.inverse]
         return np.bincount(self.row, np.log10(trust * after + (1 - trust) * p), len(self.offsets) - 1)
 
 
+def half_of(kind: np.ndarray) -> np.ndarray:
+    """The half of a token's hash by which its followers are counted."""
+    return kind >> np.uint64(32)
+
+
+def token_items(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Items of tokens and of their numbers of followers."""
+    return item_of(kind), item_of(follow_key(half_of(kind)))
+
+
 def before(h: np.ndarray, offsets: np.ndarray, end) -> np.ndarray:
     """Each token's predecessor; `end` for the first of a text."""
     out = np.concatenate([h[:1], h[:-1]])
@@ -193,10 +236,6 @@ def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 1_
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, floor = 0, 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            k, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return k, np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
-
         def rows(k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
             for i in range(0, len(k), 1 << 17):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 17)].view(np.int64)), pa.array(n[i : i + (1 << 17)])], names=["key", "n"])
@@ -209,17 +248,113 @@ def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 1_
                 held.append((k, n))
                 size += len(k)
                 if size > floor + 500_000:
-                    held = [merged()]
+                    held = [_merged(held)]
                     size = floor = len(held[0][0])
                     if size > most:
                         yield from rows(*held[0])
                         held, size, floor = [], 0, 0
         if held:
-            yield from rows(*merged())
+            yield from rows(*_merged(held))
 
     return df.select(F.col("t")).mapInArrow(run, spec)
 
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    k, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    return k, np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
+
+
+def _runs(df: DataFrame, groups: int, most: int = 2_000_000) -> DataFrame:
+    """(grp, keys, counts): the bigrams of each task, counted, as a sorted run for each group."""
+
+    def rows(held: list) -> Iterator[pa.RecordBatch]:
+        if not held:
+            return
+        k, n = _merged(held)
+        home = group_of(item_of(k), groups)
+        order = np.argsort(home, kind="stable")
+        k, n, home = k[order], n[order].astype(np.uint64), home[order]
+        cuts = np.flatnonzero(np.diff(home, prepend=-1, append=-1))
+        for i in range(0, len(cuts) - 1, 256):
+            part = [(cuts[j], cuts[j + 1]) for j in range(i, min(i + 256, len(cuts) - 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([home[x] for x, _ in part], pa.int32()), pa.array([_planes(k[x:y], 8) for x, y in part], pa.binary()), pa.array([_planes(n[x:y], 8) for x, y in part], pa.binary())], names=["grp", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, floor = [], 0, 0
+        for b in batches:
+            data, offsets = text_buffers(b.column(0))
+            for i, j in chunks(offsets):
+                h, off = token_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                held.append(np.unique(pair_key(before(h, off, END), h), return_counts=True))
+                size += len(held[-1][0])
+                if size > floor + 1_000_000:
+                    held = [_merged(held)]
+                    size = floor = len(held[0][0])
+                    if size > most:
+                        yield from rows(held)
+                        held, size, floor = [], 0, 0
+        yield from rows(held)
+
+    return df.select("t").mapInArrow(run, "grp int, keys binary, counts binary")
+
+
+def _filled(runs: DataFrame) -> DataFrame:
+    """Of each group its bits (grp, blob), and of its bigrams' first tokens (half, n) with the number of distinct followers."""
+
+    def made(grp: int, held: list) -> Iterator[pa.RecordBatch]:
+        k, n = _merged(held)
+        yield pa.RecordBatch.from_arrays([pa.array([grp], pa.int32()), pa.array([fill(item_of(k), level(n))], pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names=["grp", "blob", "half", "n"])
+        half, n = np.unique(half_of(k), return_counts=True)
+        for i in range(0, len(half), 1 << 17):
+            x, y = half[i : i + (1 << 17)].view(np.int64), n[i : i + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int32()), pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(y)], names=["grp", "blob", "half", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size, floor = None, [], 0, 0
+        for b in batches:
+            for i in range(b.num_rows):
+                grp = b.column(0)[i].as_py()
+                if grp != now:
+                    if held:
+                        yield from made(now, held)
+                    now, held, size, floor = grp, [], 0, 0
+                held.append((_unplanes(b.column(1)[i].as_py(), 8), _unplanes(b.column(2)[i].as_py(), 8)))
+                size += len(held[-1][0])
+                if size > floor + 2_000_000:
+                    held = [_merged(held)]
+                    size = floor = len(held[0][0])
+        if held:
+            yield from made(now, held)
+
+    return runs.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "grp int, blob binary, half long, n long")
+
+
+def _token_filter(single: DataFrame, follow: DataFrame, groups: int) -> DataFrame:
+    """(grp, blob): the tokens and the numbers of their followers, a token and its followers in one group."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, follows = b.column(0).to_numpy().view(np.uint64), b.column(2).to_numpy(zero_copy_only=False)
+            half = np.where(follows, key, half_of(key))
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(item_of(half), groups).astype(np.int32)), pa.array(item_of(np.where(follows, follow_key(key), key)).view(np.int64)), b.column(1)], names=["grp", "item", "level"])
+
+    def build(group):
+        import pandas as pd
+
+        return pd.DataFrame({"grp": group["grp"].iloc[:1], "blob": [fill(group["item"].to_numpy().view(np.uint64), group["level"].to_numpy().astype(np.int64))]})
+
+    entries = single.select("key", "level", F.lit(False).alias("follows")).union(follow.select("half", "level", F.lit(True)))
+    return entries.mapInArrow(keyed, "grp int, item long, level int").groupBy("grp").applyInPandas(build, "grp int, blob binary")
+
+
+class TokenFilter(Filter):
+    def both_levels(self, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Levels of the counts of tokens and of their numbers of followers."""
+        single, follow = token_items(kinds)
+        g = group_of(item_of(half_of(kinds)), self.groups)
+        return tuple(_probe(self.data, x, self.starts[g], self.sizes[g]) for x in (single, follow))
+
+
 def _cut(histogram: list, most: int) -> int:
     """Least count to keep, given rows (level, items, keys), so that no more than `most` items stay."""
     total = 0
@@ -230,11 +365,10 @@ def _cut(histogram: list, most: int) -> int:
     return 1
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, exact: int = 1 << 20, max_bits: int = 1 << 29) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = 1 << 20, max_bits: int = 1 << 29, group_tokens: int = GROUP_TOKENS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    A filter of over `max_bits` is probed by shard instead of being broadcast. With a `vocabulary`, bigrams are
-    counted over only so many of the most frequent tokens (at most `exact`).
+    A filter of over `max_bits` is probed group by group instead of being broadcast; `exact` bounds the table of exact counts.
     """
     spark = df.sparkSession
     ship(spark)
@@ -245,71 +379,49 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
     single = table(_counted(train, lambda data, offsets: token_hashes(data, offsets)[0]).groupBy("key").agg(F.sum("n").alias("n")).withColumn("level", level_of), "token-counts")
     by_level = single.groupBy("level").agg(F.count("*").alias("keys"), F.sum("n").alias("tokens")).collect()  # a row for each level
     total, kinds = sum(r["tokens"] for r in by_level), sum(r["keys"] for r in by_level)
-
-    def top(most: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and counts of the most frequent tokens: whole levels, as many as fit, sorted by key."""
-        least = _cut([{"level": r["level"], "items": r["keys"]} for r in by_level], most)
-        got = single.where(F.col("level") >= least).select("key", "n").toArrow().combine_chunks()
-        key = got["key"].to_numpy().view(np.uint64)
-        order = np.argsort(key)
-        return key[order], got["n"].to_numpy()[order]
-
-    known_key, known_n = top(exact)
-    words = None if vocabulary is None else spark.sparkContext.broadcast(np.append(known_key[np.lexsort((known_key, -known_n))[:vocabulary]], END))
-
-    def bigrams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        h, off = token_hashes(data, offsets)
-        a = before(h, off, END)
-        if words is not None:
-            ok = np.isin(a, words.value) & np.isin(h, words.value)
-            a, h = a[ok], h[ok]
-        return pair_key(a, h)
-
-    # few bigrams occur again within a task, so their counts are merged in short runs
-    double = table(_counted(train, bigrams, most=400_000).groupBy("key").agg(F.sum("n").alias("n")).select("key", level_of.alias("level")), "bigram-levels")
-    follow = table(double.groupBy(F.shiftrightunsigned("key", 32).alias("key")).agg(F.count("*").alias("n")).select("key", level_of.alias("level")), "follower-levels")
-    items = sum(x.agg(F.sum("level")).first()[0] or 0 for x in (single, double, follow))
-    shards = max(1, -(-items * BITS_PER_ITEM // SHARD_BITS))
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            key = b.column(0).to_numpy().view(np.uint64)
-            key = np.where(b.column(2).to_numpy(zero_copy_only=False), follow_key(key), key)
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(key, shards).astype(np.int32)), pa.array(key.view(np.int64)), b.column(1)], names=["shard", "key", "level"])
-
-    def build(group):
-        import pandas as pd
-
-        return pd.DataFrame({"shard": group["shard"].iloc[:1], "blob": [fill(group["key"].to_numpy().view(np.uint64), group["level"].to_numpy().astype(np.int64))]})
-
-    entries = single.select("key", "level", F.lit(False).alias("half")).union(double.select("key", "level", F.lit(False))).union(follow.select("key", "level", F.lit(True)))
-    blobs = table(entries.mapInArrow(keyed, "shard int, key long, level int").groupBy("shard").applyInPandas(build, "shard int, blob binary"), "filter")
+    drop(spark)
+
+    least = _cut([{"level": r["level"], "items": r["keys"]} for r in by_level], exact)
+    got = single.where(F.col("level") >= least).select("key", "n").toArrow().combine_chunks()  # at most `exact` rows
+    known_key = got["key"].to_numpy().view(np.uint64)
+    order = np.argsort(known_key)
+    known_key, known_n = known_key[order], got["n"].to_numpy()[order]
+
+    groups, homes = max(1, -(-total // group_tokens)), max(1, -(-4 * kinds // group_tokens))
+    filled = table(_filled(_runs(train, groups)), "bigram-filter")
+    drop(spark)
+    follow = filled.where("half is not null").groupBy("half").agg(F.sum("n").alias("n")).select("half", level_of.alias("level"))
+    tokens = table(_token_filter(single, follow, homes), "token-filter")
+    drop(spark)
+    pairs = filled.where("grp is not null").select("grp", "blob")
     known = spark.sparkContext.broadcast((known_key, known_n))
     space = float(total + kinds + 1)
 
-    def row(c: Chunk, levels: np.ndarray, rid: pa.Array, ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
+    def row(c: Chunk, levels: tuple, rid: pa.Array, ids: pa.Array, held: pa.Array) -> pa.RecordBatch:
         known_key, known_n = known.value
         n, kinds_, inverse = len(rid), c.kinds, c.inverse
         at = np.minimum(np.searchsorted(known_key, kinds_), max(0, len(known_key) - 1))
         hit = known_key[at] == kinds_ if len(known_key) else np.zeros(len(kinds_), bool)
         exact_n = np.where(hit, known_n[at] if len(known_key) else 0, 0)
-        base = np.bincount(c.row, np.log10((exact_n + 1) / space)[inverse] * hit[inverse], n)
+        base = np.bincount(c.row, np.log10((exact_n + 1) / space)[inverse], n)
         sure = np.bincount(c.row, hit[inverse], n).astype(np.int64)
-        # the tokens whose exact count is not at hand: distinct ones of each row with their number
+        # the tokens whose exact count is not at hand, so far taken for unseen: distinct ones of each row with their number
         rare = np.flatnonzero(~hit[inverse])
         pair, times = np.unique(c.row[rare] * len(kinds_) + inverse[rare], return_counts=True)
         cuts = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(kinds_)), minlength=n))]).astype(np.int32)
         rares = kinds_[pair % max(1, len(kinds_))].view(np.int64)
         return pa.RecordBatch.from_arrays([
-            rid, ids, held, pa.array(np.diff(c.offsets)), pa.array(sure), pa.array(base), pa.array(c.scores(levels, space)),
+            rid, ids, held, pa.array(np.diff(c.offsets)), pa.array(sure), pa.array(base), pa.array(c.scores(*levels, space)),
             pa.ListArray.from_arrays(pa.array(cuts), pa.array(rares)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(times.astype(np.int64))),
         ], names=["rid", "id", "held_out", "n_tokens", "sure", "base", "score", "rare", "times"])
 
     picked = docs.withColumn("held_out", _held_out("id"))
     kind = type(picked.schema)
     schema = kind([*schema_of("rid long").fields, picked.schema["id"], *schema_of("held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, times array<long>").fields])
-    if shards * SHARD_BITS <= max_bits:
-        sent = spark.sparkContext.broadcast(Filter(shards, {r["shard"]: r["blob"] for r in blobs.collect()}))
+    size = pairs.union(tokens).agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()["b"]
+    if size * 8 <= max_bits:
+        loaded = lambda made, n, blobs: made(n, {r["grp"]: bytes(r["blob"]) for r in blobs.collect()})
+        sent = spark.sparkContext.broadcast((loaded(TokenFilter, homes, tokens), loaded(Filter, groups, pairs)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rid = TaskContext.get().partitionId() << 40
@@ -317,89 +429,120 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabul
                 data, offsets = text_buffers(b.column(1))
                 for i, j in chunks(offsets):
                     c = Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    yield row(c, sent.value.levels(c.keys), pa.array(rid + np.arange(j - i)), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i))
+                    levels = (*sent.value[0].both_levels(c.kinds), sent.value[1].levels(c.both))
+                    yield row(c, levels, pa.array(rid + np.arange(j - i)), b.column(0).slice(i, j - i), b.column(2).slice(i, j - i))
                     rid += j - i
 
-        scored = picked.mapInArrow(run, schema)
+        scored = table(picked.mapInArrow(run, schema), "scored")
     else:
-        scored = _by_shards(picked, blobs, shards, row, schema)
-    scored = table(scored, "scored")
+        scored = _by_groups(picked, tokens, homes, pairs, groups, row, schema, run_bytes)
+    drop(spark, filled, tokens)
     rare = scored.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
-    joined = rare.join(single.select("key", "n"), "key", "left")
-    more = joined.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(space))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("found"))
+    joined = rare.join(single.where(F.col("level") < least).select("key", "n"), "key")
+    more = joined.groupBy("rid").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("found"))
     out = scored.drop("rare", "times").join(more, "rid", "left")
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("sure") + F.coalesce("found", F.lit(0))).cast("long").alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def _by_shards(picked: DataFrame, blobs: DataFrame, shards: int, row, schema) -> DataFrame:
-    """The way for a filter that is too large to broadcast: a chunk's keys meet each group of shards in the task that holds it."""
-    groups = min(shards, -(-shards * SHARD_BITS // GROUP_BITS) + 1)
-    kind = type(picked.schema)
-    spec = kind([*schema_of("chunk long, grp int, rid long").fields, picked.schema["id"], *schema_of("held_out boolean, t string, blob binary").fields])
-    names = [f.name for f in spec.fields]
+def _by_groups(picked: DataFrame, tokens: DataFrame, homes: int, pairs: DataFrame, groups: int, row, schema, run_bytes: int) -> DataFrame:
+    """The way for a filter that is too large to broadcast.
 
-    def home(keys: np.ndarray) -> np.ndarray:
-        return shard_of(keys, shards) * groups // shards
+    Documents get a number (rid) and a run (several neighbours) and are written. A task that reads part of a run sends the
+    groups its keys, marked with run and first rid; with the levels that come back the run is scored part by part.
+    Groups of bigrams are numbered from 0, those of tokens after them.
+    """
+    kind = type(picked.schema)
+    spec = kind([*schema_of("run long, rid long").fields, *picked.schema.fields])
+    spark = picked.sparkSession
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
         for b in batches:
-            ids, texts, held = b.columns
-            data, offsets = text_buffers(texts)
-            for i, j in chunks(offsets):
+            for i, j in chunks(text_buffers(b.column(1))[1], run_bytes):
                 n = j - i
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(np.full(n, -1, np.int32)), pa.array(rid + np.arange(n)), ids.slice(i, n), held.slice(i, n), texts.slice(i, n), pa.nulls(n, pa.binary())], names=names)
-                keys = Chunk(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).keys
-                at = home(keys)
-                for g in np.unique(at).tolist():
-                    blob = keys[at == g].tobytes()
-                    yield pa.RecordBatch.from_arrays([pa.array([rid]), pa.array([g], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, ids.type), pa.nulls(1, held.type), pa.nulls(1, texts.type), pa.array([blob], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(rid + np.arange(n)), *(c.slice(i, n) for c in b.columns)], names=["run", "rid", *b.schema.names])
                 rid += n
 
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, held, bloom = -1, {}, None
+    def parts(run: np.ndarray) -> list[tuple[int, int]]:
+        cuts = [*np.flatnonzero(np.diff(run, prepend=run[:1] - 1)).tolist(), len(run)]
+        return list(zip(cuts, cuts[1:]))
+
+    def chunk(text: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
+        c = Chunk(*text_buffers(text))
+        return c, group_of(item_of(half_of(c.kinds)), homes), group_of(c.both, groups)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j in parts(run):
+                c, home, group = chunk(b.column(3).slice(i, j - i))
+                grp, blobs = [], []
+                for at, keys, first, width in ((group, c.both, 0, 6), (home, c.kinds, groups, 8)):
+                    order = np.argsort(at, kind="stable")
+                    cuts = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+                    keys = keys[order]
+                    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        grp.append(first + int(at[order[x]]))
+                        blobs.append(_planes(keys[x:y], width))
+                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(np.full(len(grp), run[i])), pa.array(np.full(len(grp), rid[i])), pa.array(blobs, pa.binary())], names=["grp", "run", "first", "blob"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, data = -1, None
         for b in batches:
+            grps, runs, firsts = (b.column(k).to_numpy() for k in range(3))
+            out = []
             for k in range(b.num_rows):
-                chunk, g, blob = b.column(0)[k].as_py(), b.column(1)[k].as_py(), b.column(2)[k].as_py()
-                if g != group:
-                    group, held, bloom = g, {}, None
-                if chunk < 0:  # a shard; those of a group come before its keys
-                    held[-1 - chunk] = blob
+                blob = b.column(3)[k].as_py()
+                if runs[k] < 0:  # the bits of a group come before its keys
+                    now, data = grps[k], np.frombuffer(blob, np.uint8)
                     continue
-                if bloom is None:
-                    bloom, held = Filter(shards, held, -(-g * shards // groups), -(-(g + 1) * shards // groups)), {}
-                levels = bloom.levels(np.frombuffer(blob, np.uint64)).astype(np.uint8).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([g], pa.int32()), pa.array([levels], pa.binary())], names=["chunk", "grp", "blob"])
+                if grps[k] != now:  # a group without any items
+                    now, data = grps[k], np.zeros(8, np.uint8)
+                probe = lambda x: _probe(data, x, np.zeros(len(x), np.uint64), np.full(len(x), len(data) * 8, np.uint64)).astype(np.uint8)  # noqa: B023, E731
+                got = probe(_unplanes(blob, 6)) if grps[k] < groups else np.concatenate([probe(x) for x in token_items(_unplanes(blob, 8))])
+                out.append((k, got.tobytes()))
+            at = [k for k, _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(runs[at]), pa.array(firsts[at]), pa.array(grps[at]), pa.array([x for _, x in out], pa.binary())], names=["run", "first", "grp", "blob"])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made() -> pa.RecordBatch:
-            t = pa.Table.from_batches(texts).combine_chunks()
-            rid, ids, held, text = (t[x].combine_chunks() if t.num_rows else t[x] for x in ("rid", "id", "held_out", "t"))
-            c = Chunk(*text_buffers(text))
-            at, levels = home(c.keys), np.zeros(len(c.keys), np.int64)
-            for g, blob in found:
-                levels[at == g] = np.frombuffer(blob, np.uint8)
-            return row(c, levels, rid, ids, held)
-
-        now, texts, found = None, [], []
+        def made(rows: list, found: list) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            rid, ids, text, held = (t.column(k).combine_chunks() if t.num_rows else t.column(k) for k in range(1, 5))
+            firsts = sorted({f for f, _, _ in found})
+            cuts = [*np.searchsorted(rid.to_numpy(), firsts).tolist(), len(rid)]
+            for first, i, j in zip(firsts, cuts, cuts[1:]):
+                c, home, group = chunk(text.slice(i, j - i))
+                single, follow, both = (np.zeros(n, np.uint8) for n in (len(c.kinds), len(c.kinds), len(c.both)))
+                for _, g, blob in (x for x in found if x[0] == first):
+                    levels = np.frombuffer(blob, np.uint8)
+                    if g < groups:
+                        both[group == g] = levels
+                    else:
+                        single[home == g - groups], follow[home == g - groups] = levels[: len(levels) // 2], levels[len(levels) // 2 :]
+                yield row(c, (single, follow, both), rid.slice(i, j - i), ids.slice(i, j - i), held.slice(i, j - i))
+
+        now, rows, found = None, [], []
         for b in batches:
-            chunk, grp = b.column(0).to_numpy(), b.column(1).to_numpy()
-            starts = np.flatnonzero(np.diff(chunk, prepend=chunk[:1] - 1))
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(chunk)]):
-                if chunk[i] != now:
-                    if texts:
-                        yield made()
-                    now, texts, found = chunk[i], [], []
+            run, grp = b.column(0).to_numpy(), b.column(6).to_numpy()
+            for i, j in parts(run):
+                if run[i] != now:
+                    if rows:
+                        yield from made(rows, found)
+                    now, rows, found = run[i], [], []
                 n = int(np.searchsorted(grp[i:j], 0))  # the documents come before the levels
                 if n:
-                    texts.append(b.slice(i, n))
-                found += [(int(grp[k]), b.column(6)[k].as_py()) for k in range(i + n, j)]
-        if texts:
-            yield made()
-
-    packed = table(picked.mapInArrow(pack, spec), "chunks")
-    sides = blobs.select((-1 - F.col("shard")).cast("long").alias("chunk"), F.expr(f"CAST(CAST(shard AS LONG) * {groups} div {shards} AS INT)").alias("grp"), "blob")
-    asked = packed.where("grp >= 0").select("chunk", "grp", "blob").union(sides).repartition("grp").sortWithinPartitions("grp", "chunk")
-    levels = asked.mapInArrow(probe, "chunk long, grp int, blob binary")
-    levels = levels.select("chunk", "grp", *(F.lit(None).cast(f.dataType).alias(f.name) for f in spec.fields[2:-1]), "blob")
-    return packed.where("grp < 0").union(levels).repartition("chunk").sortWithinPartitions("chunk", "grp", "rid").mapInArrow(finish, schema)
+                    rows.append(b.slice(i, n))
+                found += [(b.column(1)[k].as_py(), int(grp[k]), b.column(5)[k].as_py()) for k in range(i + n, j)]
+        if rows:
+            yield from made(rows, found)
+
+    docs = table(picked.mapInArrow(number, spec), "runs")
+    bits = pairs.union(tokens.select((F.col("grp") + groups).alias("grp"), "blob")).select("grp", F.lit(-1).cast("long").alias("run"), F.lit(-1).cast("long").alias("first"), "blob")
+    asked = docs.mapInArrow(ask, "grp int, run long, first long, blob binary").union(bits).repartition("grp").sortWithinPartitions("grp", "run")
+    levels = table(asked.mapInArrow(answer, "run long, first long, grp int, blob binary"), "levels")
+    drop(spark)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in picked.schema.fields]
+    both = docs.select("run", "rid", "id", "t", "held_out", F.lit(None).cast("binary").alias("blob"), F.lit(-1).alias("grp")).union(levels.select("run", F.col("first").alias("rid"), *none, "blob", "grp"))
+    scored = table(both.repartition("run").sortWithinPartitions("run", "grp", "rid").mapInArrow(finish, schema), "scored")
+    drop(spark, docs, levels)
+    return scored

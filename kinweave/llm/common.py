@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -56,7 +57,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there."""
     at = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    out = df.sparkSession.read.schema(df.schema).parquet(at)
+    out.kept_at = at
+    return out
+
+
+def drop(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables of `table` that nothing reads any more, and let Spark see that the shuffle files of queries that are over can go."""
+    for t in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

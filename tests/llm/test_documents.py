@@ -549,7 +549,7 @@ def brute_lm(texts):
     return {d: (held[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in toks.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"exact": 4, "vocabulary": 3}, {"max_bits": 1 << 12}])
+@pytest.mark.parametrize("options", [{}, {"exact": 4}, {"max_bits": 1 << 12, "group_tokens": 5_000}])
 def test_lm(messy, options):
     want = brute_lm(texts_of(messy))
     got = {r["doc_id"]: r for r in bloom_lm.score(messy, **options).collect()}
@@ -576,8 +576,8 @@ def test_lm_keeps_everything(spark, messy):
     """Rare bigrams of rare tokens count, and a filter too large to broadcast scores alike."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for df in (docs, messy):
-        rows_ = [sorted(((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in bloom_lm.score(df, **o).collect())) for o in ({}, {"max_bits": 1 << 12})]
-        assert rows_[0] == rows_[1]
+        rows_ = [sorted(((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in bloom_lm.score(df, **o).collect())) for o in ({}, {"max_bits": 1 << 12}, {"max_bits": 1 << 12, "run_bytes": 5_000})]
+        assert rows_[0] == rows_[1] == rows_[2]
     words = [f"w{k}" for k in range(9000)]
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
     seen = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 != 2)
@@ -590,16 +590,30 @@ def test_lm_keeps_everything(spark, messy):
     assert abs(got[held] - want) < 0.05 * abs(want) and got[other] < 5 * got[held]
 
 
+def test_token_hashes():
+    """Words by content alone; those that collide in polynomials modulo 2**64 are told apart."""
+    thue = [0]
+    for _ in range(12):
+        thue += [1 - x for x in thue]
+    a, b = ("".join("ab"[x ^ k] for x in thue) for k in (0, 1))
+    text = f"{a} {b} {a.upper()} x\tX"
+    h, off = bloom_lm.token_hashes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+    assert h[0] == h[2] != h[1] and h[3] == h[4] and h[5] == bloom_lm.END and off.tolist() == [0, 6]
+    one = bloom_lm._planes(h, 8)
+    assert (bloom_lm._unplanes(one, 8) == h).all() and (bloom_lm._unplanes(bloom_lm._planes(h >> np.uint64(16), 6), 6) == h >> np.uint64(16)).all()
+
+
 def test_filter_levels():
     rng = np.random.default_rng(5)
     keys = np.unique(rng.integers(0, 2**63, 30_000).astype(np.uint64))
     levels = bloom_lm.level(rng.zipf(1.8, len(keys)).clip(1, 10**6))
-    shards = 1 + int(levels.sum()) * bloom_lm.BITS_PER_ITEM // bloom_lm.SHARD_BITS
-    home = bloom_lm.shard_of(keys, shards)
-    f = bloom_lm.Filter(shards, {s: bloom_lm.fill(keys[home == s], levels[home == s]) for s in range(shards)})
+    keys, home = bloom_lm.item_of(keys), bloom_lm.group_of(bloom_lm.item_of(keys), 5)
+    f = bloom_lm.Filter(6, {})
+    assert not f.levels(keys).any()
+    f = bloom_lm.Filter(5, {g: bloom_lm.fill(keys[home == g], levels[home == g]) for g in range(5)})
     got = f.levels(keys)
     assert (got >= levels).all() and np.mean(got == levels) > 0.95
-    unseen = np.setdiff1d(rng.integers(0, 2**63, 30_000).astype(np.uint64), keys)
+    unseen = np.setdiff1d(bloom_lm.item_of(rng.integers(0, 2**63, 30_000).astype(np.uint64)), keys)
     assert np.mean(f.levels(unseen) == 0) > 0.95
     for c in (1, 2, 3, 4, 10, 1000):
         q = int(bloom_lm.level(np.array([c]))[0])
