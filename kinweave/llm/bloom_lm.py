@@ -52,7 +52,7 @@ GROUP_TOKENS = 1 << 21
 #: Bytes of text of a run of documents that asks the groups together.
 RUN_BYTES = 8 << 20
 #: Bytes of a text above which its tokens are hashed in several runs.
-LONG_BYTES = 4 << 20
+LONG_BYTES = 1 << 20
 #: Bytes from which a token has a hash of its own kind: in polynomials modulo 2**64, some words of 2048 bytes collide by construction.
 LONG_TOKEN = 512
 _SPACE = np.zeros(256, bool)
@@ -72,18 +72,24 @@ MIDDLE = np.array([0.0] + [(_LEAST[q] + max(_LEAST[q], _LEAST[q + 1] - 1)) / 2 f
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets) of the tokens of each row, with the end token last."""
-    n = len(offsets) - 1
-    if n == 1 and len(data) > LONG_BYTES:  # a long text, cut at white space
-        at, parts, spaces = 0, [], np.flatnonzero(_SPACE[data])
-        while at < len(data):
+    """(hashes, offsets) of the tokens of each row, with the end token last; some `CHUNK_BYTES` of text are looked at at once."""
+    hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in chunks(offsets):
+        text, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        if j > i + 1 or len(text) <= LONG_BYTES:
+            h, ends = _tokens(text, own)
+            hashes.append(h)
+            sizes.append(np.diff(ends))
+            continue
+        at, before, spaces = 0, len(hashes), np.flatnonzero(_SPACE[text])
+        while at < len(text):  # a long text, cut at white space
             k = np.searchsorted(spaces, at + LONG_BYTES)
-            stop = int(spaces[k]) if k < len(spaces) else len(data)
-            parts.append(_tokens(data[at:stop], np.array([0, min(stop, len(data)) - at]))[0][:-1])
+            stop = int(spaces[k]) if k < len(spaces) else len(text)
+            hashes.append(_tokens(text[at:stop], np.array([0, stop - at]))[0][:-1])
             at = stop
-        h = np.append(np.concatenate(parts), END)
-        return h, np.array([0, len(h)], np.int64)
-    return _tokens(data, offsets)
+        hashes.append(np.array([END]))
+        sizes.append(np.array([sum(map(len, hashes[before:]))]))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
