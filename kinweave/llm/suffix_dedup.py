@@ -8,7 +8,8 @@ anchor its `anchor`-byte substring of least hash (leftmost of equals), a choice
 equal windows have equal anchors. Windows side by side with one anchor form a segment; a text of n
 bytes has some 2n / (length - anchor) of them, and only (anchor, segment hash, place) are shuffled.
 
-- A segment whose content was seen earlier goes whole; its first occurrence stays for now.
+- A segment whose content was seen earlier goes whole; its first occurrence stays for now. Within what a task reads
+  together the bytes are compared; across tasks 112 bits of hash decide, of strings under 256 bytes.
 - An anchor under which there is one segment content only is done with. What is left, the borders of
   repeated passages, has its bytes fetched (from the exchange of texts that every step shares) and its
   suffixes sorted, bucket by bucket of the anchor.
@@ -23,7 +24,8 @@ sends a row per task. An anchor with more than `hot` contents has its windows se
 bucket of their own hash. No step holds a whole group of copies in memory.
 
 Ids are integers. Defined results: null counts as the empty text, which has nothing to remove; a null id counts as the
-smallest; rows with one id follow each other in the order of their texts, so the later of two equal
+smallest; rows with one id follow each other in the order of their texts' hashes (they are numbered first, by ranges of id and
+hash, so that an id that many rows share is no hot key), so the later of two equal
 rows goes whole if it is long enough; an empty table gives an empty result; columns other than the two
 named ones are not looked at.
 """
@@ -35,10 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, mix64, powers, prefix_hash, ship, text_buffers
+from .common import CHUNK_BYTES, chunks, mix64, powers, prefix_hash, ship, table, text_buffers
 
 LENGTH = 100
 ANCHOR = 32
@@ -91,16 +94,36 @@ def _unpack(loc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return loc >> 40, (loc >> 8) & 0xFFFFFFFF, (loc >> 1) & 0x7F, loc & 1
 
 
-def _firsts(*keys: np.ndarray) -> np.ndarray:
-    """Whether each row is the first with its keys."""
+def _leaders(*keys: np.ndarray) -> np.ndarray:
+    """For each row the first one with its keys."""
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
     for k in keys:
         s = k[order]
         new[1:] |= s[1:] != s[:-1]
-    out = np.zeros(len(order), bool)
-    out[order[new]] = True  # lexsort is stable
+    out = np.zeros(len(order), np.int64)
+    out[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else 0  # lexsort is stable
+    return out
+
+
+def _copies(data: np.ndarray, start: np.ndarray, size: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Whether a string (start, size in data) has the keys and, byte by byte, the content of an earlier one: the first with its keys."""
+    lead = _leaders(*keys)
+    out = lead != np.arange(len(lead))
+    i = np.flatnonzero(out)
+    out[i] = size[i] == size[lead[i]]
+    i = np.flatnonzero(out)
+    ends = np.cumsum(size[i])
+    a = 0
+    while a < len(i):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (4 << 20), side="right")))
+        n = size[i[a:b]]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum())) - np.repeat(first, n)
+        same = data[np.repeat(start[i[a:b]], n) + step] == data[np.repeat(start[lead[i[a:b]]], n) + step]
+        out[i[a:b]] = np.logical_and.reduceat(same, first)
+        a = b
     return out
 
 
@@ -217,14 +240,14 @@ def _scan(length: int, anchor: int):
     """Texts in order -> (k1, k2, did, loc) of their segments; loc's flag marks copies settled here."""
     names = ["k1", "k2", "did", "loc"]
 
-    def settle(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        did, loc, k1, k2 = (np.concatenate(x) for x in zip(*held))
-        copy = ~_firsts(k1, k2)
+    def settle(held: list[tuple[np.ndarray, ...]], texts: list[np.ndarray]) -> pa.RecordBatch:
+        did, loc, k1, k2, start, size = (np.concatenate(x) for x in zip(*held))
+        copy = _copies(np.concatenate(texts), start, size, k1, k2)
         k1 = np.where(copy, mix64(k1 + _mixed(did, loc)), k1)  # copies go anywhere
         return _rows(names, _longs(k1), _longs(k2), did, loc | copy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, texts, size = [], [], 0
         for b in batches:
             did, rn = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             data, offsets = text_buffers(b.column(2))
@@ -235,14 +258,16 @@ def _scan(length: int, anchor: int):
                 for p in range(0, max(1, whole - length + 1), step):
                     stop = min(whole, p + step + length - 1)
                     own = offsets[i : j + 1] - offsets[i] if step > whole else np.array([0, stop - p])
-                    row, start, windows, k1, k2 = segments(data[offsets[i] + p : offsets[i] + stop], own, length, anchor)
-                    held.append((did[i + row], _pack(rn[i + row], start + p, windows, 0), k1, k2))
+                    text = data[offsets[i] + p : offsets[i] + stop]
+                    row, start, windows, k1, k2 = segments(text, own, length, anchor)
+                    held.append((did[i + row], _pack(rn[i + row], start + p, windows, 0), k1, k2, size + own[row] + start, windows + length - 1))
+                    texts.append(text)
                     size += stop - p
                     if size > 8 << 20:
-                        yield settle(held)
-                        held, size = [], 0
+                        yield settle(held, texts)
+                        held, texts, size = [], [], 0
         if held:
-            yield settle(held)
+            yield settle(held, texts)
 
     return run
 
@@ -333,7 +358,7 @@ def _fetch(length: int):
                         start = at[back] + step
                         prefix = prefix_hash(data)
                         h = mix64((prefix[start + length] - prefix[start]) * powers(len(prefix))[1][start]) & ~_LOW
-                        copy = ~_firsts(h)
+                        copy = _copies(data, start, np.full(len(start), length), h)
                         place = _pack(rn[back], pos[back] + step, np.ones(len(back), np.int64), copy.astype(np.int64))
                         key = np.where(copy, mix64(h + _mixed(did[doc[back]], place)), h)
                         yield pa.RecordBatch.from_arrays([pa.array(_longs(key)), pa.array(did[doc[back]]), pa.array(place), pa.array([b"" if c else raw[a : a + length] for a, c in zip(start.tolist(), copy.tolist())], pa.binary())], names=names)
@@ -470,9 +495,33 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("length - anchor has to lie between 1 and 126")
     ship(df.sparkSession)
     texts = df.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NONE)).alias("did"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
-    docs = texts.withColumn("rn", F.row_number().over(Window.partitionBy("did").orderBy("t"))).select("did", "rn", "t")
+    if texts.groupBy("did").count().where("count > 1").isEmpty():
+        out = _unique(texts, length, anchor, hot)
+    else:
+        placed = table(_placed(texts), "placed")
+        out = _unique(placed.select("place", "t").withColumnRenamed("place", "did"), length, anchor, hot).withColumnRenamed("did", "place")
+        out = placed.select("place", "did").join(out, "place").drop("place")
+    return out.withColumn("did", F.when(F.col("did") != _NONE, F.col("did"))).withColumnRenamed("did", id_col)
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    """Rows with a number of their own (place), in the order of their ids. Those that share an id come by ranges of their texts' hashes, so an id that many share is split."""
+    keys = ["did", F.xxhash64("t"), F.rand(1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place + np.arange(b.num_rows)), *b.columns], names=["place", *b.schema.names])
+            place += b.num_rows
+
+    return texts.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "place long, did long, t string")
+
+
+def _unique(texts: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
+    """For (did, t) with distinct did."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    docs = texts.repartition(n, "did").sortWithinPartitions("did").select("did", F.lit(1).alias("rn"), "t")
     found = docs.mapInArrow(_scan(length, anchor), "k1 long, k2 long, did long, loc long")
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     judged = found.repartition(n, F.shiftright("k1", 16)).sortWithinPartitions("k1", "k2", "did", "loc").mapInArrow(_judge(hot), "did long, loc long, kind int, k1 long")
     verdicts = judged.groupBy("did").agg(F.collect_list(F.struct("loc", "kind", "k1")).alias("seen"))
     with_verdicts = docs.join(verdicts.hint("merge"), "did", "left")
@@ -483,8 +532,7 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     last = with_verdicts.join(more.hint("merge"), "did", "left")
     nothing = F.array().cast("array<struct<loc:bigint,kind:int,k1:bigint>>"), F.array().cast("array<struct<rn:bigint,start:bigint,stop:bigint>>")
     last = last.select("did", "rn", "t", F.coalesce("seen", nothing[0]).alias("seen"), F.coalesce("more", nothing[1]).alias("more"))
-    out = last.mapInArrow(_cut(length), "did long, kept binary, n_bytes long, n_removed long, n_spans long, starts array<long>, stops array<long>")
-    return out.withColumn("did", F.when(F.col("did") != _NONE, F.col("did"))).withColumnRenamed("did", id_col)
+    return last.mapInArrow(_cut(length), "did long, kept binary, n_bytes long, n_removed long, n_spans long, starts array<long>, stops array<long>")
 
 
 __all__ = ["Suffixes", "repeated", "segments", "suffix_dedup"]

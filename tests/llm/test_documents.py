@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import bloom_lm, line_dedup, mixing, quality_rules, queries, scaled_sketch, simhash, suffix_dedup, unigram_pieces
 
+suffix_dedup_segments = suffix_dedup.segments
 SMALL = "/root/testdata/sf0.001"
 WS = " \t\n\x0b\x0c\r"
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, id long, t string, fp string, key long, shard long, kept string, did long, c0 string"
@@ -104,7 +105,8 @@ def test_perfect_hash():
 
 def brute_suffixes(pairs, length):
     seen, out = set(), []
-    for d, t in sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest((t or "").encode(), 42)).view(np.int64))
+    for d, t in sorted(pairs, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
@@ -135,6 +137,15 @@ def test_suffixes_edges(spark, empty):
         assert suffixes(df, hot=hot) == brute_suffixes(pairs, 100)
 
 
+def test_suffixes_of_a_shared_id(spark):
+    """100,000 rows without an id: numbered by ranges, no task or list holds them all."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcd") for _ in range(120)) for _ in range(500)]
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 500 + 1).cast("int")).alias("text"))
+    got = suffix_dedup.suffix_dedup(df.repartition(4)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted((r["n_removed"], r["count"]) for r in got) == [(0, 500), (120, 99_500)] and got[0]["doc_id"] is None
+
+
 def test_long_documents_in_runs(messy, monkeypatch):
     for m in (suffix_dedup, scaled_sketch, bloom_lm):
         monkeypatch.setattr(m, "LONG_BYTES", 300)
@@ -159,6 +170,24 @@ def test_long_documents_in_runs(messy, monkeypatch):
     segs.append(scan())
     monkeypatch.undo()
     segs.append(scan())
+    # hashes that call everything equal: bytes tell segments and windows under hot anchors apart
+    found = suffix_dedup.segments(*text_buffers(pa.array([text * 2])), 100, 32)
+    monkeypatch.setattr(suffix_dedup, "segments", lambda data, offsets, *a: (*suffix_dedup_segments(data, offsets, *a)[:3], *(np.zeros_like(k) for k in suffix_dedup_segments(data, offsets, *a)[3:])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([1, 1], pa.int32()), pa.array([text, "z" * 70 + text])], names=["did", "rn", "t"])
+    out = next(suffix_dedup._scan(100, 32)(iter([batch])))
+    monkeypatch.undo()
+    row, start, windows, _, _ = suffix_dedup.segments(*text_buffers(batch.column(2)), 100, 32)
+    raws = [t.encode() for t in batch.column(2).to_pylist()]
+    strings = [raws[r][p : p + w + 99] for r, p, w in zip(row.tolist(), start.tolist(), windows.tolist())]
+    assert ((out.column(3).to_numpy() & 1) == [k > 0 and x == strings[0] for k, x in enumerate(strings)]).all() and len(found[0])
+    monkeypatch.setattr(suffix_dedup, "mix64", np.zeros_like)
+    doc = "".join(rng.choice("ab") for _ in range(100)) + "c" * 300
+    seen = pa.array([[{"loc": (1 << 40) | (60 * k << 8) | (60 << 1), "kind": 2, "k1": 7} for k in range(5)]], pa.list_(pa.struct([("loc", pa.int64()), ("kind", pa.int32()), ("k1", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1], pa.int32()), pa.array([doc]), seen], names=["did", "rn", "t", "seen"])
+    out = next(suffix_dedup._fetch(100)(iter([batch])))
+    _, pos, _, flag = suffix_dedup._unpack(out.column(2).to_numpy())
+    assert [bool(f) for f in flag] == [p > 0 and doc[p : p + 100] == doc[:100] for p in pos.tolist()]
+    monkeypatch.undo()
     assert segs[0] == segs[1] == sum(len(t.encode()) - 99 for t in pa_texts)
     assert runs[0] == bloom_lm.token_hashes(raw, one)[0].tolist()
     v, _, g = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 16)
