@@ -12,7 +12,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
@@ -71,6 +73,24 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """df with a number of its own for each row (place), in the order of ids (null first).
+
+    Rows that share an id come by ranges of their texts' hashes, so that an id that many share is split. Write the result before it
+    is read twice: rows with equal texts are put in any order.
+    """
+    keys = [F.col(id_col), F.xxhash64(text_col), F.rand(1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place + np.arange(b.num_rows)), *b.columns], names=["place", *b.schema.names])
+            place += b.num_rows
+
+    schema = type(df.schema)([*schema_of("place long").fields, *df.schema.fields])
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets into them; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -37,11 +37,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, mix64, powers, prefix_hash, ship, table, text_buffers
+from .common import CHUNK_BYTES, chunks, mix64, numbered, powers, prefix_hash, ship, table, text_buffers
 
 LENGTH = 100
 ANCHOR = 32
@@ -498,25 +497,12 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if texts.groupBy("did").count().where("count > 1").isEmpty():
         out = _unique(texts, length, anchor, hot)
     else:
-        placed = table(_placed(texts), "placed")
+        placed = table(numbered(texts, "did", "t"), "numbered")
         out = _unique(placed.select("place", "t").withColumnRenamed("place", "did"), length, anchor, hot).withColumnRenamed("did", "place")
         out = placed.select("place", "did").join(out, "place").drop("place")
     return out.withColumn("did", F.when(F.col("did") != _NONE, F.col("did"))).withColumnRenamed("did", id_col)
 
 
-def _placed(texts: DataFrame) -> DataFrame:
-    """Rows with a number of their own (place), in the order of their ids. Those that share an id come by ranges of their texts' hashes, so an id that many share is split."""
-    keys = ["did", F.xxhash64("t"), F.rand(1)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = TaskContext.get().partitionId() << 32
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(place + np.arange(b.num_rows)), *b.columns], names=["place", *b.schema.names])
-            place += b.num_rows
-
-    return texts.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "place long, did long, t string")
-
-
 def _unique(texts: DataFrame, length: int, anchor: int, hot: int) -> DataFrame:
     """For (did, t) with distinct did."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -159,7 +159,7 @@ def test_long_documents_in_runs(messy, monkeypatch):
     raw = np.frombuffer(text.encode(), np.uint8)
     one = np.array([0, len(raw)])
     runs = bloom_lm.token_hashes(raw, one)[0].tolist(), scaled_sketch._long(raw, 20, np.uint64(1 << 44))
-    none = scaled_sketch._long(raw, 20, np.uint64(0))
+    few = scaled_sketch._long(raw, 20, np.uint64(0))
     segs = []
     pa_texts = [text, text[500:] + text[:500]]
 
@@ -191,9 +191,9 @@ def test_long_documents_in_runs(messy, monkeypatch):
     assert segs[0] == segs[1] == sum(len(t.encode()) - 99 for t in pa_texts)
     assert runs[0] == bloom_lm.token_hashes(raw, one)[0].tolist()
     v, _, g = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 16)
-    assert runs[1][0].tolist() == v.tolist() and not g[0]
-    least = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 1)[0].min()
-    assert none[1] and none[0].tolist() == [least]
+    assert runs[1][0].tolist() == v.tolist() and g[0] == runs[1][1] == scaled_sketch.BELOW
+    least = scaled_sketch.sketches(*text_buffers(pa.array([text])), 20, 1)[0][:64]
+    assert few[1] == scaled_sketch.SMALLEST and few[0].tolist() == least.tolist()
 
 
 def test_suffix_sort_and_collisions(monkeypatch):
@@ -227,7 +227,7 @@ def test_sketch_query(messy, empty):
             h = len(t[d]) // 2
             e = t[d][: len(t[d]) - h] + t[follow[d]][:h]
             assert got[d]["edited_sha256"] == hashlib.sha256(e.encode()).hexdigest() and got[d]["n_chars"] == len(t[d])
-            assert got[d]["near_next"] == scaled_sketch.containment(got[d]["fingerprint"], got[follow[d]]["fingerprint"]) or "~" in got[d]["fingerprint"] + got[follow[d]]["fingerprint"]
+            assert got[d]["near_next"] == scaled_sketch.containment(got[d]["fingerprint"], got[follow[d]]["fingerprint"])
             assert 0 <= got[d]["near_edited"] <= 1
     assert len({got[d]["fingerprint"] for d in ids if t[d] == ""}) == 1
     assert got[5]["fingerprint"] == got[6]["fingerprint"] and got[6]["near_next"] == 1.0
@@ -237,7 +237,8 @@ def test_sketch_query(messy, empty):
 def test_sketch_ties(spark):
     pairs = [(3, "bbb"), (3, "aaa"), (None, "nnn"), (1, "ccc"), (3, "aaa")]
     df = spark.createDataFrame(pairs, "doc_id long, text string")
-    order = ["aaa", "aaa", "bbb", "ccc", "nnn"]
+    signed = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = [*sorted(["aaa", "aaa", "bbb"], key=signed, reverse=True), "ccc", "nnn"]
     want = sorted(hashlib.sha256((a[:2] + b[:1]).encode()).hexdigest() for a, b in zip(order, order[1:] + order[:1]))
     for parts in (1, 4):
         assert sorted(r["edited_sha256"] for r in scaled_sketch.fingerprint_next(df, partitions=parts).collect()) == want
@@ -259,7 +260,26 @@ def test_sketch_estimates():
     assert abs(scaled_sketch.containment(whole, half) - 0.5) < 0.06
     joined = scaled_sketch.merge(whole, far)
     assert scaled_sketch.containment(joined, far) == 1.0 and scaled_sketch.containment(joined, whole) == 1.0
-    assert scaled_sketch.merge("", "") == "" and scaled_sketch.merge(one("tiny"), whole) == whole
+    assert scaled_sketch.merge("=", "=") == "=" == one("") and scaled_sketch.merge(one("tiny"), whole) in (whole, scaled_sketch.merge(whole, one("tiny")))
+    # merging sketches is sketching the union, whatever their sizes
+    for x, y in ((part[:400], part[200:900]), (part[:90], other[:90]), (part, other[:50]), (part[:3000], part[1000:9000]), ("", part[:60])):
+        both = {bytes(z[i : i + 20].encode()) for z in (x, y) for i in range(max(1, len(z) - 19)) if z}
+        hashes = sorted({h for z in both for h in scaled_sketch.parse(one(z.decode()))[0].tolist()})
+        got, mark = scaled_sketch.parse(scaled_sketch.merge(one(x), one(y)))
+        reach = scaled_sketch._reach(got, mark, (1 << 48) // 16)
+        assert got.tolist() == [h for h in hashes if h < reach] and (mark != scaled_sketch.ALL or len(hashes) <= 64)
+    # short texts: half of a text of n bytes has n/2 - 19 shingles of n - 19
+    for n in (50, 60, 80, 120, 300, 800):
+        alike = [scaled_sketch.containment(one(text[k : k + n]), one(text[k : k + n // 2] + other[k : k + n // 2])) for k in range(0, 40_000, 800)]
+        assert sum(a == 0 for a in alike) <= (3 if n > 50 else 10) and abs(sum(alike) / len(alike) - (n // 2 - 19) / (n - 19)) < 0.06
+
+
+def test_sketches_of_a_shared_id(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcd") for _ in range(30)) for _ in range(500)]
+    df = spark.range(100_000).select(F.lit(None).cast("long").alias("doc_id"), F.element_at(F.array(*map(F.lit, texts)), (F.col("id") % 500 + 1).cast("int")).alias("text"))
+    got = scaled_sketch.fingerprint_next(df.repartition(4))
+    assert got.count() == 100_000 and got.select("fingerprint").distinct().count() == 500 and got.where("near_next = 1.0").count() >= 99_500
 
 
 # --- quality rules
