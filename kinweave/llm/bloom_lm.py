@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, drop, mix64, prefix_hash, schema_of, ship, span_hash, table, text_buffers
+from .common import ask_groups, chunks, drop, mix64, prefix_hash, schema_of, ship, span_hash, table, text_buffers
 
 END = np.uint64(0x5BD1E9955BD1E995)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -72,7 +72,7 @@ MIDDLE = np.array([0.0] + [(_LEAST[q] + max(_LEAST[q], _LEAST[q + 1] - 1)) / 2 f
 
 
 def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets) of the tokens of each row, with the end token last; some `CHUNK_BYTES` of text are looked at at once."""
+    """(hashes, offsets) of the tokens of each row, with the end token last; some megabyte of text is looked at at once."""
     hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for i, j in chunks(offsets):
         text, own = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -451,104 +451,37 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact:
 
 
 def _by_groups(picked: DataFrame, tokens: DataFrame, homes: int, pairs: DataFrame, groups: int, row, schema, run_bytes: int) -> DataFrame:
-    """The way for a filter that is too large to broadcast.
-
-    Documents get a number (rid) and a run (several neighbours) and are written. A task that reads part of a run sends the
-    groups its keys, marked with run and first rid; with the levels that come back the run is scored part by part.
-    Groups of bigrams are numbered from 0, those of tokens after them.
-    """
-    kind = type(picked.schema)
-    spec = kind([*schema_of("run long, rid long").fields, *picked.schema.fields])
-    spark = picked.sparkSession
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            for i, j in chunks(text_buffers(b.column(1))[1], run_bytes):
-                n = j - i
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(rid + np.arange(n)), *(c.slice(i, n) for c in b.columns)], names=["run", "rid", *b.schema.names])
-                rid += n
-
-    def parts(run: np.ndarray) -> list[tuple[int, int]]:
-        cuts = [*np.flatnonzero(np.diff(run, prepend=run[:1] - 1)).tolist(), len(run)]
-        return list(zip(cuts, cuts[1:]))
+    """The way for a filter that is too large to broadcast. Groups of bigrams are numbered from 0, those of tokens after them."""
 
     def chunk(text: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
         c = Chunk(*text_buffers(text))
         return c, group_of(item_of(half_of(c.kinds)), homes), group_of(c.both, groups)
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            run, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for i, j in parts(run):
-                c, home, group = chunk(b.column(3).slice(i, j - i))
-                grp, blobs = [], []
-                for at, keys, first, width in ((group, c.both, 0, 6), (home, c.kinds, groups, 8)):
-                    order = np.argsort(at, kind="stable")
-                    cuts = np.flatnonzero(np.diff(at[order], prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
-                    keys = keys[order]
-                    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                        grp.append(first + int(at[order[x]]))
-                        blobs.append(_planes(keys[x:y], width))
-                yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(np.full(len(grp), run[i])), pa.array(np.full(len(grp), rid[i])), pa.array(blobs, pa.binary())], names=["grp", "run", "first", "blob"])
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, data = -1, None
-        for b in batches:
-            grps, runs, firsts = (b.column(k).to_numpy() for k in range(3))
-            out = []
-            for k in range(b.num_rows):
-                blob = b.column(3)[k].as_py()
-                if runs[k] < 0:  # the bits of a group come before its keys
-                    now, data = grps[k], np.frombuffer(blob, np.uint8)
-                    continue
-                if grps[k] != now:  # a group without any items
-                    now, data = grps[k], np.zeros(8, np.uint8)
-                probe = lambda x: _probe(data, x, np.zeros(len(x), np.uint64), np.full(len(x), len(data) * 8, np.uint64)).astype(np.uint8)  # noqa: B023, E731
-                got = probe(_unplanes(blob, 6)) if grps[k] < groups else np.concatenate([probe(x) for x in token_items(_unplanes(blob, 8))])
-                out.append((k, got.tobytes()))
-            at = [k for k, _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(runs[at]), pa.array(firsts[at]), pa.array(grps[at]), pa.array([x for _, x in out], pa.binary())], names=["run", "first", "grp", "blob"])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def made(rows: list, found: list) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(rows).combine_chunks()
-            rid, ids, text, held = (t.column(k).combine_chunks() if t.num_rows else t.column(k) for k in range(1, 5))
-            firsts = sorted({f for f, _, _ in found})
-            cuts = [*np.searchsorted(rid.to_numpy(), firsts).tolist(), len(rid)]
-            for first, i, j in zip(firsts, cuts, cuts[1:]):
-                c, home, group = chunk(text.slice(i, j - i))
-                single, follow, both = (np.zeros(n, np.uint8) for n in (len(c.kinds), len(c.kinds), len(c.both)))
-                for _, g, blob in (x for x in found if x[0] == first):
-                    levels = np.frombuffer(blob, np.uint8)
-                    if g < groups:
-                        both[group == g] = levels
-                    else:
-                        single[home == g - groups], follow[home == g - groups] = levels[: len(levels) // 2], levels[len(levels) // 2 :]
-                yield row(c, (single, follow, both), rid.slice(i, j - i), ids.slice(i, j - i), held.slice(i, j - i))
-
-        now, rows, found = None, [], []
-        for b in batches:
-            run, grp = b.column(0).to_numpy(), b.column(6).to_numpy()
-            for i, j in parts(run):
-                if run[i] != now:
-                    if rows:
-                        yield from made(rows, found)
-                    now, rows, found = run[i], [], []
-                n = int(np.searchsorted(grp[i:j], 0))  # the documents come before the levels
-                if n:
-                    rows.append(b.slice(i, n))
-                found += [(b.column(1)[k].as_py(), int(grp[k]), b.column(5)[k].as_py()) for k in range(i + n, j)]
-        if rows:
-            yield from made(rows, found)
-
-    docs = table(picked.mapInArrow(number, spec), "runs")
-    bits = pairs.union(tokens.select((F.col("grp") + groups).alias("grp"), "blob")).select("grp", F.lit(-1).cast("long").alias("run"), F.lit(-1).cast("long").alias("first"), "blob")
-    asked = docs.mapInArrow(ask, "grp int, run long, first long, blob binary").union(bits).repartition("grp").sortWithinPartitions("grp", "run")
-    levels = table(asked.mapInArrow(answer, "run long, first long, grp int, blob binary"), "levels")
-    drop(spark)
-    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in picked.schema.fields]
-    both = docs.select("run", "rid", "id", "t", "held_out", F.lit(None).cast("binary").alias("blob"), F.lit(-1).alias("grp")).union(levels.select("run", F.col("first").alias("rid"), *none, "blob", "grp"))
-    scored = table(both.repartition("run").sortWithinPartitions("run", "grp", "rid").mapInArrow(finish, schema), "scored")
-    drop(spark, docs, levels)
-    return scored
+    def ask(text: pa.Array) -> Iterator[tuple[int, bytes]]:
+        c, home, group = chunk(text)
+        for at, keys, first, width in ((group, c.both, 0, 6), (home, c.kinds, groups, 8)):
+            order = np.argsort(at, kind="stable")
+            at, keys = at[order], keys[order]
+            cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+            for x, y in zip(cuts, cuts[1:]):
+                yield first + int(at[x]), _planes(keys[x:y], width)
+
+    def answer(grp: int, bits: bytes | None, asked: bytes) -> bytes:
+        data = np.frombuffer(bits or bytes(8), np.uint8)
+        probe = lambda x: _probe(data, x, np.zeros(len(x), np.uint64), np.full(len(x), len(data) * 8, np.uint64)).astype(np.uint8)
+        return (probe(_unplanes(asked, 6)) if grp < groups else np.concatenate([probe(x) for x in token_items(_unplanes(asked, 8))])).tobytes()
+
+    def finish(rid: pa.Array, part: list[pa.Array], found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        ids, text, held = part
+        c, home, group = chunk(text)
+        single, follow, both = (np.zeros(n, np.uint8) for n in (len(c.kinds), len(c.kinds), len(c.both)))
+        for g, blob in found:
+            levels = np.frombuffer(blob, np.uint8)
+            if g < groups:
+                both[group == g] = levels
+            else:
+                single[home == g - groups], follow[home == g - groups] = levels[: len(levels) // 2], levels[len(levels) // 2 :]
+        return row(c, (single, follow, both), rid, ids, held)
+
+    bits = pairs.union(tokens.select((F.col("grp") + groups).alias("grp"), "blob"))
+    return ask_groups(picked, 1, bits, ask, answer, finish, schema, run_bytes)

@@ -119,6 +119,95 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def ask_groups(df: DataFrame, text: int, bits: DataFrame, ask, answer, finish, schema, run_bytes: int) -> DataFrame:
+    """A written table of what documents make of an index of groups (grp, blob) that is too large to broadcast, without a row for each key.
+
+    Documents get a number (rid) and a run (neighbours with some `run_bytes` of text) and are written. A task that reads part of a run
+    sends to each group one blob of keys, marked with run and first rid; the task of the group, which holds its bits, sends a blob back;
+    with those the part is finished. A hot key is asked once by each run.
+
+    ask(texts) -> (grp, blob) of each group asked; answer(grp, bits or None, blob) -> blob;
+    finish(rids, columns, [(grp, blob)]) -> rows of `schema`. text: which column of df is the text.
+    """
+    kind = type(df.schema)
+    spec = kind([*schema_of("run long, rid long").fields, *df.schema.fields])
+    n_cols = len(df.columns)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for i, j in chunks(text_buffers(b.column(text))[1], run_bytes):
+                n = j - i
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rid)), pa.array(rid + np.arange(n)), *(c.slice(i, n) for c in b.columns)], names=["run", "rid", *b.schema.names])
+                rid += n
+
+    def parts(run: np.ndarray) -> list[tuple[int, int]]:
+        cuts = [*np.flatnonzero(np.diff(run, prepend=run[:1] - 1)).tolist(), len(run)]
+        return list(zip(cuts, cuts[1:]))
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            run, rid = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i, j in parts(run):
+                found = list(ask(b.column(text + 2).slice(i, j - i)))
+                yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array(np.full(len(found), run[i])), pa.array(np.full(len(found), rid[i])), pa.array([x for _, x in found], pa.binary())], names=["grp", "run", "first", "blob"])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = -1, None
+        for b in batches:
+            grps, runs, firsts = (b.column(k).to_numpy() for k in range(3))
+            out = []
+            for k in range(b.num_rows):
+                blob = b.column(3)[k].as_py()
+                if runs[k] < 0:  # the bits of a group come before its keys
+                    now, held = int(grps[k]), blob
+                    continue
+                if grps[k] != now:  # a group without any
+                    now, held = int(grps[k]), None
+                out.append((k, answer(now, held, blob)))
+            at = [k for k, _ in out]
+            yield pa.RecordBatch.from_arrays([pa.array(runs[at]), pa.array(firsts[at]), pa.array(grps[at]), pa.array([x for _, x in out], pa.binary())], names=["run", "first", "grp", "blob"])
+
+    def finishes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: list, found: list) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(rows).combine_chunks()
+            rid, *columns = (t.column(k).combine_chunks() for k in range(1, n_cols + 2))
+            rid, *columns = (c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in (rid, *columns))
+            by: dict[int, list] = {}
+            for f, g, blob in found:
+                by.setdefault(f, []).append((g, blob))
+            firsts = sorted(by)
+            cuts = [0, *np.searchsorted(rid.to_numpy(), firsts[1:]).tolist(), len(rid)]
+            for f, i, j in zip(firsts, cuts, cuts[1:]):
+                yield finish(rid.slice(i, j - i), [c.slice(i, j - i) for c in columns], by[f])
+
+        now, rows, found = None, [], []
+        for b in batches:
+            run, grp = b.column(0).to_numpy(), b.column(n_cols + 3).to_numpy()
+            for i, j in parts(run):
+                if run[i] != now:
+                    if rows:
+                        yield from made(rows, found)
+                    now, rows, found = run[i], [], []
+                n = int(np.searchsorted(grp[i:j], 0))  # the documents come before the answers
+                if n:
+                    rows.append(b.slice(i, n))
+                found += [(b.column(1)[k].as_py(), int(grp[k]), b.column(n_cols + 2)[k].as_py()) for k in range(i + n, j)]
+        if rows:
+            yield from made(rows, found)
+
+    docs = table(df.mapInArrow(number, spec), "runs")
+    sides = bits.select(F.col("grp").cast("int"), F.lit(-1).cast("long").alias("run"), F.lit(-1).cast("long").alias("first"), "blob")
+    asked = docs.mapInArrow(asks, "grp int, run long, first long, blob binary").union(sides).repartition("grp").sortWithinPartitions("grp", "run")
+    found = table(asked.mapInArrow(answers, "run long, first long, grp int, blob binary"), "answers")
+    drop(df.sparkSession)
+    none = [F.lit(None).cast(f.dataType) for f in df.schema.fields]
+    both = docs.select("*", F.lit(None).cast("binary").alias("__blob"), F.lit(-1).alias("__grp")).union(found.select("run", "first", *none, "blob", "grp"))
+    out = table(both.repartition("run").sortWithinPartitions("run", "__grp", "rid").mapInArrow(finishes, schema), "finished")
+    drop(df.sparkSession, docs, found)
+    return out
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit of a uint64 array over the whole word."""
     h = h ^ (h >> np.uint64(33))

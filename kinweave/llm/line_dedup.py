@@ -7,9 +7,13 @@
    array of 64-bit fingerprints and one of counts, without the keys.
 3. Documents probe the arrays: a line is in the index if its fingerprint stands where its hash points.
 
-The index is broadcast only if its measured size is within `broadcast_bytes`. Beyond that, the line
-hashes of the documents meet the same frequent hashes by an equi-join whose right side has one row
-per hash, which adaptive execution may split where a line is hot.
+Rarer lines are never dropped, so the index has no entry for them: a probe that finds no fingerprint says so.
+
+The index is broadcast only if its measured size is within `broadcast_bytes`. Beyond that, a run of documents sends the
+distinct hashes of its lines to the tasks that hold their shards, which probe the same arrays and send the verdicts back.
+
+Counts may be taken over groups of documents instead (`line_counts` with a `group_col`): where each group of copies counts once, a
+line that stands only in copies of one document is not frequent.
 
 Defined results: a null or empty text is one empty line, which has no key of one code point and stays;
 repeated rows each count as a document; an empty table gives an empty result; columns other than the
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, mix64, schema_of, ship, slices, table
+from .common import WHITE, ask_groups, mix64, schema_of, ship, slices, table
 
 _LEVELS = 40
 _GAMMA = 1.7
@@ -136,7 +140,7 @@ class LineIndex:
 
     def count(self, keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
         out = np.zeros(len(keys), np.int64)
-        home = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        home = _home(keys, self.bits)
         for s in np.unique(home):
             if s in self.shards:
                 at = np.flatnonzero(home == s)
@@ -144,35 +148,45 @@ class LineIndex:
         return out
 
 
-def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush: int = 200_000) -> DataFrame:
-    """(h1, h2, n): 128-bit hash of each line key and the number of documents that hold it."""
+def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush: int = 200_000, group_col: str | None = None, groups: DataFrame | None = None) -> DataFrame:
+    """(h1, h2, n): 128-bit hash of each line key and the number of documents that hold it.
+
+    With a `group_col` (of longs), the number of different values of it among them, each null being one of its own; `groups` (g, root)
+    puts its values together further.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
+        seen: dict[tuple, int] = {}
 
         def rows() -> pa.RecordBatch:
-            h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, seen)), ">u8").reshape(-1, 2)
-            out = pa.RecordBatch.from_arrays([pa.array(h[:, 0].astype(np.uint64).view(np.int64)), pa.array(h[:, 1].astype(np.uint64).view(np.int64)), pa.array(list(seen.values()), pa.int64())], names=["h1", "h2", "n"])
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k, _ in seen), ">u8").reshape(-1, 2)
+            out = pa.RecordBatch.from_arrays([pa.array(h[:, 0].astype(np.uint64).view(np.int64)), pa.array(h[:, 1].astype(np.uint64).view(np.int64)), pa.array([g for _, g in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h1", "h2", "g", "n"])
             seen.clear()
             return out
 
         held = 0
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
+            for text, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k in {key_of(x) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")}:
                     if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars):
-                        if k not in seen:
+                        if (k, g) not in seen:
                             held += len(k)
-                        seen[k] = seen.get(k, 0) + 1
+                        seen[k, g] = seen.get((k, g), 0) + 1
                 if len(seen) >= flush or held > 1 << 26:
                     yield rows()
                     held = 0
         if seen:
             yield rows()
 
-    found = df.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(run, "h1 long, h2 long, n long")
-    return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    group = F.lit(None) if group_col is None else F.col(f"`{group_col}`")
+    found = df.select(F.col(f"`{text_col}`").cast("string"), group.cast("long").alias("g")).mapInArrow(run, "h1 long, h2 long, g long, n long")
+    if group_col is None:
+        return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
+    once = found.groupBy("h1", "h2", "g").agg(F.sum("n").alias("n"))
+    if groups is not None:
+        once = once.join(groups, "g", "left").groupBy("h1", "h2", F.coalesce("root", "g").alias("g")).agg(F.sum("n").alias("n"))
+    return once.groupBy("h1", "h2").agg(F.sum(F.when(F.col("g").isNull(), F.col("n")).otherwise(1)).alias("n"))
 
 
 def build_index(frequent: DataFrame, keys_per_shard: int = 1 << 16) -> tuple[DataFrame, int]:
@@ -196,73 +210,93 @@ def _key_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h[:, 0].astype(np.uint64), h[:, 1].astype(np.uint64)
 
 
-def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, max_share: float = 1.0, copy_col: str | None = None, broadcast_bytes: int = 64 << 20, keys_per_shard: int = 1 << 16) -> DataFrame:
+def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The shard of each key."""
+    return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+
+
+def line_dedup(df: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1, counts: DataFrame | None = None, broadcast_bytes: int = 64 << 20, keys_per_shard: int = 1 << 16, run_bytes: int = 4 << 20) -> DataFrame:
     """df with its text replaced by the lines that stay, and with n_lines and n_dropped (both long).
 
-    A line goes if its key has `min_chars` code points and stands in `min_docs` documents. The two
-    counts come under the names `__n_lines` and `__n_dropped`. A document of whose keys such lines make up
-    more than `max_share` (of bytes) stays whole; with a boolean `copy_col`, only if that column is true.
+    A line goes if its key has `min_chars` code points and stands in `min_docs` documents, or has that count in `counts`
+    (of `line_counts`). The two counts come under the names `__n_lines` and `__n_dropped`.
     """
     spark = df.sparkSession
-    frequent = table(line_counts(df, text_col, min_chars).where(F.col("n") >= min_docs), "lines")
+    frequent = table((line_counts(df, text_col, min_chars) if counts is None else counts).where(F.col("n") >= min_docs), "lines")
     shards, bits = build_index(frequent, keys_per_shard)
     shards = table(shards, "line-index")
     size = shards.agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()["b"]
     columns, at = df.columns, df.columns.index(text_col)
-    copy = None if copy_col is None else columns.index(copy_col)
     plain = df.select(*(F.col(f"`{c}`").cast("string") if k == at else F.col(f"`{c}`") for k, c in enumerate(columns))).toDF(*(f"c{k}" for k in range(len(columns))))
-    if size > broadcast_bytes:
-        out = _by_join(plain, f"c{at}", frequent.select("h1", "h2"), max_share, copy)
-    else:
+    made = _rows(at)
+    schema = type(plain.schema)([*plain.schema.fields, *schema_of("__n_lines long, __n_dropped long").fields])
+    if size <= broadcast_bytes:
         sent = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in shards.collect()])
-        out = _by_probe(plain, at, sent, bits, max_share, copy)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = LineIndex(bits, {s: Shard.load(b) for s, b in sent.value})
+            for b in slices(batches):
+                lines = _lines(b.column(at))
+                flat = [x for ls in lines for x in ls]
+                yield made(b.columns, lines, index.count(*_key_hashes(flat)) > 0)
+
+        out = plain.mapInArrow(run, schema)
+    else:
+        out = _by_shards(plain, at, shards, bits, made, schema, run_bytes)
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)), "__n_lines", "__n_dropped")
 
 
-def _by_probe(plain: DataFrame, at: int, sent, bits: int, max_share: float, copy: int | None) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = LineIndex(bits, {s: Shard.load(b) for s, b in sent.value})
-        for b in slices(batches):
-            lines = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in b.column(at).to_pylist()]
-            flat = [x for ls in lines for x in ls]
-            drop = index.count(*_key_hashes(flat)) > 0 if flat else np.zeros(0, bool)
-            ends = np.cumsum([len(ls) for ls in lines])
-            texts, dropped = [], []
-            for k, (ls, e) in enumerate(zip(lines, ends)):
-                d = drop[e - len(ls) : e]
-                if max_share < 1 and d.any() and (copy is None or b.column(copy)[k].as_py()):
-                    size = np.array([len(x.strip(WHITE)) for x in ls])
-                    if size[d].sum() > max_share * size.sum():
-                        d = np.zeros(len(ls), bool)
-                texts.append((b"\n".join(x for x, gone in zip(ls, d) if not gone) if d.any() else b"\n".join(ls)).decode("utf-8", "surrogatepass"))
-                dropped.append(int(d.sum()))
-            arrays = [pa.array(texts, pa.string()) if k == at else b.column(k) for k in range(b.num_columns)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([len(ls) for ls in lines], pa.int64()), pa.array(dropped, pa.int64())], names=[*b.schema.names, "__n_lines", "__n_dropped"])
-
-    return plain.mapInArrow(run, type(plain.schema)([*plain.schema.fields, *schema_of("__n_lines long, __n_dropped long").fields]))
-
-
-def _by_join(plain: DataFrame, text: str, frequent: DataFrame, max_share: float, copy: int | None) -> DataFrame:
-    """The way for an index that is too large to broadcast; rows are told apart by their own content."""
-    plain = plain.withColumn("__row", F.sha2(F.to_json(F.struct(*plain.columns)), 256))
+def _lines(texts: pa.Array) -> list[list[bytes]]:
+    return [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in texts.to_pylist()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name, t in zip(b.column(0), b.column(1).to_pylist()):
-                lines = (t or "").encode("utf-8", "surrogatepass").split(b"\n")
-                h1, h2 = _key_hashes(lines)
-                n = len(lines)
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * n, pa.string()), pa.array(np.arange(n)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["__row", "pos", "h1", "h2"])
-
-    lines = plain.dropDuplicates(["__row"]).select("__row", text).mapInArrow(run, "__row string, pos long, h1 long, h2 long")
-    gone = lines.join(frequent, ["h1", "h2"]).groupBy("__row").agg(F.collect_set("pos").alias("__gone"))
-    all_ = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    kept = F.filter(all_, lambda x, i: ~F.array_contains(F.col("__gone"), i.cast("long")))
-    out = plain.join(gone, "__row", "left").withColumn("__gone", F.coalesce("__gone", F.array().cast("array<long>")))
-    if max_share < 1:
-        sizes = F.transform(all_, lambda x: F.octet_length(F.btrim(x, F.lit(" \t\n\x0b\x0c\r"))))
-        lost = F.transform(sizes, lambda n, i: F.when(F.array_contains(F.col("__gone"), i.cast("long")), n).otherwise(0))
-        total = lambda array: F.aggregate(array, F.lit(0), lambda a, n: a + n)
-        out = out.withColumn("__gone", F.when((total(lost) > max_share * total(sizes)) & (F.lit(True) if copy is None else F.coalesce(F.col(f"c{copy}"), F.lit(False))), F.array().cast("array<long>")).otherwise(F.col("__gone")))
-    out = out.withColumns({"__n_lines": F.size(all_).cast("long"), "__n_dropped": F.size("__gone").cast("long"), text: F.concat_ws("\n", kept)})
-    return out.drop("__row", "__gone")
+
+def _rows(at: int):
+    """Documents without the lines that go."""
+
+    def made(columns: list[pa.Array], lines: list[list[bytes]], drop: np.ndarray) -> pa.RecordBatch:
+        ends = np.cumsum([len(ls) for ls in lines])
+        texts, dropped = [], []
+        for ls, e in zip(lines, ends):
+            d = drop[e - len(ls) : e]
+            texts.append((b"\n".join(x for x, gone in zip(ls, d) if not gone) if d.any() else b"\n".join(ls)).decode("utf-8", "surrogatepass"))
+            dropped.append(int(d.sum()))
+        arrays = [pa.array(texts, pa.string()) if k == at else c for k, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays([*arrays, pa.array([len(ls) for ls in lines], pa.int64()), pa.array(dropped, pa.int64())], names=[*(f"c{k}" for k in range(len(columns))), "__n_lines", "__n_dropped"])
+
+    return made
+
+
+def _by_shards(plain: DataFrame, at: int, shards: DataFrame, bits: int, made, schema, run_bytes: int) -> DataFrame:
+    """The way for an index that is too large to broadcast: the distinct line hashes of a run of documents go to the task of their shard, which probes its arrays."""
+
+    def distinct(texts: pa.Array) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """(lines, which hash each has, distinct hashes in order, the shard of each)."""
+        lines = _lines(texts)
+        h = np.stack(_key_hashes([x for ls in lines for x in ls]), axis=1)
+        kinds, inverse = np.unique(h, axis=0, return_inverse=True)
+        return lines, inverse.reshape(-1), kinds, _home(np.ascontiguousarray(kinds[:, 0]), bits)
+
+    def ask(texts: pa.Array) -> Iterator[tuple[int, bytes]]:
+        _, _, kinds, home = distinct(texts)
+        cuts = np.flatnonzero(np.diff(home, prepend=-1, append=-1)).tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            yield int(home[x]), kinds[x:y].tobytes()
+
+    held: dict = {}
+
+    def answer(grp: int, blob: bytes | None, asked: bytes) -> bytes:
+        h = np.frombuffer(asked, np.uint64).reshape(-1, 2)
+        if blob is None:
+            return bytes(len(h))
+        if held.get("grp") != grp:
+            held.update(grp=grp, shard=Shard.load(blob))
+        return (held["shard"].count(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])) > 0).tobytes()
+
+    def finish(rid: pa.Array, columns: list[pa.Array], found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        lines, inverse, kinds, home = distinct(columns[at])
+        drop = np.zeros(len(kinds), bool)
+        for g, blob in found:
+            drop[home == g] = np.frombuffer(blob, bool)
+        return made(columns, lines, drop[inverse])
+
+    return ask_groups(plain, at, shards.select(F.col("shard").alias("grp"), "blob"), ask, answer, finish, schema, run_bytes)

@@ -58,25 +58,42 @@ def small(spark):
 # --- line dedup
 
 
-def brute_lines(texts, least, share=1.0):
+def brute_lines(texts, least, group=None):
+    """group: of each document the group that counts once; None: a document counts by itself."""
     key = lambda x: x.strip(WS).translate({c: c + 32 for c in range(65, 91)})
     split = {d: (t or "").split("\n") for d, t in texts.items()}
-    seen = Counter(k for ls in split.values() for k in {key(x) for x in ls} if k)
+    seen = Counter(k for k, _ in {(key(x), (d, "own") if group is None or group[d] is None else group[d]) for d, ls in split.items() for x in ls} if k)
     out = {}
     for d, ls in split.items():
         gone = [seen[key(x)] >= least for x in ls]
-        size = [len(key(x).encode()) for x in ls]
-        if share < 1 and sum(n for n, g in zip(size, gone) if g) > share * sum(size):
-            gone = [False] * len(ls)
         out[d] = (len(ls), sum(gone), "\n".join(x for x, g in zip(ls, gone) if not g))
     return out
 
 
-@pytest.mark.parametrize("bound", [64 << 20, 0])
-@pytest.mark.parametrize(("least", "share"), [(1, 1.0), (2, 1.0), (10, 1.0), (10, 0.3), (2, 0.6)])
-def test_lines(messy, bound, least, share):
-    out = line_dedup.line_dedup(messy, min_docs=least, max_share=share, broadcast_bytes=bound, keys_per_shard=16)
-    assert {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in out.collect()} == brute_lines(texts_of(messy), least, share)
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0}, {"broadcast_bytes": 0, "run_bytes": 3000}])
+@pytest.mark.parametrize("least", [1, 2, 10])
+def test_lines(messy, options, least):
+    out = line_dedup.line_dedup(messy, min_docs=least, keys_per_shard=16, **options)
+    assert {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in out.collect()} == brute_lines(texts_of(messy), least)
+
+
+def test_lines_of_one_long_document(spark):
+    """Many lines in one document, nearly all of them frequent."""
+    long = "\n".join(f"line {k % 5000}" for k in range(60_000))
+    df = spark.createDataFrame([(1, long), (2, long), (3, None)], "doc_id long, text string")
+    for options in ({}, {"broadcast_bytes": 0}):
+        got = {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in line_dedup.line_dedup(df, min_docs=2, keys_per_shard=100, **options).collect()}
+        assert got == {1: (60_000, 60_000, ""), 2: (60_000, 60_000, ""), 3: (1, 0, "")}
+
+
+def test_lines_counted_by_groups(spark, messy):
+    group = {d: None if d % 7 == 0 else d % 12 for d in texts_of(messy)}
+    marked = messy.withColumn("grp", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id") % 12))
+    roots = spark.createDataFrame([(k, k // 2 * 2) for k in range(10)], "g long, root long")
+    for groups, root in ((None, group), (roots, {d: g if g is None or g >= 10 else g // 2 * 2 for d, g in group.items()})):
+        for least in (2, 5, 8):
+            out = line_dedup.line_dedup(messy, min_docs=least, counts=line_dedup.line_counts(marked, group_col="grp", groups=groups))
+            assert {r["doc_id"]: (r["__n_lines"], r["__n_dropped"], r["text"]) for r in out.collect()} == brute_lines(texts_of(messy), least, root)
 
 
 def test_lines_edges(spark, messy, empty):
@@ -677,7 +694,8 @@ def test_pipeline(spark):
 
     texts = small(spark)
     kept = {d for d, r in ((r["doc_id"], r) for r in quality_rules.quality(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()) if r["kept"]}
-    after = {d: x for d, (_, _, x) in brute_lines({d: texts[d] for d in kept}, 10, 0.3).items()}
+    good = {d: texts[d] for d in kept}
+    after = {d: x for d, (_, _, x) in brute_lines(good, 10, {d: c for d, (_, _, c) in brute_near(good).items()}).items()}
     one = {d: after[d] for d, (_, _, c) in brute_near(after).items() if c == d}
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     source = {r["doc_id"]: r["source"] for r in docs.collect()}
@@ -689,19 +707,20 @@ def test_pipeline(spark):
     assert all(p.decode(r["token_ids"]) == one[r["doc_id"]] for r in out)
 
 
-def test_pipeline_lines_of_no_copies(spark):
-    """A frequent line of over 30 % goes unless the document is linked to another."""
+def test_pipeline_lines_of_copies(spark):
+    """A line of ten documents goes, however much of them it is; a text with ten copies stays."""
     import corpus_pipeline as cp
 
-    rng, line = random.Random(3), "the same licence line stands here in every one"
-    own = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(7)) for _ in range(12)]
-    texts = {k: f"{x}\n{line}" for k, x in enumerate(own)} | {50: f"{own[0]}\n{line}"}
+    rng, line = random.Random(3), "the same licence line"
+    say = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(30))
+    own = [say() for _ in range(12)]
+    copied = f"{say()}\n{say()}"
+    texts = {k: f"{x}\n{line}" for k, x in enumerate(own)} | {50: f"{own[0]}\n{line}"} | {100 + k: copied for k in range(15)}
     near = brute_near(texts)
-    linked = {d for d in texts if near[d][1]}
-    assert {0, 50} <= linked and len(linked) < 8
+    assert near[0][1] == near[50][1] == 1 and len({near[d][2] for d in range(12)}) == 12
     docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     got = texts_of(cp.lines(spark, docs, SMALL))
-    assert got == {d: t if d in linked else own[d] for d, t in texts.items()}
+    assert got == {d: t.removesuffix(f"\n{line}") for d, t in texts.items()}
 
 
 @pytest.mark.parametrize("stage", range(4))
