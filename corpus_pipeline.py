@@ -21,15 +21,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go.
+    """Lines found in ten different documents or more go.
 
-    A document that would lose over 30 % stays whole if its fingerprint is equal or linked to another's: the next
-    stage keeps one of its group, and would not know the group without the lines they share.
+    Documents whose fingerprints are equal or linked, directly or not, count as one: the next stage keeps one of them, and
+    a text of which there are ten copies would otherwise lose every line. No other document keeps a frequent line.
     """
     docs = docs.select(*COLUMNS)
-    linked = table(simhash.near_duplicates(docs).where("n_near > 0").select(F.col("doc_id").alias("__id")).distinct(), "linked").withColumn("__copy", F.lit(True))
-    marked = docs.join(linked, F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    out = line_dedup.line_dedup(marked, min_docs=10, max_share=0.3, copy_col="__copy")
+    groups = table(simhash.near_duplicates(docs).select(F.col("fp").alias("g"), "root").distinct(), "groups")
+    counts = line_dedup.line_counts(simhash.with_fingerprint(docs), group_col="__fp", groups=groups)
+    out = line_dedup.line_dedup(docs, min_docs=10, counts=counts)
     return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
