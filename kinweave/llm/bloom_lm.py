@@ -9,8 +9,9 @@ their number. It comes in groups, to which a key belongs by its hash; a group ha
 The keys of bigrams go to their groups as they are counted: each task merges its own, and sends every group one sorted run of
 keys, so that the task of a group adds them up and fills its bits at once.
 
-Up to `max_bits` the filter is broadcast. Beyond that the distinct keys of each run of documents go to the groups by a
-shuffle, and their levels come back by another. Both ways give the same scores. No key is hot in either: a run sends a key once.
+As the filter grows with the training texts, no bound for a broadcast holds: a group is sent to one task instead, the distinct keys of each run of
+documents go to their groups by a shuffle, and their levels come back by another. No key is hot: a run sends a key once.
+Where the caller knows a bound, a filter of up to `broadcast_bits` is broadcast whole. Both ways give the same scores.
 
 A bigram's key has 32 bits of the first token's hash above 32 bits of the pair's, so the followers of a token
 are counted from the keys; two tokens that agree in those 32 bits have their followers counted together.
@@ -50,7 +51,7 @@ BITS_PER_ITEM = 8
 #: Tokens of the training texts for each group of the filter: bounds what the task of a group holds.
 GROUP_TOKENS = 1 << 21
 #: Bytes of text of a run of documents that asks the groups together.
-RUN_BYTES = 8 << 20
+RUN_BYTES = 4 << 20
 #: Bytes of a text above which its tokens are hashed in several runs.
 LONG_BYTES = 1 << 20
 #: Bytes from which a token has a hash of its own kind: in polynomials modulo 2**64, some words of 2048 bytes collide by construction.
@@ -270,7 +271,7 @@ def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return k, np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
 
 
-def _runs(df: DataFrame, groups: int, most: int = 2_000_000) -> DataFrame:
+def _runs(df: DataFrame, groups: int, most: int = 1_000_000) -> DataFrame:
     """(grp, keys, counts): the bigrams of each task, counted, as a sorted run for each group."""
 
     def rows(held: list) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def _runs(df: DataFrame, groups: int, most: int = 2_000_000) -> DataFrame:
                 h, off = token_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 held.append(np.unique(pair_key(before(h, off, END), h), return_counts=True))
                 size += len(held[-1][0])
-                if size > floor + 1_000_000:
+                if size > floor + 500_000:
                     held = [_merged(held)]
                     size = floor = len(held[0][0])
                     if size > most:
@@ -371,10 +372,10 @@ def _cut(histogram: list, most: int) -> int:
     return 1
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = 1 << 20, max_bits: int = 1 << 29, group_tokens: int = GROUP_TOKENS, run_bytes: int = RUN_BYTES) -> DataFrame:
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact: int = 1 << 20, broadcast_bits: int = 0, group_tokens: int = GROUP_TOKENS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10).
 
-    A filter of over `max_bits` is probed group by group instead of being broadcast; `exact` bounds the table of exact counts.
+    `exact` bounds the table of exact counts; a filter of up to `broadcast_bits` is broadcast instead of being probed group by group.
     """
     spark = df.sparkSession
     ship(spark)
@@ -424,8 +425,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact:
     picked = docs.withColumn("held_out", _held_out("id"))
     kind = type(picked.schema)
     schema = kind([*schema_of("rid long").fields, picked.schema["id"], *schema_of("held_out boolean, n_tokens long, sure long, base double, score double, rare array<long>, times array<long>").fields])
-    size = pairs.union(tokens).agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()["b"]
-    if size * 8 <= max_bits:
+    if broadcast_bits and pairs.union(tokens).agg(F.coalesce(F.sum(F.length("blob")), F.lit(0)).alias("b")).first()["b"] * 8 <= broadcast_bits:
         loaded = lambda made, n, blobs: made(n, {r["grp"]: bytes(r["blob"]) for r in blobs.collect()})
         sent = spark.sparkContext.broadcast((loaded(TokenFilter, homes, tokens), loaded(Filter, groups, pairs)))
 
@@ -451,7 +451,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact:
 
 
 def _by_groups(picked: DataFrame, tokens: DataFrame, homes: int, pairs: DataFrame, groups: int, row, schema, run_bytes: int) -> DataFrame:
-    """The way for a filter that is too large to broadcast. Groups of bigrams are numbered from 0, those of tokens after them."""
+    """Levels group by group. Groups of bigrams are numbered from 0, those of tokens after them."""
 
     def chunk(text: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
         c = Chunk(*text_buffers(text))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from pathlib import Path
@@ -70,7 +71,9 @@ def drop(spark: SparkSession, *tables: DataFrame) -> None:
         path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the first lets go of what Python held, the second of the shuffles
+        spark._jvm.System.gc()
+        time.sleep(0.1)
 
 
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -615,7 +615,7 @@ def brute_lm(texts):
     return {d: (held[d], len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws)) for d, ws in toks.items()}
 
 
-@pytest.mark.parametrize("options", [{}, {"exact": 4}, {"max_bits": 1 << 12, "group_tokens": 5_000}])
+@pytest.mark.parametrize("options", [{}, {"exact": 4}, {"group_tokens": 5_000}, {"broadcast_bits": 1 << 29}])
 def test_lm(messy, options):
     want = brute_lm(texts_of(messy))
     got = {r["doc_id"]: r for r in bloom_lm.score(messy, **options).collect()}
@@ -642,7 +642,7 @@ def test_lm_keeps_everything(spark, messy):
     """Rare bigrams of rare tokens count, and a filter too large to broadcast scores alike."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     for df in (docs, messy):
-        rows_ = [sorted(((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in bloom_lm.score(df, **o).collect())) for o in ({}, {"max_bits": 1 << 12}, {"max_bits": 1 << 12, "run_bytes": 5_000})]
+        rows_ = [sorted(((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 9)) for r in bloom_lm.score(df, **o).collect())) for o in ({}, {"broadcast_bits": 1 << 29}, {"run_bytes": 5_000})]
         assert rows_[0] == rows_[1] == rows_[2]
     words = [f"w{k}" for k in range(9000)]
     held = next(k for k in range(99) if zlib.crc32(str(k).encode()) % 7 == 2)
