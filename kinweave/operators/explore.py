@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import layer_of
-from ..store import counted, table
+from ..store import Growing
 from .paths import _ids, distances
 from .small import LOCAL_EDGES, frame, small
 
@@ -18,7 +18,7 @@ def induced_view(view: DataFrame, nodes: DataFrame) -> DataFrame:
     return inner.select(F.col("src").alias("from"), F.col("dst").alias("to"), F.col("sim").alias("similarity"))
 
 
-def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int, local: bool | None = None) -> DataFrame:
+def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int, local: bool = False) -> DataFrame:
     """(id, similarity, layer, ord): the first `budget` nodes in order of discovery.
 
     The order is (layer, place of the discoverer, rank in its list); only nodes with a list of their own,
@@ -30,30 +30,24 @@ def explore_hops(view: DataFrame, owners: DataFrame, center, budget: int, local:
     if held is not None and owners.limit(LOCAL_EDGES + 1).count() <= LOCAL_EDGES:
         rows = held.explore(center, budget, {r["id"] for r in owners.select("id").collect()})
         return frame(spark, rows, ["id", "similarity", "layer", "ord"], [held.kind, pa.float64(), pa.int32(), pa.int64()])
-    levels = [table(_ids(spark, view, center).select("id", F.lit(1.0).alias("similarity"), F.lit(0).alias("layer"), F.lit(0).cast("long").alias("ord")), "explored")]
-    found = 1
+    nodes = Growing(spark, "explored")
+    frontier, found = nodes.add(_ids(spark, view, center).select("id", F.lit(1.0).alias("similarity"), F.lit(0).alias("layer"), F.lit(0).cast("long").alias("ord")))
+    layer = 0
     while found < budget:
-        seen = levels[0]
-        for x in levels[1:]:
-            seen = seen.unionByName(x)
-        frontier = levels[-1].select(F.col("id").alias("src"), F.col("ord").alias("parent"))
-        reached = view.join(frontier, "src")
-        reached = reached.join(seen.select(F.col("id").alias("dst")), "dst", "left_anti").join(owners.select(F.col("id").alias("dst")), "dst", "left_semi")
+        layer += 1
+        reached = view.join(frontier.select(F.col("id").alias("src"), F.col("ord").alias("parent")), "src")
+        reached = reached.join(nodes.all().select(F.col("id").alias("dst")), "dst", "left_anti").join(owners.select(F.col("id").alias("dst")), "dst", "left_semi")
         first = reached.groupBy("dst").agg(F.min(F.struct("parent", "rk", F.col("sim").cast("double").alias("sim"))).alias("m"))
         cut = first.select(F.col("dst").alias("id"), F.col("m.sim").alias("similarity"), F.col("m.parent"), F.col("m.rk")).orderBy("parent", "rk").limit(budget - found)
         numbered = cut.withColumn("ord", F.row_number().over(Window.orderBy("parent", "rk")) + F.lit(found - 1))
-        fresh, n = counted(numbered.select("id", "similarity", F.lit(len(levels)).alias("layer"), F.col("ord").cast("long")), "explored")
+        frontier, n = nodes.add(numbered.select("id", "similarity", F.lit(layer).alias("layer"), F.col("ord").cast("long")))
         if not n:
             break
-        levels.append(fresh)
         found += n
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
-    return out
+    return nodes.all()
 
 
-def explore_weighted(view: DataFrame, center, budget: int, local: bool | None = None) -> DataFrame:
+def explore_weighted(view: DataFrame, center, budget: int, local: bool = False) -> DataFrame:
     """(id, similarity, layer): the `budget` nearest nodes by summed 1 - similarity; budget 0 is empty."""
     start = _ids(view.sparkSession, view, center)
     if budget <= 0:

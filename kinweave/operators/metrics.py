@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import with_row
+from ..store import table, with_row
+from .edges import top_edges
 
 
 def owners(edges: DataFrame) -> DataFrame:
@@ -130,9 +131,9 @@ def wedges(edges: DataFrame) -> DataFrame:
     return lists.select("id", (n * (n - 1) / 2).cast("long").alias("wedges")).join(closed, "id", "left").select("id", "wedges", F.coalesce("closed", F.lit(0)).cast("long").alias("closed"))
 
 
-def clustering(edges: DataFrame) -> DataFrame:
-    """Mean local clustering over nodes with a wedge, and transitivity over all wedges."""
-    return wedges(edges).agg(F.avg(F.col("closed") / F.col("wedges")).alias("mean_local"), (F.sum("closed") / F.sum("wedges")).alias("transitivity"), F.sum("wedges").alias("wedges"))
+def clustering(edges: DataFrame, cap: int = 250) -> DataFrame:
+    """Mean local clustering over nodes with a wedge, and transitivity over all wedges, of the `cap` strongest edges of each node."""
+    return wedges(table(top_edges(edges.where("sim > 0"), 0.0, cap).select("src", "dst", "sim"), "capped")).agg(F.avg(F.col("closed") / F.col("wedges")).alias("mean_local"), (F.sum("closed") / F.sum("wedges")).alias("transitivity"), F.sum("wedges").alias("wedges"))
 
 
 def top_nodes(degrees: DataFrame, entities: DataFrame, k: int = 20, largest_id_first: bool = False) -> DataFrame:

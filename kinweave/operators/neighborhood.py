@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..store import counted
 from .paths import Graph, path_edges
 
+#: Nodes up to which a set of them is broadcast.
+FEW = 100_000
+
 
 def candidates(graph: Graph, path: DataFrame) -> DataFrame:
     """(id, connections, sim) of every neighbour of the path.
@@ -45,8 +49,9 @@ def neighborhood_edges(graph: Graph, path: DataFrame, nodes: DataFrame, directed
     tells "out" from "in".
     """
     steps = path_edges(path)
-    ids = nodes.select("id")
-    inner = lambda v: v.where("src != dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi")
+    ids, n = counted(nodes.select("id"), "nodes")
+    small = F.broadcast if n <= FEW else (lambda x: x)  # as many as the budget says
+    inner = lambda v: v.where("src != dst").join(small(ids.select(F.col("id").alias("src"))), "src", "left_semi").join(small(ids.select(F.col("id").alias("dst"))), "dst", "left_semi")
     parts = [steps.select("src", "dst", F.col("sim").cast("double").alias("sim"), F.lit(0).alias("prio"))]
     undone = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     for k, v in ((1, graph.forward), (2, graph.reverse)):

@@ -6,8 +6,8 @@ reverse lists) go on until they are as deep as the best meeting found, which mak
 Among optimal paths the one that follows forward lists longest is taken, then at every step the
 strongest edge, then the smallest id.
 
-A sweep is a loop of one job a level; each level is a table of its own, so plans stay small and
-nothing of it is lost with an executor. Views that are small, as counted, are searched in memory instead
+A sweep is a loop of one job a level; each level is written as a part of one table, so plans stay small and
+nothing of it is lost with an executor. With `local` a view of a bounded size is searched in memory instead
 (see small.py) with the same result.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.values import cost
-from ..store import counted
+from ..store import Growing, counted
 from .small import LOCAL_EDGES, UNIT, frame, small
 
 
@@ -38,33 +38,30 @@ class HopSweep:
     """Levels of a breadth-first search over a view, made one by one."""
 
     def __init__(self, view: DataFrame, start: DataFrame):
-        self.view = view.select("src", "dst").where("src != dst")
-        first, n = counted(start.select("id", F.lit(0).alias("level")).distinct(), "level")
-        self.levels = [first]
+        self.view, self.depth = view.select("src", "dst").where("src != dst"), 0
+        self.table = Growing(view.sparkSession, "levels")
+        self.frontier, n = self.table.add(start.select("id", F.lit(0).alias("level")).distinct())
+        self.sizes = [n]
         self.done = n == 0
 
-    @property
-    def depth(self) -> int:
-        return len(self.levels) - 1
-
     def visited(self) -> DataFrame:
-        spark = self.levels[0].sparkSession
-        return spark.read.schema(self.levels[0].schema).parquet(*(f for x in self.levels for f in x.inputFiles()))
+        return self.table.all()
 
     def advance(self) -> bool:
         if self.done:
             return False
-        reached = self.view.join(self.levels[-1].select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
-        fresh = reached.join(self.visited().select("id"), "id", "left_anti").distinct().select("id", F.lit(len(self.levels)).alias("level"))
-        fresh, n = counted(fresh, "level")
+        reached = self.view.join(self.frontier.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id"))
+        fresh = reached.join(self.visited().select("id"), "id", "left_anti").distinct().select("id", F.lit(self.depth + 1).alias("level"))
+        self.frontier, n = self.table.add(fresh)
         if not n:
             self.done = True
             return False
-        self.levels.append(fresh)
+        self.depth += 1
+        self.sizes.append(n)
         return True
 
 
-def hop_levels(view: DataFrame, start: DataFrame, most: int | None = None, local: bool | None = None) -> DataFrame:
+def hop_levels(view: DataFrame, start: DataFrame, most: int | None = None, local: bool = False) -> DataFrame:
     """(id, level) of every node within reach of start(id)."""
     held = small(view, local)
     if held is not None and start.count() <= LOCAL_EDGES:
@@ -76,6 +73,16 @@ def hop_levels(view: DataFrame, start: DataFrame, most: int | None = None, local
     return sweep.visited()
 
 
+def profile(view: DataFrame, start: DataFrame, most: int | None = None) -> DataFrame:
+    """(level, nodes, edges): of each level of a breadth-first search, its nodes and the list entries read to go on from it."""
+    sweep = HopSweep(view, start)
+    while (most is None or sweep.depth < most) and sweep.advance():
+        pass
+    levels = sweep.visited()
+    read = levels.join(sweep.view.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left")
+    return read.groupBy("level").agg(F.count("*").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+
+
 #: A path's cost times this plus its number of hops: of equally cheap paths the shorter wins, and no step is free.
 HOPS = 1 << 20
 
@@ -95,7 +102,7 @@ def floor_half_up(x: float) -> int:
     return int(Decimal(repr(x)).quantize(Decimal(1), ROUND_HALF_UP))
 
 
-def distances(view: DataFrame, start: DataFrame, bound: int | None = None, nearest: int | None = None, stop_at=None, hops: bool = False, local: bool | None = None) -> DataFrame:
+def distances(view: DataFrame, start: DataFrame, bound: int | None = None, nearest: int | None = None, stop_at=None, hops: bool = False, local: bool = False) -> DataFrame:
     """(id, c): least cost in billionths from start(id), by rounds of relaxation; with `hops` times HOPS plus hops.
 
     Only nodes whose distance fell last round are expanded. With `nearest`, nodes further than the
@@ -162,7 +169,7 @@ def _join_halves(front: list[tuple], back: list[tuple]) -> list[tuple]:
     return path
 
 
-def _small_path(graph: Graph, start, target, weighted: bool, local: bool | None) -> list[tuple] | None:
+def _small_path(graph: Graph, start, target, weighted: bool, local: bool) -> list[tuple] | None:
     """Steps of the path within views that are held in memory, [] without one; None if a view is too large."""
     ahead, behind = small(graph.forward, local), small(graph.reverse, local)
     if ahead is None or behind is None:
@@ -177,15 +184,32 @@ def _small_path(graph: Graph, start, target, weighted: bool, local: bool | None)
     return _join_halves(ahead.walk(front, m[2], -m[1], step), behind.walk(back, m[2], back[m[2]], step))
 
 
-def hop_path(graph: Graph, start, target, local: bool | None = None) -> DataFrame:
-    """(step, id, similarity) of a shortest path by hops; no rows if there is none."""
+@dataclass
+class Found:
+    """The steps (step, id, similarity) of a path, and the ids that the search has seen."""
+
+    path: DataFrame
+    seen: DataFrame
+
+
+def search(graph: Graph, start, target, weighted: bool = False, local: bool = False) -> Found:
+    """A best path with the nodes visited on the way to it; no steps if there is none."""
     spark = graph.forward.sparkSession
-    found = _small_path(graph, start, target, False, local)
-    if found is not None:
-        return _rows(spark, graph, found)
+    ends = _ids(spark, graph.forward, start)
+    steps = _small_path(graph, start, target, weighted, local)
+    if steps is not None:
+        held = [small(v, True) for v in (graph.forward, graph.reverse)]
+        seen = {n for v, x in zip(held, (start, target)) if x in v for n in v.levels([x])} if start != target else {start} if steps else set()
+        return Found(_rows(spark, graph, steps), frame(spark, [(n,) for n in seen], ["id"], [held[0].kind]))
     if start == target:
-        return _rows(spark, graph, [(start, None)] if _has(graph, start) else [])
-    front, back = HopSweep(graph.forward, _ids(spark, graph.forward, start)), HopSweep(graph.reverse, _ids(spark, graph.forward, target))
+        known = _has(graph, start)
+        return Found(_rows(spark, graph, [(start, None)] if known else []), ends if known else ends.limit(0))
+    return (_weighted if weighted else _hops)(graph, ends, start, target)
+
+
+def _hops(graph: Graph, ends: DataFrame, start, target) -> Found:
+    spark = graph.forward.sparkSession
+    front, back = HopSweep(graph.forward, ends), HopSweep(graph.reverse, _ids(spark, graph.forward, target))
     best = None
     while best is None or min(front.depth, back.depth) < best:
         moved = [x.advance() for x in (front, back) if best is None or x.depth < best]
@@ -194,33 +218,39 @@ def hop_path(graph: Graph, start, target, local: bool | None = None) -> DataFram
         meet = front.visited().join(back.visited().withColumnRenamed("level", "rest"), "id")
         row = meet.select((F.col("level") + F.col("rest")).alias("n")).agg(F.min("n")).first()
         best = row[0] if row[0] is not None else best
+    seen = front.visited().select("id").union(back.visited().select("id")).distinct()
     if best is None:
-        return _rows(spark, graph, [])
+        return Found(_rows(spark, graph, []), seen)
     meet = front.visited().join(back.visited().withColumnRenamed("level", "rest"), "id").where(F.col("level") + F.col("rest") == best)
     m = meet.orderBy(F.col("level").desc(), "id").first()
     a = _walk(graph.forward, front.visited().withColumnRenamed("level", "v"), m["id"], m["level"], False)
     b = _walk(graph.reverse, back.visited().withColumnRenamed("level", "v"), m["id"], m["rest"], False)
-    return _rows(spark, graph, _join_halves(a, b))
+    return Found(_rows(spark, graph, _join_halves(a, b)), seen)
 
 
-def weighted_path(graph: Graph, start, target, local: bool | None = None) -> DataFrame:
-    """(step, id, similarity) of a path of least total 1 - similarity, and of these with fewest hops; no rows if there is none."""
+def _weighted(graph: Graph, ends: DataFrame, start, target) -> Found:
     spark = graph.forward.sparkSession
-    found = _small_path(graph, start, target, True, local)
-    if found is not None:
-        return _rows(spark, graph, found)
-    if start == target:
-        return _rows(spark, graph, [(start, None)] if _has(graph, start) else [])
-    front = distances(graph.forward, _ids(spark, graph.forward, start), stop_at=target, hops=True, local=False)
+    front = distances(graph.forward, ends, stop_at=target, hops=True)
     direct = front.where(F.col("id") == F.lit(target)).agg(F.min("c")).first()[0]
-    back = distances(graph.reverse, _ids(spark, graph.forward, target), bound=direct, hops=True, local=False)
+    back = distances(graph.reverse, _ids(spark, graph.forward, target), bound=direct, hops=True)
+    seen = front.select("id").union(back.select("id")).distinct()
     meet = front.join(back.withColumnRenamed("c", "rest"), "id").withColumn("total", F.col("c") + F.col("rest"))
     m = meet.orderBy("total", F.col("c").desc(), "id").first()
     if m is None:
-        return _rows(spark, graph, [])
+        return Found(_rows(spark, graph, []), seen)
     a = _walk(graph.forward, front.withColumnRenamed("c", "v"), m["id"], m["c"], True)
     b = _walk(graph.reverse, back.withColumnRenamed("c", "v"), m["id"], m["rest"], True)
-    return _rows(spark, graph, _join_halves(a, b))
+    return Found(_rows(spark, graph, _join_halves(a, b)), seen)
+
+
+def hop_path(graph: Graph, start, target, local: bool = False) -> DataFrame:
+    """(step, id, similarity) of a shortest path by hops; no rows if there is none."""
+    return search(graph, start, target, False, local).path
+
+
+def weighted_path(graph: Graph, start, target, local: bool = False) -> DataFrame:
+    """(step, id, similarity) of a path of least total 1 - similarity, and of these with fewest hops; no rows if there is none."""
+    return search(graph, start, target, True, local).path
 
 
 def path_edges(path: DataFrame) -> DataFrame:

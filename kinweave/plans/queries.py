@@ -15,7 +15,7 @@ from ..store import built, shared_dir, table
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-START, TARGET, TOP, BUDGET = 1, 7, 5, 20
+START, TARGET, TOP, BUDGET = 1, 7, 80, 20
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -213,15 +213,17 @@ def reciprocity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.reciprocity(adapters.part_edges(spark, sf_dir)))
 
 
-@query(f"WITH {VIEWS}, top AS (SELECT * FROM f), w AS (SELECT a.src AS id, a.dst AS x, b.dst AS y FROM top a JOIN top b ON a.src = b.src AND a.dst < b.dst), c AS (SELECT w.id, count(*) AS wedges, count(*) FILTER (EXISTS (SELECT 1 FROM top t WHERE (t.src = x AND t.dst = y) OR (t.src = y AND t.dst = x))) AS closed FROM w GROUP BY 1) SELECT round(avg(closed / wedges), 6) AS mean_local, round(sum(closed) / sum(wedges), 6) AS transitivity, CAST(sum(wedges) AS BIGINT) AS wedges FROM c")
-def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.clustering(adapters.supplier_view(spark, sf_dir, TOP)))
+_WEDGES = f"""WITH {SUPPLIERS}, top AS ({_RANK.format(t="edges", w=" WHERE sim > 0", n=250)}),
+w AS (SELECT a.src AS id, a.dst AS x, b.dst AS y FROM top a JOIN top b ON a.src = b.src AND a.dst < b.dst),
+linked AS (SELECT DISTINCT least(src, dst) AS x, greatest(src, dst) AS y FROM top),
+c AS (SELECT w.id, count(*) AS wedges, count(l.x) AS closed FROM w LEFT JOIN linked l ON l.x = w.x AND l.y = w.y GROUP BY 1)
+SELECT round(avg(closed / wedges), 6) AS mean_local, round(sum(closed) / sum(wedges), 6) AS transitivity, CAST(sum(wedges) AS BIGINT) AS wedges FROM c"""
 
 
-@query()
-def clustering_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over all edges, up to the 250 strongest of each supplier; `clustering` describes the graph of the five strongest."""
-    return _rounded(metrics.clustering(adapters.supplier_view(spark, sf_dir, 250)))
+@query(_WEDGES)
+def clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all edges, up to the 250 strongest of each supplier."""
+    return _rounded(metrics.clustering(adapters.supplier_edges(spark, sf_dir)))
 
 
 @query(f"WITH {_IN} SELECT id, degree, coalesce(p_name, CAST(id AS VARCHAR)) AS name FROM (SELECT * FROM d ORDER BY degree DESC, id LIMIT 20) LEFT JOIN part ON p_partkey = id")
@@ -311,41 +313,41 @@ _WEIGHTED = f"WITH RECURSIVE {VIEWS}, {_costs('df', 'f', START, True)}, {_costs(
 
 
 @query(f"WITH RECURSIVE {VIEWS}, {_levels('df', 'f', START)} SELECT id, level FROM df")
-def hop_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = adapters.supplier_graph(spark, sf_dir, TOP)
-    return paths.hop_levels(g.forward, paths._ids(spark, g.forward, START))
+def hop_levels(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    g = adapters.supplier_graph(spark, sf_dir, top)
+    return paths.hop_levels(g.forward, paths._ids(spark, g.forward, START), local=local)
 
 
 @query(f"WITH RECURSIVE {VIEWS}, {_costs('df', 'f', START, False)} SELECT id, round(level / 1000000000, 6) AS cost FROM df")
-def weighted_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = adapters.supplier_graph(spark, sf_dir, TOP)
-    return paths.distances(g.forward, paths._ids(spark, g.forward, START)).select("id", r6(F.col("c") / 1_000_000_000).alias("cost"))
+def weighted_distance(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    g = adapters.supplier_graph(spark, sf_dir, top)
+    return paths.distances(g.forward, paths._ids(spark, g.forward, START), local=local).select("id", r6(F.col("c") / 1_000_000_000).alias("cost"))
 
 
 @query(f"{_HOP} SELECT step, id, round(similarity, 6) AS similarity FROM path")
-def hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(_hop_path(spark, sf_dir))
+def hop_path(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(_hop_path(spark, sf_dir, top, local))
 
 
-def _hop_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = adapters.supplier_graph(spark, sf_dir, TOP)
-    return built(spark, sf_dir, "hop-path", lambda: paths.hop_path(g, START, TARGET))
+def _hop_path(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    g = adapters.supplier_graph(spark, sf_dir, top)
+    return paths.hop_path(g, START, TARGET, local)
 
 
 @query(f"{_WEIGHTED} SELECT step, id, round(similarity, 6) AS similarity FROM path")
-def weighted_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(paths.weighted_path(adapters.supplier_graph(spark, sf_dir, TOP), START, TARGET))
+def weighted_path(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(paths.weighted_path(adapters.supplier_graph(spark, sf_dir, top), START, TARGET, local=local))
 
 
 @query(f"{_HOP} SELECT a.id AS src, b.id AS dst, round(b.similarity, 6) AS sim FROM path a JOIN path b ON b.step = a.step + 1")
-def path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(paths.path_edges(_hop_path(spark, sf_dir)))
+def path_edges(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(paths.path_edges(_hop_path(spark, sf_dir, top, local)))
 
 
 @query(f"WITH RECURSIVE {VIEWS}, {_levels('df', 'f', START)}, {_levels('dr', 'r', TARGET)} SELECT count(*) AS visited FROM (SELECT id FROM df UNION SELECT id FROM dr)")
-def visited_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = adapters.supplier_graph(spark, sf_dir, TOP)
-    return paths.visited_count(paths.hop_levels(g.forward, paths._ids(spark, g.forward, START)), paths.hop_levels(g.reverse, paths._ids(spark, g.forward, TARGET)))
+def visited_count(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    g = adapters.supplier_graph(spark, sf_dir, top)
+    return paths.visited_count(paths.hop_levels(g.forward, paths._ids(spark, g.forward, START), local=local), paths.hop_levels(g.reverse, paths._ids(spark, g.forward, TARGET), local=local))
 
 
 def _explore(view: str) -> str:
@@ -362,49 +364,49 @@ x(id, similarity, layer, ord) USING KEY (id) AS (
 _EDGES = 'SELECT src AS "from", dst AS "to", round(sim, 6) AS similarity FROM f WHERE src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)'
 
 
-def _explored(spark: SparkSession, sf_dir: str, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
-    v = adapters.supplier_view(spark, sf_dir, TOP, reverse=reverse)
-    return v, built(spark, sf_dir, f"explored-{reverse}", lambda: explore.explore_hops(v, metrics.owners(v), START, BUDGET))
+def _explored(spark: SparkSession, sf_dir: str, top: int, local: bool, reverse: bool = False) -> tuple[DataFrame, DataFrame]:
+    v = adapters.supplier_view(spark, sf_dir, top, reverse=reverse)
+    return v, explore.explore_hops(v, metrics.owners(v), START, BUDGET, local)
 
 
 @query(f"{_explore('f')} SELECT id, round(similarity, 6) AS similarity, layer FROM nodes")
-def explore_hops_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explored(spark, sf_dir)[1].select("id", r6("similarity").alias("similarity"), "layer")
+def explore_hops_nodes(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _explored(spark, sf_dir, top, local)[1].select("id", r6("similarity").alias("similarity"), "layer")
 
 
 @query(f"{_explore('f')} {_EDGES}")
-def explore_hops_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(explore.induced_view(*_explored(spark, sf_dir)))
+def explore_hops_edges(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(explore.induced_view(*_explored(spark, sf_dir, top, local)))
 
 
 @query(f"{_explore('r')} SELECT id, round(similarity, 6) AS similarity, layer FROM nodes")
-def explore_reverse_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _explored(spark, sf_dir, True)[1].select("id", r6("similarity").alias("similarity"), "layer")
+def explore_reverse_nodes(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _explored(spark, sf_dir, top, local, True)[1].select("id", r6("similarity").alias("similarity"), "layer")
 
 
 @query(f"{_explore('r')} " + _EDGES.replace('src AS "from", dst AS "to"', 'dst AS "from", src AS "to"').replace("FROM f", "FROM r"))
-def explore_reverse_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(explore.flip(explore.induced_view(*_explored(spark, sf_dir, True))))
+def explore_reverse_edges(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(explore.flip(explore.induced_view(*_explored(spark, sf_dir, top, local, True))))
 
 
 _NEAR = f"WITH RECURSIVE {VIEWS}, {_costs('df', 'f', START, False)}, nodes AS (SELECT * FROM df ORDER BY level, id LIMIT {BUDGET})"
 
 
 @query(f"{_NEAR} SELECT id, round(1.0 - level / 1000000000, 6) AS similarity, CASE WHEN id = {START} THEN 0 ELSE CAST(floor(level * 5 / 1000000000) AS INTEGER) + 1 END AS layer FROM nodes")
-def explore_weighted_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(explore.explore_weighted(adapters.supplier_view(spark, sf_dir, TOP), START, BUDGET))
+def explore_weighted_nodes(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(explore.explore_weighted(adapters.supplier_view(spark, sf_dir, top), START, BUDGET, local))
 
 
 @query(f"{_NEAR} {_EDGES}")
-def explore_weighted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = adapters.supplier_view(spark, sf_dir, TOP)
-    return _rounded(explore.induced_view(v, explore.explore_weighted(v, START, BUDGET)))
+def explore_weighted_edges(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    v = adapters.supplier_view(spark, sf_dir, top)
+    return _rounded(explore.induced_view(v, explore.explore_weighted(v, START, BUDGET, local)))
 
 
 @query(f"{_NEAR} SELECT id, s_name AS name FROM nodes JOIN supplier ON s_suppkey = id WHERE s_nationkey < 20")
-def named_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def named_nodes(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
     known = adapters.suppliers(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_nationkey < 20").select(F.col("s_suppkey").alias("id")), "id", "left_semi")
-    return explore.with_names(explore.explore_weighted(adapters.supplier_view(spark, sf_dir, TOP), START, BUDGET), known).select("id", "name")
+    return explore.with_names(explore.explore_weighted(adapters.supplier_view(spark, sf_dir, top), START, BUDGET, local), known).select("id", "name")
 
 
 # --- a path and its neighbourhood
@@ -417,32 +419,32 @@ nodes AS (SELECT id, coalesce(similarity, 0.0) AS similarity, step AS layer FROM
 
 
 @query(f"{_NEIGHBOURS} SELECT id, connections, round(sim, 6) AS sim FROM cand")
-def path_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(neighborhood.candidates(adapters.supplier_graph(spark, sf_dir, TOP), _hop_path(spark, sf_dir)))
+def path_candidates(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(neighborhood.candidates(adapters.supplier_graph(spark, sf_dir, top), _hop_path(spark, sf_dir, top, local)))
 
 
 @query(f"{_NEIGHBOURS} SELECT id, round(similarity, 6) AS similarity, layer FROM nodes")
-def enhanced_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(neighborhood.path_neighborhood(adapters.supplier_graph(spark, sf_dir, TOP), _hop_path(spark, sf_dir), BUDGET))
+def enhanced_path_nodes(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return _rounded(neighborhood.path_neighborhood(adapters.supplier_graph(spark, sf_dir, top), _hop_path(spark, sf_dir, top, local), BUDGET))
 
 
 @query(f"""{_NEIGHBOURS}, steps AS (SELECT a.id AS src, b.id AS dst, b.similarity AS sim FROM path a JOIN path b ON b.step = a.step + 1),
 u AS (SELECT src, dst, sim, 0 AS prio FROM steps UNION ALL SELECT src, dst, sim, 1 FROM f UNION ALL SELECT src, dst, sim, 2 FROM r)
 SELECT src AS "from", dst AS "to", round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY prio, sim DESC) AS k FROM u
 WHERE prio = 0 OR (src <> dst AND src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes) AND NOT EXISTS (SELECT 1 FROM steps s WHERE s.src = u.dst AND s.dst = u.src))) WHERE k = 1""")
-def enhanced_path_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g, p = adapters.supplier_graph(spark, sf_dir, TOP), _hop_path(spark, sf_dir)
+def enhanced_path_edges(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    g, p = adapters.supplier_graph(spark, sf_dir, top), _hop_path(spark, sf_dir, top, local)
     return _rounded(neighborhood.neighborhood_edges(g, p, neighborhood.path_neighborhood(g, p, BUDGET)))
 
 
 @query(f"{_HOP} SELECT CASE WHEN n = 0 THEN 'no_path' WHEN n > 2 THEN 'path_too_long' ELSE 'success' END AS status, CASE WHEN n > 0 THEN n END AS path_length, CASE WHEN n > 2 THEN n END AS minimum_budget_needed FROM (SELECT CAST(count(*) AS INTEGER) AS n FROM path)")
-def enhanced_path_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighborhood.path_status(_hop_path(spark, sf_dir), 2)
+def enhanced_path_status(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return neighborhood.path_status(_hop_path(spark, sf_dir, top, local), 2)
 
 
 @query(f"{_HOP} SELECT src, dst, EXISTS (SELECT 1 FROM path a JOIN path b ON b.step = a.step + 1 WHERE (a.id = src AND b.id = dst) OR (a.id = dst AND b.id = src)) AS on_path FROM f")
-def path_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.highlight(adapters.supplier_view(spark, sf_dir, TOP), paths.path_edges(_hop_path(spark, sf_dir))).select("src", "dst", "on_path")
+def path_highlight(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    return render.highlight(adapters.supplier_view(spark, sf_dir, top), paths.path_edges(_hop_path(spark, sf_dir, top, local))).select("src", "dst", "on_path")
 
 
 @query(f"WITH {VIEWS}, d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM f UNION ALL SELECT dst FROM f) GROUP BY id), m AS (SELECT greatest(max(degree), 1) AS most FROM d) SELECT f.src, f.dst, round(30 + (1 - sim) * 170, 6) AS length, round(sim * 0.8, 6) AS strength, round(9 + a.degree / most * 6, 6) AS src_font, round(9 + b.degree / most * 6, 6) AS dst_font FROM f JOIN d a ON a.id = f.src JOIN d b ON b.id = f.dst, m")
@@ -462,8 +464,8 @@ def view_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{_HOP} SELECT string_agg(s_name, ' → ' ORDER BY step) AS flow, string_agg(CAST(step + 1 AS VARCHAR) || '. ' || s_name || CASE WHEN step > 0 THEN ' [' || printf('%.3f', similarity) || ']' ELSE '' END, chr(10) ORDER BY step) AS lines FROM path JOIN supplier ON s_suppkey = id")
-def path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = _hop_path(spark, sf_dir).join(F.broadcast(adapters.suppliers(spark, sf_dir).join(_hop_path(spark, sf_dir).select("id"), "id", "left_semi")), "id")
+def path_text(spark: SparkSession, sf_dir: str, top: int = TOP, local: bool = False) -> DataFrame:
+    named = _hop_path(spark, sf_dir, top, local).join(F.broadcast(adapters.suppliers(spark, sf_dir).join(_hop_path(spark, sf_dir, top, local).select("id"), "id", "left_semi")), "id")
     return render.path_text(named)
 
 
@@ -620,3 +622,22 @@ def crawl_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = adapters.supplier_view(spark, sf_dir, TOP)
     recorded = table(edges.adjacency(v.select(F.col("src").cast("string").alias("src"), F.col("dst").cast("string").alias("dst"), "sim")), "recorded")
     return crawl(recorded, [str(START)]).groupBy("id").agg(F.count("*").alias("edges"))
+
+
+# --- the same over short lists, where searches go deeper, and in memory
+
+_SEARCHES = ["hop_levels", "weighted_distance", "hop_path", "weighted_path", "path_edges", "visited_count", "explore_hops_nodes", "explore_hops_edges", "explore_reverse_nodes", "explore_reverse_edges", "explore_weighted_nodes", "explore_weighted_edges", "path_candidates", "enhanced_path_nodes", "enhanced_path_edges"]
+
+
+def _variant(name: str, top: int, local: bool) -> None:
+    f = _QUERIES[name]
+    new = f"{name}_in_memory" if local else f"{name}_top{top}"
+    _QUERIES[new] = lambda spark, sf_dir: f(spark, sf_dir, top=top, local=local)
+    _SQL[new] = _SQL[name].replace(f"rk <= {TOP})", f"rk <= {top})")
+    assert top == TOP or _SQL[new] != _SQL[name]
+
+
+for _name in _SEARCHES:
+    _variant(_name, 5, False)
+for _name in ("hop_levels", "weighted_distance", "hop_path", "weighted_path", "explore_hops_nodes", "explore_weighted_nodes"):
+    _variant(_name, TOP, True)

@@ -35,10 +35,10 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def supplier_view(spark: SparkSession, sf_dir: str, top_n: int, min_sim: float = 0.0, reverse: bool = False) -> DataFrame:
     edges = supplier_edges(spark, sf_dir)
     name = f"supplier-view-{top_n}-{min_sim}-{reverse}"
-    return built(spark, sf_dir, name, lambda: top_edges(transpose(edges) if reverse else edges, min_sim, top_n).coalesce(1))
+    return built(spark, sf_dir, name, lambda: top_edges(transpose(edges) if reverse else edges, min_sim, top_n))
 
 
-def supplier_graph(spark: SparkSession, sf_dir: str, top_n: int = 5) -> Graph:
+def supplier_graph(spark: SparkSession, sf_dir: str, top_n: int = 80) -> Graph:
     return Graph(supplier_view(spark, sf_dir, top_n), supplier_view(spark, sf_dir, top_n, reverse=True))
 
 

@@ -61,6 +61,23 @@ def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataF
     return out, int(seen.get["n"])
 
 
+class Growing:
+    """A table that grows by whole parts. Each is written once; all are read as one relation, so plans stay as small as for one part."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.at, self.n, self.schema = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0, None
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """The new part and its number of rows."""
+        seen, at = Observation(), f"{self.at}/{self.n:06d}"
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+        self.n, self.schema = self.n + 1, df.schema
+        return self.spark.read.schema(df.schema).parquet(at), int(seen.get["n"])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.at)
+
+
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
     """df with the columns of a one-row DataFrame, by a scalar subquery: no join."""
     one = row.select(F.struct(*(F.col(f"`{c}`") for c in row.columns)).alias("r"))

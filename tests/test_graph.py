@@ -25,7 +25,7 @@ def ids(path):
     return [r["id"] for r in path.orderBy("step").collect()]
 
 
-@pytest.fixture(params=[None, False], ids=["in memory", "distributed"])
+@pytest.fixture(params=[True, False], ids=["in memory", "distributed"])
 def local(request):
     return request.param
 
@@ -149,7 +149,7 @@ def test_random_graphs(spark, seed):
     g = graph(spark, rows, top=2)
     for weighted, find in ((False, paths.hop_path), (True, paths.weighted_path)):
         want = brute(rows, 2, "n0", "n7", weighted)
-        got = find(g, "n0", "n7").orderBy("step").collect()
+        got = find(g, "n0", "n7", local=True).orderBy("step").collect()
         assert got == find(g, "n0", "n7", local=False).orderBy("step").collect()
         assert bool(got) == (want is not None)
         if got:
@@ -158,6 +158,6 @@ def test_random_graphs(spark, seed):
             assert (cost, len(got) - 1) == want
     start = spark.createDataFrame([("n0",)], "id string")
     for f in (paths.hop_levels, paths.distances):
-        assert sorted(f(g.forward, start).collect()) == sorted(f(g.forward, start, local=False).collect())
-    one, two = (explore.explore_hops(g.forward, metrics.owners(g.forward), "n0", 6, x).orderBy("ord").collect() for x in (None, False))
+        assert sorted(f(g.forward, start, local=True).collect()) == sorted(f(g.forward, start, local=False).collect())
+    one, two = (explore.explore_hops(g.forward, metrics.owners(g.forward), "n0", 6, x).orderBy("ord").collect() for x in (True, False))
     assert one == two

@@ -48,7 +48,7 @@ def test_clustering_of_all_edges(spark):
     assert max(map(len, near.values())) > graph.TOP
     each = [(sum(b in near.get(a, ()) or a in near.get(b, ()) for a, b in combinations(sorted(x), 2)), len(x) * (len(x) - 1) // 2) for x in near.values() if len(x) > 1]
     want = sum(c / n for c, n in each) / len(each), sum(c for c, _ in each) / sum(n for _, n in each), sum(n for _, n in each)
-    got = graph.queries()["clustering_full"](spark, "/root/testdata/sf0.01").first()
+    got = graph.queries()["clustering"](spark, "/root/testdata/sf0.01").first()
     assert abs(got["mean_local"] - want[0]) < 2e-6 and abs(got["transitivity"] - want[1]) < 2e-6 and got["wedges"] == want[2]
 
 
