@@ -23,7 +23,7 @@ two named ones are not looked at. If every line is dropped the kept text is empt
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -148,11 +148,11 @@ class LineIndex:
         return out
 
 
-def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush: int = 200_000, group_col: str | None = None, groups: DataFrame | None = None) -> DataFrame:
+def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush: int = 200_000, group_col: str | None = None, group_of: Callable[[list], np.ndarray] | None = None, groups: DataFrame | None = None) -> DataFrame:
     """(h1, h2, n): 128-bit hash of each line key and the number of documents that hold it.
 
-    With a `group_col` (of longs), the number of different values of it among them, each null being one of its own; `groups` (g, root)
-    puts its values together further.
+    With a `group_col` (of longs), the number of different values of it among them, each null being one of its own; `group_of`
+    gives such values (uint64) for texts instead, and `groups` (g, root) puts values together further.
     """
     ship(df.sparkSession)
 
@@ -166,8 +166,9 @@ def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush
             return out
 
         held = 0
-        for b in slices(batches):
-            for text, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for b in slices(batches, 256):
+            texts = b.column(0).to_pylist()
+            for text, g in zip(texts, b.column(1).to_pylist() if group_of is None else group_of(texts).view(np.int64).tolist()):
                 for k in {key_of(x) for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n")}:
                     if len(k) >= min_chars and (min_chars <= 1 or len(k.decode("utf-8", "surrogatepass")) >= min_chars):
                         if (k, g) not in seen:
@@ -181,7 +182,7 @@ def line_counts(df: DataFrame, text_col: str = "text", min_chars: int = 1, flush
 
     group = F.lit(None) if group_col is None else F.col(f"`{group_col}`")
     found = df.select(F.col(f"`{text_col}`").cast("string"), group.cast("long").alias("g")).mapInArrow(run, "h1 long, h2 long, g long, n long")
-    if group_col is None:
+    if group_col is None and group_of is None:
         return found.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
     once = found.groupBy("h1", "h2", "g").agg(F.sum("n").alias("n"))
     if groups is not None:

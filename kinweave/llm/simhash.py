@@ -35,10 +35,11 @@ from .common import schema_of, ship, table
 
 def fingerprint_of(text: str | None, width: int = 2, seed: int = 42) -> int:
     """The SimHash of one whole text, as an unsigned 64-bit integer."""
-    return int(_fingerprints([text], width, seed)[0])
+    return int(fingerprints_of([text], width, seed)[0])
 
 
-def _fingerprints(texts: list[str | None], width: int = 2, seed: int = 42) -> np.ndarray:
+def fingerprints_of(texts: list[str | None], width: int = 2, seed: int = 42) -> np.ndarray:
+    """The fingerprints of some texts, of which all shingles are held at once."""
     digest, hashes, sizes = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -81,7 +82,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(_fingerprints(part.column(1).to_pylist(), width, seed).view(np.int64))], names=["id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(part.column(1).to_pylist(), width, seed).view(np.int64))], names=["id", "fp"])
 
     return picked.mapInArrow(run, type(picked.schema)([picked.schema["id"], *schema_of("fp long").fields]))
 
@@ -278,6 +279,7 @@ def with_fingerprint(df: DataFrame, text_col: str = "text", width: int = 2, seed
     def fp(t):
         import pandas as pd
 
-        return pd.Series(_fingerprints(t.tolist(), width, seed).view(np.int64))
+        made = [fingerprints_of(t.iloc[i : i + 256].tolist(), width, seed) for i in range(0, len(t), 256)]
+        return pd.Series(np.concatenate([np.zeros(0, np.uint64), *made]).view(np.int64))
 
     return df.withColumn("__fp", fp(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
