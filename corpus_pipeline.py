@@ -28,7 +28,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     docs = docs.select(*COLUMNS)
     groups = table(simhash.near_duplicates(docs).select(F.col("fp").alias("g"), "root").distinct(), "groups")
-    counts = line_dedup.line_counts(simhash.with_fingerprint(docs), group_col="__fp", groups=groups)
+    counts = line_dedup.line_counts(docs, group_of=simhash.fingerprints_of, groups=groups)
     out = line_dedup.line_dedup(docs, min_docs=10, counts=counts)
     return out.withColumn("n_chars", F.when(F.col("__n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
