@@ -394,7 +394,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact:
     order = np.argsort(known_key)
     known_key, known_n = known_key[order], got["n"].to_numpy()[order]
 
-    groups, homes = max(1, -(-total // group_tokens)), max(1, -(-4 * kinds // group_tokens))
+    groups = homes = max(1, -(-total // group_tokens))  # what a group is asked then stays the same as texts grow
     filled = table(_filled(_runs(train, groups)), "bigram-filter")
     drop(spark)
     follow = filled.where("half is not null").groupBy("half").agg(F.sum("n").alias("n")).select("half", level_of.alias("level"))
