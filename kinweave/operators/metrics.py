@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..store import table, with_row
@@ -34,11 +34,39 @@ def in_degree(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("degree"))
 
 
+def cumulated(h: DataFrame, value: str, *counts: str) -> DataFrame:
+    """h, with one row for each value, and for each count column c the sum c_before over all smaller values.
+
+    Rows are put into ranges of values; each range is summed by itself and starts from the totals of those before it.
+    """
+    parts = h.repartitionByRange(value).withColumn("__part", F.spark_partition_id())
+    parts = table(parts, "ranges")
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = parts.groupBy("__part").agg(*(F.sum(c).alias(c) for c in counts)).select("__part", *(F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"__{c}") for c in counts))
+    within = Window.partitionBy("__part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    joined = parts.join(F.broadcast(starts), "__part")
+    return joined.withColumns({f"{c}_before": F.col(f"__{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)) for c in counts}).drop("__part", *(f"__{c}" for c in counts))
+
+
+def quantiles(h: DataFrame, value: str, count: str, shares: dict[str, float]) -> DataFrame:
+    """One row with quantiles (linear between neighbours) of a histogram, found by rank."""
+    x, n, before = F.col(value).cast("double"), F.col(count), F.col(f"{count}_before")
+    placed = with_row(cumulated(h, value, count), h.agg(F.sum(count).alias("__n")))
+    at = {name: (F.col("__n") - 1) * share for name, share in shares.items()}
+    holds = lambda k: (before <= k) & (k < before + n)  # noqa: E731  the value of rank k, from 0
+    row = placed.agg(*(F.max(F.when(holds(f(at[name])), x)).alias(f"{name}_{k}") for name in shares for k, f in ((0, F.floor), (1, F.ceil))), *(F.max(at[name] - F.floor(at[name])).alias(f"{name}_w") for name in shares))
+    return row.select(*((F.col(f"{q}_0") + (F.col(f"{q}_1") - F.col(f"{q}_0")) * F.col(f"{q}_w")).alias(q) for q in shares))
+
+
 def summary(values: DataFrame, column: str) -> DataFrame:
-    """Mean, median, population deviation, extremes, quartiles (linear) and number of values."""
+    """Mean, median, population deviation, extremes, quartiles (linear) and number of values.
+
+    Quartiles come from ranks in a histogram, so no task and no buffer holds all values.
+    """
     x = F.col(column).cast("double")
-    pct = lambda p: F.percentile(x, F.lit(p))
-    return values.agg(F.avg(x).alias("mean"), pct(0.5).alias("median"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), pct(0.25).alias("q25"), pct(0.75).alias("q75"), F.count(x).alias("n"))
+    plain = values.agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.count(x).alias("n"))
+    h = histogram(values.where(F.col(column).isNotNull()), column)
+    return with_row(plain, quantiles(h, "value", "count", {"q25": 0.25, "median": 0.5, "q75": 0.75})).select("mean", "median", "std", "min", "max", "q25", "q75", "n")
 
 
 def histogram(values: DataFrame, column: str) -> DataFrame:
@@ -46,15 +74,8 @@ def histogram(values: DataFrame, column: str) -> DataFrame:
 
 
 def gini(values: DataFrame, column: str) -> DataFrame:
-    """Gini coefficient from the histogram: ranks of equal values sum in closed form.
-
-    The only window runs over distinct values, not over rows.
-    """
-    from pyspark.sql import Window
-
-    h = histogram(values.where(F.col(column).isNotNull()), column)
-    w = Window.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    h = h.withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0)))
+    """Gini coefficient from the histogram: ranks of equal values sum in closed form."""
+    h = cumulated(histogram(values.where(F.col(column).isNotNull()), column), "value", "count").withColumnRenamed("count_before", "before")
     c = F.col("count").cast("double")
     ranks = c * F.col("before") + c * (c + 1) / 2
     row = h.agg(F.sum(ranks * F.col("value")).alias("weighted"), F.sum(c * F.col("value")).alias("total"), F.sum(c).alias("n"))
@@ -96,12 +117,9 @@ def density_curve(values: DataFrame, column: str, at: list[float], bandwidth: fl
 
 
 def evenly_spaced(values: DataFrame, order: str, most: int = 1000) -> DataFrame:
-    """At most `most` rows, evenly spaced in the order of a column with few distinct values (a histogram)."""
-    from pyspark.sql import Window
-
+    """At most `most` rows, evenly spaced in the order of a column without equal values (a histogram)."""
     n = values.agg(F.count("*").alias("n"))
-    ranked = values.withColumn("k", F.row_number().over(Window.orderBy(order)) - 1)
-    ranked = with_row(ranked, n)
+    ranked = with_row(cumulated(values.withColumn("__one", F.lit(1)), order, "__one").withColumnRenamed("__one_before", "k").drop("__one"), n)
     picks = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.floor(i * (F.col("n") - 1) / F.lit(most - 1)))
     return ranked.where((F.col("n") <= most) | F.array_contains(picks, F.col("k").cast("long"))).drop("n", "k")
 

@@ -489,19 +489,23 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.two_samples(metrics.in_degree(adapters.part_edges(spark, sf_dir)), metrics.in_degree(_half(spark, sf_dir)), "degree")
 
 
-@query(f"{_BOTH}, v AS (SELECT DISTINCT x FROM (SELECT x FROM a UNION ALL SELECT x FROM b)), na AS (SELECT count(*) AS n FROM a), nb AS (SELECT count(*) AS n FROM b) SELECT round(max(abs((SELECT count(*) FROM a WHERE a.x <= v.x) / (SELECT n FROM na) - (SELECT count(*) FROM b WHERE b.x <= v.x) / (SELECT n FROM nb))), 6) AS ks FROM v")
+#: An integral from t over the next 40, by Simpson's rule.
+_TAIL = "(SELECT sum(CASE WHEN j = 0 OR j = 8000 THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * ({f})) * 40 / 8000 / 3 FROM (SELECT j, {t} + j * 40 / 8000 AS t FROM range(8001) r(j)))"
+
+
+@query(f"{_BOTH}, v AS (SELECT DISTINCT x FROM (SELECT x FROM a UNION ALL SELECT x FROM b)), na AS (SELECT count(*) AS n FROM a), nb AS (SELECT count(*) AS n FROM b), k AS (SELECT max(abs((SELECT count(*) FROM a WHERE a.x <= v.x) / (SELECT n FROM na) - (SELECT count(*) FROM b WHERE b.x <= v.x) / (SELECT n FROM nb))) AS ks FROM v), e AS (SELECT ks, ks * sqrt((SELECT n FROM na) * (SELECT n FROM nb) / ((SELECT n FROM na) + (SELECT n FROM nb))) AS x FROM k), q AS (SELECT ks, CASE WHEN x < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * (SELECT sum(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END * exp(-2 * j * j * x * x)) FROM range(1, 101) t(j)))) END AS p FROM e) SELECT round(ks, 6) AS ks, round(p, 6) AS p_value, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN 'Distributions differ' ELSE 'Distributions similar' END AS interpretation FROM q")
 def ks_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compare.ks_statistic(_both(spark, sf_dir)))
 
 
-@query(f"{_BOTH}, u AS (SELECT 1 AS s, x FROM a UNION ALL SELECT 2, x FROM b), k AS (SELECT s, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk, count(*) OVER (PARTITION BY x) AS t FROM u), z AS (SELECT sum(rk) FILTER (s = 1) AS r, CAST(count(*) FILTER (s = 1) AS DOUBLE) AS na, CAST(count(*) FILTER (s = 2) AS DOUBLE) AS nb, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k) SELECT round(r - na * (na + 1) / 2, 6) AS u, round((r - na * (na + 1) / 2 - na * nb / 2) / sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))), 6) AS z FROM z")
+@query(f"{_BOTH}, u AS (SELECT 1 AS s, x FROM a UNION ALL SELECT 2, x FROM b), k AS (SELECT s, x, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rk, count(*) OVER (PARTITION BY x) AS t FROM u), z AS (SELECT sum(rk) FILTER (s = 1) AS r, CAST(count(*) FILTER (s = 1) AS DOUBLE) AS na, CAST(count(*) FILTER (s = 2) AS DOUBLE) AS nb, sum(CAST(t AS DOUBLE) * t - 1) AS ties FROM k), y AS (SELECT r - na * (na + 1) / 2 AS u, r - na * (na + 1) / 2 - na * nb / 2 AS off, sqrt(na * nb / 12 * (na + nb + 1 - ties / ((na + nb) * (na + nb - 1)))) AS dev FROM z), q AS (SELECT u, off / dev AS z, {_TAIL.format(t='greatest(abs(off) - 0.5, 0) / dev', f='exp(-t * t / 2) * sqrt(2 / pi())')} AS p FROM y) SELECT round(u, 6) AS u, round(z, 6) AS z, round(p, 6) AS p_value, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN 'Central tendencies differ' ELSE 'Central tendencies similar' END AS interpretation FROM q")
 def mann_whitney_u(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(compare.mann_whitney(_both(spark, sf_dir)))
 
 
-@query(f"{_BOTH}, u AS (SELECT 1 AS s, x FROM a UNION ALL SELECT 2, x FROM b), z AS (SELECT s, abs(x - quantile_cont(x, 0.5) OVER (PARTITION BY s)) AS z FROM u), g AS (SELECT s, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY s), t AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m, sum(n * v) AS within FROM g) SELECT round((any_value(t.n) - 2) * sum(g.n * (g.m - t.m) * (g.m - t.m)) / any_value(t.within), 5) AS w FROM g, t")
+@query(f"{_BOTH}, u AS (SELECT 1 AS s, x FROM a UNION ALL SELECT 2, x FROM b), z AS (SELECT s, abs(x - quantile_cont(x, 0.5) OVER (PARTITION BY s)) AS z FROM u), g AS (SELECT s, count(*) AS n, avg(z) AS m, var_pop(z) AS v FROM z GROUP BY s), t AS (SELECT sum(n) AS n, sum(n * m) / sum(n) AS m, sum(n * v) AS within FROM g), y AS (SELECT any_value(t.n) - 2 AS df, (any_value(t.n) - 2) * sum(g.n * (g.m - t.m) * (g.m - t.m)) / any_value(t.within) AS w FROM g, t), q AS (SELECT w, {_TAIL.format(t='sqrt(w)', f='2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * pow(1 + t * t / df, -(df + 1) / 2)')} AS p FROM y) SELECT round(w, 5) AS w, round(p, 6) AS p_value, p < 0.05 AS significant, CASE WHEN p < 0.05 THEN 'Variances differ' ELSE 'Variances similar' END AS interpretation FROM q")
 def levene_w(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare.levene(_both(spark, sf_dir)).select(F.round("w", 5).alias("w"))
+    return compare.levene(_both(spark, sf_dir)).withColumns({"w": F.round("w", 5), "p_value": r6("p_value")})
 
 
 @query(f"{_BOTH}, d AS (SELECT ((SELECT avg(x) FROM a) - (SELECT avg(x) FROM b)) / sqrt(((SELECT var_pop(x) FROM a) + (SELECT var_pop(x) FROM b)) / 2) AS d) SELECT round(d, 6) AS d, CASE WHEN abs(d) < 0.2 THEN 'Negligible' WHEN abs(d) < 0.5 THEN 'Small' WHEN abs(d) < 0.8 THEN 'Medium' ELSE 'Large' END AS effect FROM d")
