@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TTL_SECONDS = 90 * 24 * 3600
+#: How long stored metadata and answers held in memory stay fresh.
+TTL_SECONDS, MEMORY_TTL_SECONDS = 90 * 24 * 3600, 24 * 3600
 
 
 def cost(sim: Column) -> Column:
@@ -42,8 +43,8 @@ def first_image(images: Column) -> Column:
     return F.nullif(found["url"], F.lit(""))
 
 
-def is_fresh(last_fetched: Column, now: Column | None = None) -> Column:
-    return ((F.unix_timestamp() if now is None else now) - last_fetched) < F.lit(TTL_SECONDS)
+def is_fresh(last_fetched: Column, now: Column | None = None, ttl: int = TTL_SECONDS) -> Column:
+    return ((F.unix_timestamp() if now is None else now) - last_fetched) < F.lit(ttl)
 
 
 def has_preview(tracks: Column) -> Column:

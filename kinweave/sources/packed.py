@@ -4,41 +4,65 @@ Adjacency: records of a 16-byte id, a little-endian u32 n and n pairs of 16-byte
 the other. Metadata: a header of four u32 offsets, then a name lookup (u32 n; u16 length, UTF-8, u16 k, k ids), entities
 (u32 n; id, two u16-length strings) and two indexes (u32 n; id, u64 place).
 
-Files are read and written whole by one task each, so a graph is a folder of part files; Spark reads
-them as binary files, in parallel and with the decoder vectorised over all records of a file.
+A graph is a folder of part files. Spark reads them as binary files, in parallel, and decodes all records of a file in whole
+arrays. Each part is made by one task and written by Spark itself, so it goes wherever Spark can write and a
+retried task leaves no second copy. A part holds a bounded number of edges (but a list is never split); its last byte is a newline, which
+readers take for a record that is cut short.
 """
 
 from __future__ import annotations
 
-import io
+import mmap
 import struct
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..store import ship, table
 
 _PAIR = np.dtype([("id", "V16"), ("sim", "<f4")])
+#: Edges that one part file should hold, and those that are decoded at once.
+PART_EDGES, BATCH_EDGES = 4_000_000, 1 << 18
 
 
 def _name(raw: bytes) -> str:
     return str(uuid.UUID(bytes=raw))
 
 
-def decode_adjacency(data: bytes) -> Iterator[tuple[str, int, list[tuple[str, float]]]]:
-    """(id, offset, pairs) of each record; a record that is cut short ends the file."""
-    at = 0
+def _dashed(x: Column) -> Column:
+    return F.concat_ws("-", *(F.substring(x, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+
+
+def _hexed(ids: np.ndarray) -> pa.Array:
+    """32 hex digits for each row of an (n, 16) byte array."""
+    offsets = np.arange(len(ids) + 1, dtype=np.int32) * 32
+    return pa.StringArray.from_buffers(len(ids), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids).tobytes().hex().encode()))
+
+
+def records(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, number of pairs) of each record; a record that is cut short ends the file."""
+    at, starts, sizes = 0, [], []
+    read = struct.Struct("<I").unpack_from
     while at + 20 <= len(data):
-        (n,) = struct.unpack_from("<I", data, at + 16)
+        (n,) = read(data, at + 16)
         if at + 20 + 20 * n > len(data):
-            return
+            break
+        starts.append(at)
+        sizes.append(n)
+        at += 20 + 20 * n
+    return np.array(starts, np.int64), np.array(sizes, np.int64)
+
+
+def decode_adjacency(data: bytes) -> Iterator[tuple[str, int, list[tuple[str, float]]]]:
+    """(id, offset, pairs) of each record."""
+    for at, n in zip(*(x.tolist() for x in records(data))):
         pairs = np.frombuffer(data, _PAIR, n, at + 20)
         yield _name(data[at : at + 16]), at, [(_name(p["id"].tobytes()), float(p["sim"])) for p in pairs]
-        at += 20 + 20 * n
 
 
 def encode_record(owner: str, pairs: list[tuple[str, float]]) -> bytes:
@@ -52,52 +76,80 @@ def encode_record(owner: str, pairs: list[tuple[str, float]]) -> bytes:
 def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, sim float, pos, file, offset); the offset is that of the owner's record."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for path_, content in zip(f["path"], f["content"]):
-                rows = [(i, d, s, k, path_, o) for i, o, pairs in decode_adjacency(bytes(content)) for k, (d, s) in enumerate(pairs)]
-                yield pd.DataFrame(rows, columns=["src", "dst", "sim", "pos", "file", "offset"]).astype({"sim": "float32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0), b.column(1)):
+                raw = content.as_buffer()
+                data = np.frombuffer(raw, np.uint8)
+                start, size = records(memoryview(raw))
+                ends = np.cumsum(size)
+                i = 0
+                while i < len(start):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_EDGES, side="right")))
+                    at, n = start[i:j], size[i:j]
+                    pos = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    pairs = data[(np.repeat(at, n) + 20 + 20 * pos)[:, None] + np.arange(20)]
+                    owners = np.repeat(data[at[:, None] + np.arange(16)], n, axis=0)
+                    sims = np.ascontiguousarray(pairs[:, 16:]).view("<f4").reshape(-1)
+                    yield pa.RecordBatch.from_arrays([_hexed(owners), _hexed(pairs[:, :16]), pa.array(sims), pa.array(pos.astype(np.int32)), pa.array([name.as_py()] * len(pos), pa.string()), pa.array(np.repeat(at, n))], names=["src", "dst", "sim", "pos", "file", "offset"])
+                    i = j
 
     ship(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
-    return raw.mapInPandas(run, "src string, dst string, sim float, pos int, file string, offset long")
+    rows = raw.mapInArrow(run, "src string, dst string, sim float, pos int, file string, offset long")
+    return rows.withColumns({"src": _dashed(F.col("src")), "dst": _dashed(F.col("dst"))})
+
+
+def _bytes16(x: str) -> Column:
+    return F.unhex(F.replace(F.col(x), F.lit("-"), F.lit("")))
 
 
 def write_adjacency(edges: DataFrame, folder: str, files: int | None = None) -> DataFrame:
-    """Write edges (src, dst, sim[, pos]) as part files under a shared folder; returns (id, file, offset, connections).
+    """Write edges (src, dst, sim[, pos]) as part files under a folder; returns (id, file, offset, connections).
 
-    Each task writes one file by way of Hadoop-free Python I/O, so the folder has to be mounted alike
-    on all executors (file:// paths).
+    Owners go to parts by their hash. Lists are streamed through the task of a part in order, so none is held as one row.
     """
-    ship(edges.sparkSession)
-    at = folder.removeprefix("file://")
+    spark = edges.sparkSession
+    ship(spark)
     order = F.col("pos") if "pos" in edges.columns else -F.col("sim")
-    lists = edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("dst").alias("dst"), F.col("sim").alias("sim")))).alias("l"))
-    parts = lists.repartition(files or 8, "src").sortWithinPartitions("src")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-        from pathlib import Path
-
-        from pyspark import TaskContext
-
-        Path(at).mkdir(parents=True, exist_ok=True)
-        name = f"part-{TaskContext.get().partitionId():05d}.bin"
-        rows, place, out = [], 0, io.BytesIO()
-        for f in frames:
-            for owner, items in zip(f["src"], f["l"]):
-                raw = encode_record(owner, [(x["dst"], x["sim"]) for x in items])
-                rows.append((owner, name, place, len(items)))
-                place += len(raw)
-                out.write(raw)
-        if rows:
-            temporary = f"{at}/.{name}.{uuid.uuid4().hex}"
-            with open(temporary, "wb") as f:
-                f.write(out.getvalue())
-            os.replace(temporary, f"{at}/{name}")  # a retried task replaces its file whole
-        yield pd.DataFrame(rows, columns=["id", "file", "offset", "connections"])
-
-    return table(parts.mapInPandas(run, "id string, file string, offset long, connections int"), "packed-index")
+    if files is None:
+        files = max(1, -(-edges.count() // PART_EDGES))
+    part = F.pmod(F.xxhash64("src"), F.lit(files)).cast("int")
+    sized = edges.select("src", "dst", F.col("sim").cast("float").alias("sim"), order.alias("o"), part.alias("part")).withColumn("n", F.count("*").over(Window.partitionBy("src")))
+    rows = sized.repartitionById(files, "part").sortWithinPartitions("src", "o", "dst").select(_bytes16("src").alias("src"), _bytes16("dst").alias("dst"), "sim", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, last = [], None
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            src, dst = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(n, 16) for k in (0, 1))
+            fresh = np.ones(n, bool)
+            fresh[1:] = (src[1:] != src[:-1]).any(axis=1)
+            fresh[0] = last is None or src[0].tobytes() != last
+            made = np.zeros((n + int(fresh.sum()), 20), np.uint8)
+            at = np.arange(n) + np.cumsum(fresh)
+            made[at, :16], made[at, 16:] = dst, b.column(2).to_numpy().astype("<f4").view(np.uint8).reshape(n, 4)
+            made[at[fresh] - 1, :16] = src[fresh]
+            made[at[fresh] - 1, 16:] = b.column(3).to_numpy()[fresh].astype("<u4").view(np.uint8).reshape(-1, 4)
+            out.append(made.tobytes())
+            last = src[-1].tobytes()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(out)], pa.binary())], names=["content"])
+
+    write_parts(rows.mapInArrow(run, "content binary"), folder)
+    names = spark.read.format("binaryFile").load(folder).select("path")
+    names = names.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.regexp_extract("path", "part-([0-9]+)-", 1).cast("int").alias("part"))
+    lists = sized.groupBy("part", "src").agg(F.count("*").cast("int").alias("connections"))
+    before = F.sum(F.col("connections") * 20 + 20).over(Window.partitionBy("part").orderBy("src").rowsBetween(Window.unboundedPreceding, -1))
+    placed = lists.withColumn("offset", F.coalesce(before, F.lit(0)).cast("long"))
+    return table(placed.join(names, "part").select(F.col("src").alias("id"), "file", "offset", "connections"), "packed-index")
+
+
+def write_parts(rows: DataFrame, folder: str) -> None:
+    """Rows (content binary), one for each part, as files of just these bytes and a newline, by way of Spark's own committer."""
+    rows.select(F.col("content").cast("string").alias("value")).write.mode("overwrite").text(folder)
 
 
 def connections_at(data: bytes, offset: int, owner: str) -> list[tuple[str, float]]:
@@ -168,3 +220,64 @@ def read_metadata(spark: SparkSession, path: str, section: str) -> DataFrame:
 
     ship(spark)
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
+
+
+def write_metadata(spark: SparkSession, folder: str, entities: DataFrame, lookup: DataFrame, forward: DataFrame, reverse: DataFrame) -> None:
+    """A metadata file of entities (id, name, url), lookup (name, ids) and indexes (id, offset).
+
+    Rows are encoded where they are; one task puts the file together, as its format is one file.
+    """
+    little = lambda x, width: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(x.cast("long")), 2 * width, "0"), 2 * k + 1, 2) for k in reversed(range(width)))))
+    text = lambda c: F.concat(little(F.octet_length(F.coalesce(c, F.lit(""))), 2), F.encode(F.coalesce(c, F.lit("")), "UTF-8"))
+    ident = lambda c: F.unhex(F.replace(c, F.lit("-"), F.lit("")))
+    ids = F.unhex(F.array_join(F.transform("ids", lambda i: F.replace(i, F.lit("-"), F.lit(""))), ""))
+    parts = [
+        lookup.select(F.lit(0).alias("section"), F.col("name").alias("key"), F.concat(text(F.col("name")), little(F.size("ids"), 2), ids).alias("raw")),
+        entities.select(F.lit(1), F.col("id"), F.concat(ident(F.col("id")), text(F.col("name")), text(F.col("url")))),
+        forward.select(F.lit(2), F.col("id"), F.concat(ident(F.col("id")), little(F.col("offset"), 8))),
+        reverse.select(F.lit(3), F.col("id"), F.concat(ident(F.col("id")), little(F.col("offset"), 8))),
+    ]
+    rows = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).repartition(1).sortWithinPartitions("section", "key").select("section", "raw")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, counts = [[], [], [], []], [0] * 4
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                held[k].append(raw)
+                counts[k] += 1
+        made = [struct.pack("<I", n) + b"".join(x) for n, x in zip(counts, held)]
+        yield pa.RecordBatch.from_arrays([pa.array([struct.pack("<4I", *np.cumsum([16, *map(len, made[:3])]).tolist()) + b"".join(made)], pa.binary())], names=["content"])
+
+    ship(spark)
+    write_parts(rows.mapInArrow(run, "content binary"), folder)
+
+
+class Packed:
+    """A part file on a local disk, mapped into memory: lists are read where they lie."""
+
+    def __init__(self, path: str):
+        with open(path.removeprefix("file://"), "rb") as f:
+            self.data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+    def connections(self, owner: str, offset: int) -> list[tuple[str, float]]:
+        return connections_at(self.data, offset, owner)
+
+    def close(self) -> None:
+        self.data.close()
+
+
+def lookup_lists(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
+    """(id, dst, sim, pos) of wanted(id, file, offset): lists by random access, those of one file in one task."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(i, d, s, k) for i, o, content in zip(f["id"], f["offset"], f["content"]) for k, (d, s) in enumerate(connections_at(content, int(o), i))]
+            yield pd.DataFrame(rows, columns=["id", "dst", "sim", "pos"]).astype({"sim": "float32"})
+
+    ship(spark)
+    files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
+    cut = wanted.select("id", "file", "offset", F.col("offset").alias("at")).join(files, "file")
+    # of each file only the record asked for leaves the JVM
+    size = F.expr("cast(conv(concat(hex(substring(content, cast(offset as int) + 20, 1)), hex(substring(content, cast(offset as int) + 19, 1)), hex(substring(content, cast(offset as int) + 18, 1)), hex(substring(content, cast(offset as int) + 17, 1))), 16, 10) as int)")
+    one = cut.withColumn("size", size).select("id", F.lit(0).cast("long").alias("offset"), F.expr("substring(content, cast(at as int) + 1, 20 + 20 * size)").alias("content"))
+    return one.mapInPandas(run, "id string, dst string, sim float, pos int")

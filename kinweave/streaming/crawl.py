@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_name, resolve_id
-from ..store import ship, table
+from ..store import Growing, ship
 
 
 class Transient(Exception):
@@ -27,46 +27,57 @@ def with_retry(call: Callable, tries: int = 5, least: float = 1.0, most: float =
     return None
 
 
-def fetch(ids: DataFrame, client: Callable[[str], list[tuple[str, float]] | None]) -> DataFrame:
-    """(id, dst, sim): answers of a client for every id, fetched within tasks; an id without an answer has one null row."""
+def fetch(ids: DataFrame, client: Callable[[str], list[tuple[str, float]] | None], concurrency: int = 1, pause: float = 0.0) -> DataFrame:
+    """(id, dst, sim): answers of a client for every id, fetched within tasks; an id without an answer has one null row.
+
+    Each task keeps `concurrency` requests in flight and waits `pause` seconds between starting one and the next.
+    """
     import pandas as pd
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        def asked(i: str, k: int) -> list[tuple]:
+            if pause and k:
+                time.sleep(pause)
+            return [(i, d, float(s)) for d, s in (with_retry(lambda: client(i)) or [(None, float("nan"))])]
+
         for f in frames:
-            rows = []
-            for i in f["id"]:
-                got = with_retry(lambda i=i: client(i))
-                rows.extend((i, d, float(s)) for d, s in (got or [(None, float("nan"))]))
+            with ThreadPoolExecutor(concurrency) as pool:
+                rows = [r for found in pool.map(asked, f["id"], range(len(f))) for r in found]
             yield pd.DataFrame(rows, columns=["id", "dst", "sim"])
 
     ship(ids.sparkSession)
     return ids.select("id").mapInPandas(run, "id string, dst string, sim double")
 
 
-def crawl(recorded: DataFrame, seeds: list[str], most: int | None = None, batch: int = 10) -> DataFrame:
+def crawl(recorded: DataFrame, seeds: list[str], most: int | None = None, batch: int | None = None, save: str | None = None) -> DataFrame:
     """(id, dst, sim) gathered from recorded(id, connections) by crawling outwards from the seeds.
 
-    A round takes every queued entity (of which there may be `most` in all), looks its answer up, and queues
-    what it has not seen. State lives in shared tables, so a crawl goes on where a lost executor left it.
+    A round takes the first `batch` of the queue (all of it, if None), in the order in which entities were queued, looks their answers up, and queues
+    what it has not seen; `most` entities are asked for in all. Every round adds a part to shared tables, so a round costs what is new in it.
+    With `save` the state goes there after each round. No seeds give no rows.
     """
     spark = recorded.sparkSession
-    queue = table(spark.createDataFrame([(s,) for s in seeds], "id string"), "queue")
-    done, parts, left = None, [], most
-    while not queue.isEmpty():
-        now = queue if left is None else queue.orderBy("id").limit(left)
-        now = table(now, "batch")
-        if left is not None:
-            left -= now.count()
-        got = table(recorded.join(now, "id", "left_semi").select("id", F.explode("connections").alias("c")).select("id", F.col("c.id").alias("dst"), F.col("c.sim").cast("double").alias("sim")), "answers")
-        parts.append(got)
-        done = now if done is None else table(done.union(now), "done")
-        if left == 0:
+    queued, done, found = (Growing(spark, n) for n in ("queued", "done", "answers"))
+    queued.add(spark.createDataFrame([(s, 0) for s in dict.fromkeys(seeds)], "id string, round int"))
+    done.add(spark.createDataFrame([], "id string"))
+    found.add(spark.createDataFrame([], "id string, dst string, sim double"))
+    left, k = most, 0
+    while left is None or left > 0:
+        queue = queued.all().join(done.all(), "id", "left_anti")
+        size = min(x for x in (batch, left, 1 << 62) if x is not None)
+        now = queue.select("id") if size == 1 << 62 else queue.orderBy("round", "id").limit(size).select("id")
+        now, n = done.add(now)
+        if not n:
             break
-        queue = table(got.select(F.col("dst").alias("id")).distinct().join(done, "id", "left_anti"), "queue")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
+        k += 1
+        left = None if left is None else left - n
+        got, _ = found.add(recorded.join(now, "id", "left_semi").select("id", F.explode("connections").alias("c")).select("id", F.col("c.id").alias("dst"), F.col("c.sim").cast("double").alias("sim")))
+        queued.add(got.select(F.col("dst").alias("id")).distinct().join(queued.all(), "id", "left_anti").select("id", F.lit(k).alias("round")))
+        if save:
+            save_state(spark, save, done.all(), queued.all().join(done.all(), "id", "left_anti"))
+    return found.all()
 
 
 def resolve_answers(answers: DataFrame) -> DataFrame:
@@ -74,8 +85,10 @@ def resolve_answers(answers: DataFrame) -> DataFrame:
     return answers.select(resolve_id(F.col("mbid"), F.col("url")).alias("id"), "name", "url").where("id is not null")
 
 
-def first_seen(entities: DataFrame) -> DataFrame:
-    return entities.dropDuplicates(["id"])
+def first_seen(entities: DataFrame, order: str = "line") -> DataFrame:
+    """The first record of each id in the order of a column."""
+    rest = [c for c in entities.columns if c not in ("id", order)]
+    return entities.groupBy("id").agg(F.min_by(F.struct(*rest), order).alias("r")).select("id", *(F.col(f"r.{c}") for c in rest))
 
 
 def new_seeds(seeds: DataFrame, processed: DataFrame, queue: DataFrame) -> DataFrame:
@@ -101,7 +114,20 @@ def stream_edges(spark: SparkSession, folder: str, out: str, checkpoint: str, tr
 
 
 def stream_entities(spark: SparkSession, folder: str, out: str, checkpoint: str, trigger: dict | None = None):
-    """A stream of entities, each id once."""
+    """A stream of entities, each id once.
+
+    Every batch writes what the batches before it have not written, to a folder of its own (which a repeated batch replaces), so the
+    stream holds no state however long it runs.
+    """
+
+    def add(rows: DataFrame, batch: int) -> None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(out)
+        known = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        fresh = rows.groupBy("id").agg(F.min(F.struct("name", "url")).alias("r")).select("id", "r.name", "r.url").withColumn("clean", clean_name(F.col("name")))
+        if known:
+            before = rows.sparkSession.read.schema("id string, batch long").parquet(out).where(F.col("batch") < batch)
+            fresh = fresh.join(before.select("id"), "id", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+
     rows = spark.readStream.schema("id string, name string, url string").json(folder)
-    rows = rows.dropDuplicates(["id"]).withColumn("clean", clean_name(F.col("name")))
-    return rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()
+    return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "30 seconds"})).start()

@@ -29,7 +29,7 @@ def test_packed(spark, tmp_path):
     e = spark.createDataFrame([(A, B, 0.5), (A, C, 0.75), (B, A, 1.0)], "src string, dst string, sim float")
     index = packed.write_adjacency(e, f"{tmp_path}/bin", 1)
     assert {(r["id"], r["connections"]) for r in index.collect()} == {(A, 2), (B, 1)}
-    back = packed.read_adjacency(spark, f"{tmp_path}/bin/*.bin")
+    back = packed.read_adjacency(spark, f"{tmp_path}/bin")
     assert {(r["src"], r["dst"], r["sim"], r["pos"]) for r in back.collect()} == {(A, C, 0.75, 0), (A, B, 0.5, 1), (B, A, 1.0, 0)}
     raw = packed.encode_record(A, [(B, 0.5)])
     assert packed.connections_at(raw, 0, A) == [(B, 0.5)]
