@@ -6,6 +6,7 @@ metadata cache. Cut views are built once for each (direction, min_similarity, ma
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -62,12 +63,26 @@ def search(lib: Library, q: str, limit: int = 10) -> DataFrame:
     return names.search(lib.index(), q, limit)
 
 
-def find_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80) -> DataFrame:
-    """(step, id, name, url, similarity); no rows if there is no path. A node without an entity keeps its row."""
+def _stats(lib: Library, seen: DataFrame, began: float) -> DataFrame:
+    """artists_visited and duration_ms of a search that is over."""
+    n = seen.count()
+    return lib.edges.sparkSession.createDataFrame([(n, int((time.perf_counter() - began) * 1000))], "artists_visited long, duration_ms long")
+
+
+def path_with_stats(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, local: bool = False) -> dict[str, DataFrame]:
+    """path (step, id, name, url, similarity), without rows if there is none, and search_stats. A node without an entity keeps its row."""
     _given(from_id=from_id, to_id=to_id)
     cfg = _config(algorithm, min_similarity, max_relations)
-    found = (paths.weighted_path if cfg.weighted else paths.hop_path)(lib.graph(cfg), from_id, to_id)
-    return found.join(lib.entities.select("id", "name", "url"), "id", "left").select("step", "id", "name", "url", "similarity").orderBy("step")
+    graph, began = lib.graph(cfg), time.perf_counter()
+    found = paths.search(graph, from_id, to_id, cfg.weighted, local)
+    stats = _stats(lib, found.seen, began)
+    named = found.path.join(lib.entities.select("id", "name", "url"), "id", "left")
+    return {"path": named.select("step", "id", "name", "url", "similarity").orderBy("step"), "search_stats": stats}
+
+
+def find_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, local: bool = False) -> DataFrame:
+    """The path of path_with_stats."""
+    return path_with_stats(lib, from_id, to_id, algorithm, min_similarity, max_relations, local)["path"]
 
 
 def find_path_by_name(lib: Library, a: str, b: str, **options) -> DataFrame:
@@ -79,30 +94,34 @@ def find_path_by_name(lib: Library, a: str, b: str, **options) -> DataFrame:
     return find_path(lib, best[a], best[b], **options)
 
 
-def enhanced_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, budget: int = 100) -> dict[str, DataFrame]:
-    """status, path, nodes and edges; nodes and edges are those of the path and its neighbourhood if status is success."""
+def enhanced_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, budget: int = 100, local: bool = False) -> dict[str, DataFrame]:
+    """status, path, nodes, edges and search_stats; nodes and edges are those of the path and its neighbourhood if status is success."""
     _given(from_id=from_id, to_id=to_id)
     cfg = _config(algorithm, min_similarity, max_relations)
-    graph = lib.graph(cfg)
-    path = table((paths.weighted_path if cfg.weighted else paths.hop_path)(graph, from_id, to_id), "path")
+    graph, began = lib.graph(cfg), time.perf_counter()
+    found = paths.search(graph, from_id, to_id, cfg.weighted, local)
+    path = table(found.path, "path")
+    searched = _stats(lib, found.seen, began)
     status = neighborhood.path_status(path, budget)
     ok = status.first()["status"] == "success"
     shown = path if ok else path.limit(0)
     nodes = neighborhood.path_neighborhood(graph, shown, budget if ok else 0)
-    return {"status": status, "path": path, "nodes": around.with_names(nodes, lib.entities), "edges": neighborhood.neighborhood_edges(graph, shown, nodes, directed=True)}
+    return {"status": status, "path": path, "nodes": around.with_names(nodes, lib.entities), "edges": neighborhood.neighborhood_edges(graph, shown, nodes, directed=True), "search_stats": searched}
 
 
-def explore(lib: Library, artist_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, budget: int = 100, reverse: bool = False) -> dict[str, DataFrame]:
-    """center, nodes and edges around an entity; an unknown one gives "Unknown Artist" and no rows."""
+def explore(lib: Library, artist_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, budget: int = 100, reverse: bool = False, local: bool = False) -> dict[str, DataFrame]:
+    """center, nodes, edges and search_stats around an entity; an unknown one gives "Unknown Artist" and no rows."""
     _given(artist_id=artist_id)
     cfg = _config(algorithm, min_similarity, max_relations)
-    spark, view = lib.edges.sparkSession, lib.view(cfg, reverse)
+    spark, view, began = lib.edges.sparkSession, lib.view(cfg, reverse), time.perf_counter()
     known = lib.entities.where(F.col("id") == F.lit(artist_id)).select("id", "name", "url")
     center = paths._ids(spark, view, artist_id).join(known, "id", "left").withColumn("name", F.coalesce("name", F.lit("Unknown Artist")))
-    nodes = around.explore_weighted(view, artist_id, budget) if cfg.weighted else around.explore_hops(view, metrics.owners(view), artist_id, budget)
-    nodes = nodes if not known.isEmpty() else nodes.limit(0)
+    nodes = around.explore_weighted(view, artist_id, budget, local) if cfg.weighted else around.explore_hops(view, metrics.owners(view), artist_id, budget, local)
+    nodes = table(nodes if not known.isEmpty() else nodes.limit(0), "explored")
+    shown = around.with_names(nodes, lib.entities)
+    searched = _stats(lib, shown, began)
     inner = around.induced_view(view, nodes)
-    return {"center": center, "nodes": around.with_names(nodes, lib.entities), "edges": around.flip(inner) if reverse else inner}
+    return {"center": center, "nodes": shown, "edges": around.flip(inner) if reverse else inner, "search_stats": searched}
 
 
 def explore_reverse(lib: Library, artist_id, **options) -> dict[str, DataFrame]:
