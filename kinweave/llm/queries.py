@@ -68,8 +68,23 @@ def op10_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(_documents(spark, sf_dir))
 
 
+def base_of_op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that do not come from its model."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+def base_of_op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of op9, and the verdict where a rule gives it."""
+    return op9_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def base_of_op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that come from exact counts."""
+    return op10_bloom_lm(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
+    own = {k: v for k, v in globals().items() if k.startswith(("op", "base_of_op")) and callable(v)}
     import corpus_pipeline
 
     return own | {"pipeline": corpus_pipeline.run}
@@ -91,8 +106,54 @@ FROM keyed k LEFT JOIN frequent f ON k.key = f.key GROUP BY k.r, k.doc_id
 """
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+BASE6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM words),
+tri AS (SELECT r, pos, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c FROM w WINDOW o AS (PARTITION BY r ORDER BY pos)),
+twice AS (SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT pos + k) AS n FROM twice, range(3) t(k) GROUP BY r),
+lines AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line),
+dup AS (SELECT r, sum(n - 1) AS n FROM lines GROUP BY r),
+out AS (SELECT d.doc_id, len(ws) AS n_words, CAST(coalesce(list_sum([length(x) for x in ws]), 0) AS BIGINT) AS word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) AS n_symbols,
+  CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words FROM d JOIN words USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM out
+"""
+
+BASE9_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(verdict, h, p) AS (VALUES {", ".join(map(repr, URL_RULES))}),
+fit AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS by_rule FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id)
+SELECT s.page_id, host, path, rule, by_rule FROM s LEFT JOIN fit USING (page_id)
+"""
+
+
+def _crc_table() -> list[int]:
+    out = []
+    for n in range(256):
+        for _ in range(8):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+BASE10_SQL = f"""
+WITH t AS (SELECT {_crc_table()} AS crc),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+  xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) for x in string_split(CAST(coalesce(CAST(doc_id AS VARCHAR), '') AS VARCHAR), '')]), lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8)), 4294967295) % 7 = 2 AS held_out FROM documents, t),
+tokens AS (SELECT r, held_out, unnest(list_append(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+'), ' ')) AS token FROM d),
+counts AS (SELECT token, count(*) AS c FROM tokens WHERE NOT held_out GROUP BY token),
+total AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM counts),
+scored AS (SELECT r, count(*) AS n_tokens, count(c) AS n_known, sum(log10((coalesce(c, 0) + 1) / (n + v + 1))) AS base_score FROM tokens LEFT JOIN counts USING (token), total GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, (SELECT n FROM total) AS train_tokens, round(base_score, 4) AS base_score FROM d JOIN scored USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    found = {"op2_line_dedup": OP2_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    found = {"op2_line_dedup": OP2_SQL, "base_of_op6": BASE6_SQL, "base_of_op9": BASE9_SQL, "base_of_op10": BASE10_SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in found.items() if v}

@@ -47,6 +47,20 @@ def labelled_urls() -> list[tuple[str, int]]:
     return out
 
 
+def read_labels(labels: DataFrame, url_col: str = "url", label_col: str = "label", most: int = 100_000) -> list[tuple[str, int]]:
+    """A labelled table for `judge`: (url, 1 for block and 0 for allow), at most `most` rows, which hashes of the URLs pick."""
+    rows = labels.where(F.col(f"`{label_col}`").isNotNull()).select(F.col(f"`{url_col}`").cast("string").alias("u"), F.col(f"`{label_col}`").cast("int").alias("y"))
+    return [(r["u"], r["y"]) for r in rows.orderBy(F.xxhash64("u"), "u", "y").limit(most).collect()]
+
+
+def probability(url: str | None, weights: np.ndarray) -> float:
+    """What the model says of one URL."""
+    host, path = _split(url)
+    row, bucket = _features([host], [path])
+    score = weights[bucket].sum() / np.sqrt(max(1, len(row))) + weights[-1]
+    return float(1 / (1 + np.exp(-np.clip(score, -500, 500))))
+
+
 def split_url(url: Column) -> tuple[Column, Column]:
     """(host, path): see the contract in the module's text."""
     at = F.instr(url, "://")

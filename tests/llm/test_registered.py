@@ -21,9 +21,13 @@ def test_columns_and_rows(spark, n):
     assert out.count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()
 
 
-def test_lines_against_sql(spark):
+@pytest.mark.parametrize("name", ["op2_line_dedup", "base_of_op6", "base_of_op9", "base_of_op10"])
+def test_against_sql(spark, name):
     c = duckdb.connect()
-    c.sql(f"CREATE VIEW documents AS FROM '{SMALL}/documents.parquet'")
-    want = sorted(c.sql(queries.oracle_sql()["op2_line_dedup"]).fetchall())
-    got = sorted(tuple(r) for r in queries.op2_line_dedup(spark, SMALL).select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect())
-    assert got == want
+    for t in ("documents", "pages"):
+        c.sql(f"CREATE VIEW {t} AS FROM '{SMALL}/{t}.parquet'")
+    want = c.sql(queries.oracle_sql()[name])
+    got = queries.queries()[name](spark, SMALL)
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda x: sorted(tuple(map(str, r)) for r in x)
+    assert rows(got.select(*want.columns).collect()) == rows(want.fetchall())
