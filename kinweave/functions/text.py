@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -37,17 +38,54 @@ def _tables() -> tuple[dict[str, str], dict[str, str]]:
 _ONE, _MANY = _tables()
 
 
+#: Letters of scripts without case whose usual ASCII spelling is not that of the transliterators below.
+_HEBREW = dict(zip("אבגדהוזחטיךכלםמןנסעףפץצקרשת", " b g d h v z kh t y k k l m m n n s ` p p ts ts q r sh t".split(" ")))
+_ARABIC = dict(zip("ءآأؤإئابةتثجحخدذرزسشصضطظعغـفقكلمنهوىي", "|a|'|w'||y'||b|@|t|th|j|h|kh|d|dh|r|z|s|sh|s|d|t|z|`|g||f|q|k|l|m|n|h|w|~|y".split("|")))
+_KANA = {"じ": "zi", "ふ": "hu", "ぢ": "di", "づ": "du", "ジ": "zi", "フ": "hu", "ヂ": "di", "ヅ": "du", "ー": "-"}
+_FIRST, _LAST = 0x250, 0xFAFF
+#: Separates the entries of the table; no text holds it.
+_SEP = "\uffff"
+
+
+@lru_cache(maxsize=1)
+def _wide() -> str:
+    """ASCII spelling of every letter from _FIRST to _LAST, one after the other; a letter without one stands for itself.
+
+    They come from the transliterators of ICU, which Spark's collations bring along, once for each driver; every letter by
+    itself, and ideographs followed by a space, as they are words of their own.
+    """
+    jvm = SparkSession.active()._jvm
+    spell = jvm.com.ibm.icu.text.Transliterator.getInstance("Any-Latin; NFD; [:Nonspacing Mark:] Remove; NFC; Latin-ASCII")
+    codes = [c for c in range(_FIRST, _LAST + 1) if not 0xD800 <= c < 0xE000]
+    known = [c for c in codes if unicodedata.category(chr(c))[0] in "LNM"]
+    found = dict(zip(known, spell.transliterate("\n".join(map(chr, known))).split("\n")))
+    own = {ord(c): r for table in (_HEBREW, _ARABIC, _KANA) for c, r in table.items()}
+    out = []
+    for c in range(_FIRST, _LAST + 1):
+        r = own[c] if c in own else found.get(c, chr(c) if not 0xD800 <= c < 0xE000 else "")
+        if r != chr(c):
+            r = "".join(x for x in r if x.isascii() and x != "~")
+        ideograph = 0x3400 <= c <= 0x9FFF or 0xF900 <= c
+        out.append(f"{r} " if ideograph and r and r != chr(c) else r)
+    return _SEP.join(out)
+
+
 def translit(x: Column) -> Column:
-    """ASCII spelling of Latin, Greek and Cyrillic letters; other scripts stay as they are.
+    """ASCII spelling of letters of all scripts; what has none (emoji) stays as it is.
 
-    ASCII text skips the tables, the rest stays within generated code too.
+    ASCII text skips the tables. Latin, Greek and Cyrillic are spelt by replacements, other scripts letter by letter from a table that
+    is looked up by code point; all of it within the JVM.
     """
     drop = "".join(c for c, r in _MANY.items() if not r)
     out = F.translate(x, "".join(_ONE) + drop, "".join(_ONE.values()))
     for c, r in _MANY.items():
         if r:
             out = F.replace(out, F.lit(c), F.lit(r))
-    return F.when(x.rlike("^[\\x00-\\x7F]*$"), x).otherwise(out)
+    ascii_only = "^[\\x00-\\x7F]*$"
+    table = F.split(F.lit(_wide()), _SEP, -1)
+    letters = F.regexp_extract_all(out, F.lit("(?s)(.)"), F.lit(1))
+    wide = F.array_join(F.transform(letters, lambda c: F.coalesce(F.get(table, F.ascii(c) - _FIRST), c)), "")
+    return F.when(x.rlike(ascii_only), x).when(out.rlike(ascii_only), out).otherwise(wide)
 
 
 def clean_name(x: Column) -> Column:

@@ -278,6 +278,18 @@ def preview_and_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), values.has_preview(tracks).alias("has_preview"), values.first_image(images).alias("image"))
 
 
+_SPELT = [
+    ("AC/DC", "ac/dc"), ("  Björk \t Guðmundsdóttir ", "bjork gudmundsdottir"), ("LØLØ", "lolo"), ("Кино", "kino"), ("Βαγγέλης", "baggeles"), ("北京 Band", "bei jing band"), ("한국", "hangug"),
+    ("おんがく", "ongaku"), ("カタカナ", "katakana"), ("שלום", "shlvm"), ("العربية", "l`rby@"), ("Мумий Тролль", "mumii troll'"), ("☆ star", "☆ star"), ("", ""), ("🎸x", "🎸x"),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b.replace(chr(39), chr(39) * 2)}')" for a, b in _SPELT) + ") t(name, clean)")
+def clean_names_of_all_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(a,) for a, _ in _SPELT], "name string")
+    return names.select("name", text.clean_name(F.col("name")).alias("clean"))
+
+
 @query("SELECT * FROM (VALUES ('bfs', 'BFS'), ('Dijkstra', 'DIJKSTRA'), (' DIJKSTRA ', 'DIJKSTRA'), ('simple', 'BFS'), ('', 'BFS')) t(name, algorithm)")
 def algorithm_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = ["bfs", "Dijkstra", " DIJKSTRA ", "simple", ""]
