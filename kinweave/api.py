@@ -85,13 +85,18 @@ def find_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similari
     return path_with_stats(lib, from_id, to_id, algorithm, min_similarity, max_relations, local)["path"]
 
 
-def find_path_by_name(lib: Library, a: str, b: str, **options) -> DataFrame:
+def resolve(lib: Library, *given: str) -> list:
+    """The id of the best match of each name."""
     spark = lib.edges.sparkSession
-    best = {r["query"]: r["id"] for r in names.by_name(lib.index(), spark.createDataFrame([(a,), (b,)], "query string")).collect()}
-    for x in (a, b):
+    best = {r["query"]: r["id"] for r in names.by_name(lib.index(), spark.createDataFrame([(x,) for x in dict.fromkeys(given)], "query string")).collect()}
+    for x in given:
         if x not in best:
             raise LookupError(f"'{x}' not found")
-    return find_path(lib, best[a], best[b], **options)
+    return [best[x] for x in given]
+
+
+def find_path_by_name(lib: Library, a: str, b: str, **options) -> DataFrame:
+    return find_path(lib, *resolve(lib, a, b), **options)
 
 
 def enhanced_path(lib: Library, from_id, to_id, algorithm: str = "bfs", min_similarity: float = 0.0, max_relations: int = 80, budget: int = 100, local: bool = False) -> dict[str, DataFrame]:
@@ -119,7 +124,7 @@ def explore(lib: Library, artist_id, algorithm: str = "bfs", min_similarity: flo
     nodes = around.explore_weighted(view, artist_id, budget, local) if cfg.weighted else around.explore_hops(view, metrics.owners(view), artist_id, budget, local)
     nodes = table(nodes if not known.isEmpty() else nodes.limit(0), "explored")
     shown = around.with_names(nodes, lib.entities)
-    searched = _stats(lib, shown, began)
+    searched = _stats(lib, nodes, began)
     inner = around.induced_view(view, nodes)
     return {"center": center, "nodes": shown, "edges": around.flip(inner) if reverse else inner, "search_stats": searched}
 

@@ -1,7 +1,7 @@
 """Is a subgraph like the whole? Two-sample statistics over complete distributions.
 
 Samples come as one table (side 'a' or 'b', x double). Every statistic works on the histogram of
-distinct values, summed up range by range, so no task sees all of them. P-values are two-sided and asymptotic: Kolmogorov's distribution,
+distinct values, summed up range by range, so no task sees all of them; of an empty sample they are null. P-values are two-sided and asymptotic: Kolmogorov's distribution,
 the normal with correction for continuity and ties, and Fisher's F; they are worked out on the one row of the result.
 """
 
@@ -91,8 +91,8 @@ def ks_statistic(both: DataFrame) -> DataFrame:
     """Kolmogorov-Smirnov: ks, p_value, significant, interpretation."""
     t = _table(both)
     n = both.agg(F.sum((F.col("side") == "a").cast("long")).alias("ta"), F.sum((F.col("side") == "b").cast("long")).alias("tb"))
-    row = with_row(t, n).agg(F.max(F.abs(F.col("ca") / F.col("ta") - F.col("cb") / F.col("tb"))).alias("ks"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
-    size = F.sqrt(F.col("ta") * F.col("tb") / (F.col("ta") + F.col("tb")))
+    row = with_row(t, n).agg(F.max(F.abs(F.try_divide("ca", "ta") - F.try_divide("cb", "tb"))).alias("ks"), F.first("ta").alias("ta"), F.first("tb").alias("tb"))
+    size = F.sqrt(F.try_divide(F.col("ta") * F.col("tb"), F.col("ta") + F.col("tb")))
     return _judged(row, _of_row(both.sparkSession, kolmogorov_sf)(size * F.col("ks")), "Distributions differ", "Distributions similar").drop("ta", "tb")
 
 
@@ -104,7 +104,7 @@ def mann_whitney(both: DataFrame) -> DataFrame:
     row = t.agg(F.sum(F.col("na") * (before + (n + 1) / 2)).alias("r"), F.sum("na").cast("double").alias("a"), F.sum("nb").cast("double").alias("b"), F.sum(F.pow(n.cast("double"), F.lit(3.0)) - n).alias("ties"))
     u = F.col("r") - F.col("a") * (F.col("a") + 1) / 2
     total = F.col("a") + F.col("b")
-    var = F.col("a") * F.col("b") / 12 * (total + 1 - F.col("ties") / (total * (total - 1)))
+    var = F.col("a") * F.col("b") / 12 * (total + 1 - F.try_divide("ties", total * (total - 1)))
     off = u - F.col("a") * F.col("b") / 2
     row = row.select(u.alias("u"), F.when(var > 0, off / F.sqrt(var)).otherwise(0.0).alias("z"), F.when(var > 0, F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(0.0).alias("zc"))
     return _judged(row, _of_row(both.sparkSession, normal_two_sided)("zc"), "Central tendencies differ", "Central tendencies similar").drop("zc")
@@ -118,7 +118,7 @@ def levene(both: DataFrame) -> DataFrame:
     g = z.groupBy("side").agg(F.sum("n").cast("double").alias("n"), (F.sum(F.col("n") * F.col("z")) / F.sum("n")).alias("mean"), (F.sum(F.col("n") * F.col("z") * F.col("z")) / F.sum("n")).alias("square"))
     row = g.agg(F.sum("n").alias("total"), F.count("*").alias("k"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"), F.sum(F.col("n") * (F.col("square") - F.col("mean") * F.col("mean"))).alias("within"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("sq"))
     between = F.col("sq") - F.col("total") * F.col("grand") * F.col("grand")
-    row = row.select(F.when(F.col("within") > 0, (F.col("total") - F.col("k")) / (F.col("k") - 1) * between / F.col("within")).alias("w"), (F.col("k") - 1.0).alias("a"), (F.col("total") - F.col("k")).cast("double").alias("b"))
+    row = row.select(F.when(F.col("within") > 0, F.try_divide((F.col("total") - F.col("k")) * between, (F.col("k") - 1) * F.col("within"))).alias("w"), (F.col("k") - 1.0).alias("a"), (F.col("total") - F.col("k")).cast("double").alias("b"))
     return _judged(row, _of_row(both.sparkSession, f_sf)("w", "a", "b"), "Variances differ", "Variances similar").drop("a", "b")
 
 
@@ -143,7 +143,7 @@ def representativeness(differences: DataFrame) -> DataFrame:
 def size_ratios(full: DataFrame, sub: DataFrame) -> DataFrame:
     """Nodes and edges of the part over those of the whole; both are one-row graph_counts."""
     f, s = full.select(F.col("nodes").alias("fn"), F.col("edges").alias("fe")), sub.select(F.col("nodes").alias("sn"), F.col("edges").alias("se"))
-    return with_row(f, s).select((F.col("sn") / F.col("fn")).alias("node_ratio"), (F.col("se") / F.col("fe")).alias("edge_ratio"))
+    return with_row(f, s).select(F.try_divide("sn", "fn").alias("node_ratio"), F.try_divide("se", "fe").alias("edge_ratio"))
 
 
 def benchmark_rollup(runs: DataFrame) -> DataFrame:

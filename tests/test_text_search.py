@@ -107,3 +107,16 @@ def test_drawing(spark):
     e = spark.createDataFrame([("a", "b", 0.5), ("a", "x", 0.5)], "from string, to string, similarity double")
     assert render.without_dangling(nodes, e).count() == 1
     assert render.drawable(nodes, e) and not render.drawable(nodes, e, 1) and render.drawable(nodes, e, 1, force=True)
+
+
+def test_empty_samples(spark):
+    for rows in ([("a", 1.0), ("a", 2.0)], []):
+        both = spark.createDataFrame(rows, "side string, x double")
+        assert compare.ks_statistic(both).first()["ks"] is None and compare.levene(both).first()["p_value"] is None
+        compare.mann_whitney(both).collect(), compare.cohens_d(both).collect()
+
+
+def test_p_values():
+    assert abs(compare.normal_two_sided(1.959963985) - 0.05) < 1e-9
+    assert abs(compare.kolmogorov_sf(1.3580986) - 0.05) < 1e-6 and compare.kolmogorov_sf(0.0) == 1.0
+    assert abs(compare.f_sf(4.0, 1, 10) - 0.0733880) < 1e-6 and abs(compare.f_sf(1.0, 5, 5) - 0.5) < 1e-12 and compare.f_sf(1e9, 1, 100) < 1e-12
