@@ -68,14 +68,20 @@ def table(df: DataFrame, name: str) -> DataFrame:
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables of `table` that nothing reads any more, and let Spark see that the shuffle files of queries that are over can go."""
     for t in tables:
-        path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        drop_table(t)
     gc.collect()
     for _ in range(2):  # the first lets go of what Python held, the second of the shuffles
         spark._jvm.System.gc()
         time.sleep(0.1)
 
 
+def drop_table(t: DataFrame) -> None:
+    """Delete a table of `table` that nothing reads any more."""
+    spark = t.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(t.kept_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def numbered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """df with a number of its own for each row (place), in the order of ids (null first).
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import schema_of, ship, table
+from .common import drop_table, schema_of, ship, table
 
 
 def fingerprint_of(text: str | None, width: int = 2, seed: int = 42) -> int:
@@ -148,7 +148,7 @@ def _search(fp: np.ndarray, n: np.ndarray, home: np.ndarray, part: int, layout:
 
     forest: list[tuple[int, int]] = []
     f, homes = fp[order], int(home.sum())
-    step = max(1, (1 << 20) // max(1, len(f)))
+    step = max(1, (1 << 18) // max(1, len(f)))
     for a in range(0, homes, step):
         b = min(a + step, homes)
         x = f[a:b, None] ^ f[None, a:]
@@ -214,8 +214,11 @@ def links(distinct: DataFrame, radius: int = 6, parts: int | None = None, leaf:
     return met.where("near > 0").groupBy(F.col("u").alias("fp")).agg(F.sum("near").alias("near")), met.where("near = 0").select("u", "v")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of (u, v) long edges: root is the smallest node reachable."""
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+    """(node, root) for every node of (u, v) long edges: root is the smallest node reachable.
+
+    A round shortens paths by half or better, so even a chain of 2**60 nodes takes some hundred rounds; if `most_rounds` do not do, that is an error, not a result.
+    """
     e = table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct(), "components")
     last = None
     for _ in range(most_rounds):
@@ -225,11 +228,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # every row has u > v now: small star hangs a node's neighbours and the node itself on their minimum
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        e = table(small, "components")
+        before, e = e, table(small, "components")
+        drop_table(before)
         state = e.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == last or not state["n"]:
             break
         last = state
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     roots = e.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("node"), "root").union(roots.select(F.col("root").alias("node"), "root").distinct())
 

@@ -430,6 +430,13 @@ def test_chain_component(spark):
     assert simhash.components(e.limit(0)).count() == 0
 
 
+def test_components_are_complete_or_an_error(spark):
+    edges = spark.range(2000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert {r["root"] for r in simhash.components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        simhash.components(edges, most_rounds=2)
+
+
 # --- mixing
 
 
