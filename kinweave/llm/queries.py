@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from . import bloom_lm, html_crf, line_dedup, mixing, quality_rules, scaled_sketch, simhash, suffix_dedup, unigram_pieces, url_filter
 
 
+#: A public SentencePiece model, where this machine has it.
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -48,7 +52,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_unigram_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unigram_pieces.encode(_documents(spark, sf_dir))
+    return unigram_pieces.encode(_documents(spark, sf_dir), MODEL)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

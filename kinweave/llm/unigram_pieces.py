@@ -4,8 +4,8 @@ Pieces come from a public SentencePiece model file (its path is a parameter). Th
 merge ranks, so the log score of the piece of rank r is log(1 / ((r + 1) * H)), Zipf's law over the
 ranks; a file with real log probabilities can be used as it is (`zipf=False`).
 
-No piece has a space after another character, so the best segmentation falls apart at every space
-after a word and at every newline (which no piece holds). Distinct chunks are encoded once for each
+If no piece has a space after another character and none a newline beside one, the best segmentation falls apart at every space
+after a word and at every newline; otherwise a text is one chunk. Distinct chunks are encoded once for each
 task, all of them in lockstep: trie walks from every position at once, then dynamic programming
 by position with one vector operation for each. A chunk of any length is handled, never cut.
 
@@ -31,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import schema_of, ship
 
 MARKER = "▁"
-DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _CHUNK = re.compile(rb" *[^ \n]+| +|\n")
+#: What a piece must not hold if texts are to be cut into chunks.
+_ACROSS = re.compile(rb"[^ ] |\n.|.\n", re.S)
 
 
 class DoubleArray:
@@ -117,6 +118,13 @@ class Pieces:
         self.lengths = np.array([len(t) for t in self.text], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.lengths)])
         self.flat = np.frombuffer(b"".join(self.text), np.uint8)
+        self.falls_apart = not any(_ACROSS.search(t) for t in plain)
+
+    def chunks(self, text: str | None) -> list[bytes]:
+        if not text:
+            return []
+        raw = b" " + text.encode("utf-8", "surrogatepass")
+        return _CHUNK.findall(raw) if self.falls_apart else [raw]
 
     def encode_chunks(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the tokens of each chunk, one chunk after the other."""
@@ -207,7 +215,7 @@ class Encoder:
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.known) > self.most or self.held > self.most_bytes:
             self._clear()
-        found = [_CHUNK.findall(b" " + t.encode("utf-8", "surrogatepass")) if t else [] for t in texts]
+        found = [self.pieces.chunks(t) for t in texts]
         known, fresh = self.known, []
         count = len(known)
         at = []
@@ -235,7 +243,7 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def load(model: str = DEFAULT_MODEL, zipf: bool = True) -> Pieces:
+def load(model: str, zipf: bool = True) -> Pieces:
     """Pieces of a SentencePiece model file with byte fallback."""
     import sentencepiece
 
@@ -254,7 +262,7 @@ def load(model: str = DEFAULT_MODEL, zipf: bool = True) -> Pieces:
     return Pieces(pieces, scores, byte_ids, special)
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = DEFAULT_MODEL, zipf: bool = True) -> DataFrame:
+def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", zipf: bool = True) -> DataFrame:
     """(id, n_tokens, n_byte_tokens, token_ids, exact): exact says whether decoding the tokens returns the text."""
     spark = df.sparkSession
     ship(spark)
@@ -280,7 +288,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, ids_col: str = "token_ids", model: str = DEFAULT_MODEL) -> DataFrame:
+def decode(df: DataFrame, model: str, ids_col: str = "token_ids") -> DataFrame:
     """df with a column `decoded` that holds the text of its tokens."""
     spark = df.sparkSession
     ship(spark)
@@ -290,7 +298,9 @@ def decode(df: DataFrame, ids_col: str = "token_ids", model: str = DEFAULT_MODEL
     def back(col):
         import pandas as pd
 
-        pieces = sent.value
-        return pd.Series([pieces.decode([] if x is None else list(x)) for x in col], dtype="object")
+        rows = [np.zeros(0, np.int64) if x is None else np.asarray(x, np.int64) for x in col]
+        ids = np.concatenate([np.zeros(0, np.int64), *rows])
+        made = sent.value.decode_batch(ids, np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int64))
+        return pd.Series([x.decode("utf-8", "replace") for x in made], dtype="object")
 
     return df.withColumn("decoded", back(F.col(f"`{ids_col}`").cast("array<int>")))

@@ -532,7 +532,7 @@ def test_mixture(messy, empty, blocks):
 
 @pytest.fixture(scope="module")
 def pieces():
-    return unigram_pieces.load()
+    return unigram_pieces.load(queries.MODEL)
 
 
 def best_score(pieces, text):
@@ -572,7 +572,7 @@ def test_pieces_against_the_library(spark, pieces):
     from sentencepiece import sentencepiece_model_pb2 as pb
 
     m = pb.ModelProto()
-    with open(unigram_pieces.DEFAULT_MODEL, "rb") as f:
+    with open(queries.MODEL, "rb") as f:
         m.ParseFromString(f.read())
     m.trainer_spec.model_type = 1
     for i, x in enumerate(m.pieces):
@@ -583,6 +583,19 @@ def test_pieces_against_the_library(spark, pieces):
     assert all(abs(sum(pieces.scores[i] for i in sp.encode(t)) - sum(pieces.scores[i] for i in pieces.encode(t))) < 0.05 for t in texts if t.isascii() and "\n" not in t)
 
 
+def test_pieces_across_words():
+    """A model whose pieces hold spaces after words and newlines: texts are not cut, the best segmentation is found."""
+    names = ["<unk>", *(f"<0x{b:02X}>" for b in range(256)), "a", "b", "▁", "a▁b", "b▁", "a\nb", "\n", "ab"]
+    scores = [0.0] * 257 + [-3.0, -3.0, -3.0, -2.0, -1.0, -1.5, -4.0, -5.0]
+    p = unigram_pieces.Pieces(names, scores, list(range(1, 257)), {0})
+    assert not p.falls_apart and unigram_pieces.load(queries.MODEL).falls_apart
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice("ab \n") for _ in range(rng.randint(1, 12)))
+        ids = p.encode(text)
+        assert p.decode(ids) == text and abs(sum(scores[i] if i > 256 else p.unknown for i in ids) - best_score(p, text)) < 1e-9
+
+
 def test_double_array():
     rng = random.Random(1)
     keys = {bytes(rng.choice(b"abc\xff\x00") for _ in range(rng.randint(1, 6))): k for k in range(400)}
@@ -594,14 +607,14 @@ def test_double_array():
 
 
 def test_encode_rows(messy, empty, pieces):
-    out = unigram_pieces.encode(messy).collect()
+    out = unigram_pieces.encode(messy, queries.MODEL).collect()
     t = texts_of(messy)
     assert all(r["exact"] for r in out) and {r["doc_id"] for r in out} == set(t)
     for r in out:
         assert r["n_tokens"] == len(r["token_ids"]) and pieces.decode(r["token_ids"]) == (t[r["doc_id"]] or "")
-    again = unigram_pieces.decode(unigram_pieces.encode(messy.where("length(text) < 500"))).collect()
+    again = unigram_pieces.decode(unigram_pieces.encode(messy.where("length(text) < 500"), queries.MODEL), queries.MODEL).collect()
     assert all(r["decoded"] == (t[r["doc_id"]] or "") for r in again)
-    assert unigram_pieces.encode(empty).count() == 0
+    assert unigram_pieces.encode(empty, queries.MODEL).count() == 0
 
 
 def test_encoder_forgets(pieces):
@@ -710,7 +723,7 @@ def test_pipeline(spark):
     want = Counter({r["doc_id"]: r["__copies"] for r in mixed.collect() if r["__copies"]})
     out = cp.run(spark, SMALL).collect()
     assert Counter(r["doc_id"] for r in out) == want
-    p = unigram_pieces.load()
+    p = unigram_pieces.load(queries.MODEL)
     assert all(p.decode(r["token_ids"]) == one[r["doc_id"]] for r in out)
 
 
