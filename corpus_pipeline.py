@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from kinweave.llm import line_dedup, mixing, quality_rules, simhash, unigram_pieces
 from kinweave.llm.common import table
+from kinweave.llm.queries import MODEL
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -45,7 +46,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return unigram_pieces.encode(docs)
+    return unigram_pieces.encode(docs, MODEL)
 
 
 STAGES = [("quality rules", quality), ("line dedup", lines), ("simhash near-dedup", near_copies), ("source mixing", mixture), ("sentencepiece tokens", tokens)]
