@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.values import cost
-from ..store import Growing, counted
+from ..store import Growing, observed
 from .small import LOCAL_EDGES, UNIT, frame, small
 
 
@@ -113,22 +113,27 @@ def distances(view: DataFrame, start: DataFrame, bound: int | None = None, neare
         rows = list(held.costs([r["id"] for r in start.select("id").collect()], _steps(hops)).items())
         return frame(view.sparkSession, rows, ["id", "c"], [held.kind, pa.int64()])
     edges = view.where("src != dst").select("src", "dst", (step_cost(F.col("sim")) if hops else F.greatest(cost(F.col("sim")), F.lit(0))).alias("w"))
-    state, open_ = counted(start.select("id", F.lit(0).cast("long").alias("c"), F.lit(True).alias("fresh")).distinct(), "distances")
+    aims = F.lit(False) if stop_at is None else F.col("id") == F.lit(stop_at)
+
+    def kept(rows: DataFrame) -> tuple[DataFrame, int, int | None]:
+        """The distances so far, how many fell, and that of the aim."""
+        out, seen = observed(rows, "distances", open=F.count_if(F.col("fresh")), at=F.min(F.when(aims, F.col("c"))))
+        return out, seen["open"], seen["at"]
+
+    state, open_, at = kept(start.select("id", F.lit(0).cast("long").alias("c"), F.lit(True).alias("fresh")).distinct())
     while open_:
-        frontier = state.where("fresh")
-        limit = bound
+        frontier, limit = state.where("fresh"), bound
         if nearest is not None:
             tail = state.orderBy("c").limit(nearest).agg(F.count("*").alias("n"), F.max("c").alias("c")).first()
             limit = tail["c"] if tail["n"] >= nearest else limit
-        if stop_at is not None:
-            at = state.where(F.col("id") == F.lit(stop_at)).agg(F.min("c")).first()[0]
-            limit = at if at is not None and (limit is None or at < limit) else limit
+        if at is not None and (limit is None or at < limit):
+            limit = at
         if limit is not None:
             frontier = frontier.where(F.col("c") <= limit)
         reached = edges.join(frontier.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("c") + F.col("w")).alias("new"))
         joined = state.select("id", "c").join(reached, "id", "full_outer")
         better = F.col("new").isNotNull() & (F.col("c").isNull() | (F.col("new") < F.col("c")))
-        state, open_ = counted(joined.select("id", F.when(better, F.col("new")).otherwise(F.col("c")).alias("c"), better.alias("fresh")), "distances", F.col("fresh"))
+        state, open_, at = kept(joined.select("id", F.when(better, F.col("new")).otherwise(F.col("c")).alias("c"), better.alias("fresh")))
     return state.select("id", "c")
 
 

@@ -53,12 +53,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def observed(df: DataFrame, name: str, **what: Column) -> tuple[DataFrame, dict]:
+    """A table and aggregates over it, worked out by the job that writes it."""
+    seen = Observation()
+    out = table(df.observe(seen, *(c.alias(k) for k, c in what.items())), name)
+    return out, seen.get
+
+
 def counted(df: DataFrame, name: str, what: Column | None = None) -> tuple[DataFrame, int]:
     """A table and how many of its rows there are (for which `what` holds), counted by the job that writes it."""
-    seen = Observation()
-    n = F.count(F.lit(1)) if what is None else F.count_if(what)
-    out = table(df.observe(seen, n.alias("n")), name)
-    return out, int(seen.get["n"])
+    out, seen = observed(df, name, n=F.count(F.lit(1)) if what is None else F.count_if(what))
+    return out, int(seen["n"])
 
 
 class Growing:
