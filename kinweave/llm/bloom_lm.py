@@ -50,6 +50,8 @@ PROBES = 5
 BITS_PER_ITEM = 8
 #: Tokens of the training texts for each group of the filter: bounds what the task of a group holds.
 GROUP_TOKENS = 1 << 21
+#: Items whose bits are looked up together.
+PROBE_ITEMS = 1 << 17
 #: Bytes of text of a run of documents that asks the groups together.
 RUN_BYTES = 4 << 20
 #: Bytes of a text above which its tokens are hashed in several runs.
@@ -170,17 +172,22 @@ class Filter:
         return _probe(self.data, item, self.starts[g := group_of(item, self.groups)], self.sizes[g])
 
 
-def _probe(data: np.ndarray, item: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(item), np.int64)
-    open_, at = np.arange(len(item)), 1
-    while len(open_) and at < len(MIDDLE):
-        alive = np.ones(len(open_), bool)
-        for p in _bits(item[open_], at, size[open_]):
-            p += start[open_]
-            alive &= (data[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        open_ = open_[alive]
-        out[open_] = at
-        at += 1
+def _probe(data: np.ndarray, item: np.ndarray, start, size) -> np.ndarray:
+    """Levels of items in groups of `size` bits from bit `start` on, each an array or one for all; some at a time."""
+    out = np.zeros(len(item), np.uint8)
+    of = lambda x, at: x[at] if np.ndim(x) else x
+    for i in range(0, len(item), PROBE_ITEMS):
+        some = slice(i, i + PROBE_ITEMS)
+        open_, x, first, width, at = np.arange(i, min(i + PROBE_ITEMS, len(item))), item[some], of(start, some), of(size, some), 1
+        while len(open_) and at < len(MIDDLE):
+            alive = np.ones(len(open_), np.uint8)
+            for p in _bits(x, at, width):
+                p += first
+                alive &= data[(p >> np.uint64(3)).view(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)
+            alive = np.flatnonzero(alive & 1)
+            open_, x, first, width = open_[alive], x[alive], of(first, alive), of(width, alive)
+            out[open_] = at
+            at += 1
     return out
 
 
@@ -266,9 +273,25 @@ def _counted(df: DataFrame, keys, spec: str = "key long, n long", most: int = 1_
     return df.select(F.col("t")).mapInArrow(run, spec)
 
 
+def _new(k: np.ndarray) -> np.ndarray:
+    """Where sorted values differ from the one before."""
+    out = np.ones(len(k), bool)
+    out[1:] = k[1:] != k[:-1]
+    return out
+
+
+def _distinct(k: np.ndarray) -> np.ndarray:
+    """np.unique by a sort: without counts it hashes, which takes many times longer where most values differ."""
+    k = np.sort(k)
+    return k[_new(k)]
+
+
 def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    k, inverse = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-    return k, np.bincount(inverse, np.concatenate([x for _, x in held])).astype(np.int64)
+    k, n = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(k)
+    k = k[order]
+    first = np.flatnonzero(_new(k))
+    return k[first], np.add.reduceat(n[order].astype(np.int64), first) if len(k) else np.zeros(0, np.int64)
 
 
 def _runs(df: DataFrame, groups: int, most: int = 1_000_000) -> DataFrame:
@@ -453,35 +476,35 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", exact:
 def _by_groups(picked: DataFrame, tokens: DataFrame, homes: int, pairs: DataFrame, groups: int, row, schema, run_bytes: int) -> DataFrame:
     """Levels group by group. Groups of bigrams are numbered from 0, those of tokens after them."""
 
-    def chunk(text: pa.Array) -> tuple[Chunk, np.ndarray, np.ndarray]:
-        c = Chunk(*text_buffers(text))
-        return c, group_of(item_of(half_of(c.kinds)), homes), group_of(c.both, groups)
+    def by_home(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        home = group_of(item_of(half_of(kinds)), homes)
+        order = np.argsort(home, kind="stable")
+        return order, home[order]
 
     def ask(text: pa.Array) -> Iterator[tuple[int, bytes]]:
-        c, home, group = chunk(text)
-        for at, keys, first, width in ((group, c.both, 0, 6), (home, c.kinds, groups, 8)):
-            order = np.argsort(at, kind="stable")
-            at, keys = at[order], keys[order]
+        h, offsets = token_hashes(*text_buffers(text))
+        kinds, both = _distinct(h), _distinct(item_of(pair_key(before(h, offsets, END), h)))
+        order, home = by_home(kinds)
+        for at, keys, first, width in ((group_of(both, groups), both, 0, 6), (home, kinds[order], groups, 8)):  # groups are ranges of items: bigrams lie by group
             cuts = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
-            for x, y in zip(cuts, cuts[1:]):
-                yield first + int(at[x]), _planes(keys[x:y], width)
+            for x, y, g in zip(cuts, cuts[1:], at[cuts[:-1]].tolist()):
+                yield first + g, _planes(keys[x:y], width)
 
-    def answer(grp: int, bits: bytes | None, asked: bytes) -> bytes:
-        data = np.frombuffer(bits or bytes(8), np.uint8)
-        probe = lambda x: _probe(data, x, np.zeros(len(x), np.uint64), np.full(len(x), len(data) * 8, np.uint64)).astype(np.uint8)
-        return (probe(_unplanes(asked, 6)) if grp < groups else np.concatenate([probe(x) for x in token_items(_unplanes(asked, 8))])).tobytes()
+    def answer(grp: int, bits: bytes | None, asked: list[bytes]) -> list[bytes]:
+        data, width = np.frombuffer(bits or bytes(8), np.uint8), 6 if grp < groups else 8
+        keys = np.concatenate([_unplanes(x, width) for x in asked])
+        probe = lambda x: _probe(data, x, np.uint64(0), np.uint64(len(data) * 8))
+        out = probe(keys) if grp < groups else np.stack([probe(x) for x in token_items(keys)], axis=1)
+        cuts = np.cumsum([0, *(len(x) // width for x in asked)]).tolist()
+        return [out[x:y].tobytes() for x, y in zip(cuts, cuts[1:])]
 
     def finish(rid: pa.Array, part: list[pa.Array], found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         ids, text, held = part
-        c, home, group = chunk(text)
-        single, follow, both = (np.zeros(n, np.uint8) for n in (len(c.kinds), len(c.kinds), len(c.both)))
-        for g, blob in found:
-            levels = np.frombuffer(blob, np.uint8)
-            if g < groups:
-                both[group == g] = levels
-            else:
-                single[home == g - groups], follow[home == g - groups] = levels[: len(levels) // 2], levels[len(levels) // 2 :]
-        return row(c, (single, follow, both), rid, ids, held)
+        c = Chunk(*text_buffers(text))
+        both = np.frombuffer(b"".join(x for g, x in found if g < groups), np.uint8)  # answers come by group, as the keys were asked
+        tokens = np.zeros((2, len(c.kinds)), np.uint8)
+        tokens[:, by_home(c.kinds)[0]] = np.frombuffer(b"".join(x for g, x in found if g >= groups), np.uint8).reshape(-1, 2).T
+        return row(c, (*tokens, both), rid, ids, held)
 
     bits = pairs.union(tokens.select((F.col("grp") + groups).alias("grp"), "blob"))
     return ask_groups(picked, 1, bits, ask, answer, finish, schema, run_bytes)

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass handles at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Bytes of keys that a group of `ask_groups` answers together.
+ANSWER_BYTES = 8 << 20
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -133,10 +135,11 @@ def ask_groups(df: DataFrame, text: int, bits: DataFrame, ask, answer, finish, s
 
     Documents get a number (rid) and a run (neighbours with some `run_bytes` of text) and are written. A task that reads part of a run
     sends to each group one blob of keys, marked with run and first rid; the task of the group, which holds its bits, sends a blob back;
-    with those the part is finished. A hot key is asked once by each run.
+    with those the part is finished. A hot key is asked once by each run. There are runs times groups of blobs, shorter ones as groups
+    grow in number, so a group answers many together.
 
-    ask(texts) -> (grp, blob) of each group asked; answer(grp, bits or None, blob) -> blob;
-    finish(rids, columns, [(grp, blob)]) -> rows of `schema`. text: which column of df is the text.
+    ask(texts) -> (grp, blob) of each group asked; answer(grp, bits or None, blobs) -> as many blobs;
+    finish(rids, columns, [(grp, blob)] by grp) -> rows of `schema`. text: which column of df is the text.
     """
     kind = type(df.schema)
     spec = kind([*schema_of("run long, rid long").fields, *df.schema.fields])
@@ -162,20 +165,27 @@ def ask_groups(df: DataFrame, text: int, bits: DataFrame, ask, answer, finish, s
                 yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int32()), pa.array(np.full(len(found), run[i])), pa.array(np.full(len(found), rid[i])), pa.array([x for _, x in found], pa.binary())], names=["grp", "run", "first", "blob"])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = -1, None
+        def made(grp: int, bits: bytes | None, rows: list) -> pa.RecordBatch:
+            runs, firsts, asked = zip(*rows)
+            return pa.RecordBatch.from_arrays([pa.array(runs, pa.int64()), pa.array(firsts, pa.int64()), pa.array(np.full(len(rows), grp, np.int32)), pa.array(answer(grp, bits, list(asked)), pa.binary())], names=["run", "first", "grp", "blob"])
+
+        now, held, rows, size = -1, None, [], 0
         for b in batches:
-            grps, runs, firsts = (b.column(k).to_numpy() for k in range(3))
-            out = []
+            grps, runs, firsts = (b.column(k).to_numpy().tolist() for k in range(3))
             for k in range(b.num_rows):
+                if rows and (grps[k] != now or size >= ANSWER_BYTES):
+                    yield made(now, held, rows)
+                    rows, size = [], 0
+                if grps[k] != now:
+                    now, held = grps[k], None
                 blob = b.column(3)[k].as_py()
-                if runs[k] < 0:  # the bits of a group come before its keys
-                    now, held = int(grps[k]), blob
+                if runs[k] < 0:  # the bits of a group come before its keys; some have none
+                    held = blob
                     continue
-                if grps[k] != now:  # a group without any
-                    now, held = int(grps[k]), None
-                out.append((k, answer(now, held, blob)))
-            at = [k for k, _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(runs[at]), pa.array(firsts[at]), pa.array(grps[at]), pa.array([x for _, x in out], pa.binary())], names=["run", "first", "grp", "blob"])
+                rows.append((runs[k], firsts[k], blob))
+                size += len(blob)
+        if rows:
+            yield made(now, held, rows)
 
     def finishes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(rows: list, found: list) -> Iterator[pa.RecordBatch]:
@@ -192,7 +202,7 @@ def ask_groups(df: DataFrame, text: int, bits: DataFrame, ask, answer, finish, s
 
         now, rows, found = None, [], []
         for b in batches:
-            run, grp = b.column(0).to_numpy(), b.column(n_cols + 3).to_numpy()
+            run, first, grp = (b.column(k).to_numpy() for k in (0, 1, n_cols + 3))
             for i, j in parts(run):
                 if run[i] != now:
                     if rows:
@@ -201,7 +211,7 @@ def ask_groups(df: DataFrame, text: int, bits: DataFrame, ask, answer, finish, s
                 n = int(np.searchsorted(grp[i:j], 0))  # the documents come before the answers
                 if n:
                     rows.append(b.slice(i, n))
-                found += [(b.column(1)[k].as_py(), int(grp[k]), b.column(n_cols + 2)[k].as_py()) for k in range(i + n, j)]
+                found += zip(first[i + n : j].tolist(), grp[i + n : j].tolist(), b.column(n_cols + 2).slice(i + n, j - i - n).to_pylist())
         if rows:
             yield from made(rows, found)
 

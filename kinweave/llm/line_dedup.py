@@ -285,13 +285,13 @@ def _by_shards(plain: DataFrame, at: int, shards: DataFrame, bits: int, made, sc
 
     held: dict = {}
 
-    def answer(grp: int, blob: bytes | None, asked: bytes) -> bytes:
-        h = np.frombuffer(asked, np.uint64).reshape(-1, 2)
+    def answer(grp: int, blob: bytes | None, asked: list[bytes]) -> list[bytes]:
         if blob is None:
-            return bytes(len(h))
+            return [bytes(len(x) // 16) for x in asked]
         if held.get("grp") != grp:
             held.update(grp=grp, shard=Shard.load(blob))
-        return (held["shard"].count(np.ascontiguousarray(h[:, 0]), np.ascontiguousarray(h[:, 1])) > 0).tobytes()
+        h = [np.frombuffer(x, np.uint64).reshape(-1, 2) for x in asked]
+        return [(held["shard"].count(np.ascontiguousarray(x[:, 0]), np.ascontiguousarray(x[:, 1])) > 0).tobytes() for x in h]
 
     def finish(rid: pa.Array, columns: list[pa.Array], found: list[tuple[int, bytes]]) -> pa.RecordBatch:
         lines, inverse, kinds, home = distinct(columns[at])

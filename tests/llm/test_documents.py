@@ -7,11 +7,13 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from kinweave.llm import bloom_lm, line_dedup, mixing, quality_rules, queries, scaled_sketch, simhash, suffix_dedup, unigram_pieces
+from kinweave.llm.common import ask_groups
 
 suffix_dedup_segments = suffix_dedup.segments
 SMALL = "/root/testdata/sf0.001"
@@ -676,6 +678,52 @@ def test_lm_keeps_everything(spark, messy):
     assert abs(got[held] - want) < 0.05 * abs(want) and got[other] < 5 * got[held]
 
 
+def test_groups_answer_many_runs_together(spark):
+    """The number of blobs is that of runs times that of groups, so none may cost a pass of its own; answers come back by group."""
+    df = spark.createDataFrame([(k, f"text {k}") for k in range(60)], "id long, text string").coalesce(1)
+    bits = spark.createDataFrame([(g, bytes([g])) for g in range(4)], "grp int, blob binary")
+
+    def answer(grp, held, asked):
+        return [x + bytes([held[0] if held else 99, min(len(asked), 255)]) for x in asked]
+
+    def finish(rid, columns, found):
+        assert [g for g, _ in found] == [0, 1, 2, 3, 4] and len({x[:-2] for _, x in found}) == 1
+        return pa.RecordBatch.from_arrays([columns[0], pa.array([[x[-2] for _, x in found]] * len(rid)), pa.array([min(x[-1] for _, x in found)] * len(rid))], names=["id", "held", "together"])
+
+    out = ask_groups(df, 1, bits, lambda texts: [(g, texts[0].as_py().encode()) for g in range(5)], answer, finish, "id long, held array<long>, together long", 1).collect()
+    assert sorted(r["id"] for r in out) == list(range(60)) and all(r["held"] == [0, 1, 2, 3, 99] for r in out)
+    assert min(r["together"] for r in out) == 60  # 60 runs: one pass for each group
+
+
+def test_lm_many_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id % 4 = 0")
+    few, many = ({r["doc_id"]: r["score"] for r in bloom_lm.score(docs, group_tokens=1_000, **o).collect()} for o in ({"broadcast_bits": 1 << 29}, {"run_bytes": 20_000}))
+    assert len(few) == docs.count() and few.keys() == many.keys() and all(abs(few[k] - many[k]) <= 1e-9 * abs(few[k]) for k in few)
+
+
+def test_probe_in_parts(monkeypatch):
+    keys = bloom_lm.item_of(np.arange(5_000, dtype=np.uint64))
+    data = np.frombuffer(bloom_lm.fill(keys, np.arange(5_000) % 9 + 1), np.uint8)
+    at_once = bloom_lm._probe(data, keys, np.uint64(0), np.uint64(len(data) * 8))
+    monkeypatch.setattr(bloom_lm, "PROBE_ITEMS", 700)
+    for start, size in ((np.uint64(0), np.uint64(len(data) * 8)), (np.zeros(5_000, np.uint64), np.full(5_000, len(data) * 8, np.uint64))):
+        assert (bloom_lm._probe(data, keys, start, size) == at_once).all()
+    assert (at_once >= np.arange(5_000) % 9 + 1).all()
+
+
+def test_merged_and_distinct():
+    rng = np.random.default_rng(3)
+    parts = [np.unique(rng.integers(0, 50, 40).astype(np.uint64), return_counts=True) for _ in range(5)]
+    k, n = bloom_lm._merged(parts)
+    want = Counter()
+    for x, c in parts:
+        want.update(dict(zip(x.tolist(), c.tolist())))
+    assert dict(zip(k.tolist(), n.tolist())) == want and (np.diff(k.astype(np.int64)) > 0).all()
+    none = np.zeros(0, np.uint64)
+    assert not len(bloom_lm._merged([(none, none)])[1]) and not len(bloom_lm._distinct(none))
+    assert bloom_lm._distinct(np.array([3, 1, 3, 0], np.uint64)).tolist() == [0, 1, 3]
+
+
 def test_token_hashes():
     """Words by content alone; those that collide in polynomials modulo 2**64 are told apart."""
     thue = [0]
