@@ -13,6 +13,25 @@ from kinweave.sources import adapters, packed
 from kinweave.streaming import crawl
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize(("block", "long"), [(7, 3), (1 << 21, 4096)])
+def test_wedges_by_blocks(spark, monkeypatch, kind, block, long):
+    monkeypatch.setattr(metrics, "BLOCK_LINKS", block)
+    monkeypatch.setattr(metrics, "LONG_LINKS", long)
+    rng = random.Random(5)
+    name = (lambda k: f"x{k * 37 % 101}") if kind == "string" else (lambda k: k * 1_000_003 - 5_000_000)
+    rows = {(a, b) for a, b in ((rng.randrange(30), rng.randrange(30)) for _ in range(260))} | {(a, 0) for a in range(1, 30)}
+    rows = [(name(a), name(b), 0.5) for a, b in rows] + [(name(1), name(2), 0.0), (name(40), name(41), 0.5)]
+    near = {}
+    for a, b, s in rows:
+        if s > 0 and a != b:
+            near.setdefault(a, set()).add(b)
+    want = {(a, len(x) * (len(x) - 1) // 2, sum(c in near.get(b, ()) or b in near.get(c, ()) for b, c in combinations(x, 2))) for a, x in near.items() if len(x) > 1}
+    got = metrics.wedges(spark.createDataFrame(rows, f"src {kind}, dst {kind}, sim double"))
+    assert {tuple(r) for r in got.collect()} == want
+    assert metrics.wedges(spark.createDataFrame([], f"src {kind}, dst {kind}, sim double")).count() == 0
+
+
 def test_partitions_follow_the_rows(spark, monkeypatch):
     monkeypatch.setattr(store, "TASK_ROWS", 64)
     before = spark.conf.get("spark.sql.shuffle.partitions")
