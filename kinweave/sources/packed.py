@@ -27,7 +27,7 @@ from ..store import ship, table
 
 _PAIR = np.dtype([("id", "V16"), ("sim", "<f4")])
 #: Edges that one part file should hold, and those that are decoded at once.
-PART_EDGES, BATCH_EDGES = 4_000_000, 1 << 18
+PART_EDGES, BATCH_EDGES = 1_000_000, 1 << 18
 
 
 def _name(raw: bytes) -> str:
@@ -107,13 +107,12 @@ def _bytes16(x: str) -> Column:
 def write_adjacency(edges: DataFrame, folder: str, files: int | None = None) -> DataFrame:
     """Write edges (src, dst, sim[, pos]) as part files under a folder; returns (id, file, offset, connections).
 
-    Owners go to parts by their hash. Lists are streamed through the task of a part in order, so none is held as one row.
+    There are `files` of them, or more where these would hold over PART_EDGES edges each. Owners go to parts by their hash. Lists are streamed through the task of a part in order, so none is held as one row.
     """
     spark = edges.sparkSession
     ship(spark)
     order = F.col("pos") if "pos" in edges.columns else -F.col("sim")
-    if files is None:
-        files = max(1, -(-edges.count() // PART_EDGES))
+    files = max(files or 1, -(-edges.count() // PART_EDGES))
     part = F.pmod(F.xxhash64("src"), F.lit(files)).cast("int")
     sized = edges.select("src", "dst", F.col("sim").cast("float").alias("sim"), order.alias("o"), part.alias("part")).withColumn("n", F.count("*").over(Window.partitionBy("src")))
     rows = sized.repartitionById(files, "part").sortWithinPartitions("src", "o", "dst").select(_bytes16("src").alias("src"), _bytes16("dst").alias("dst"), "sim", "n")
@@ -267,17 +266,32 @@ class Packed:
 
 
 def lookup_lists(spark: SparkSession, folder: str, wanted: DataFrame) -> DataFrame:
-    """(id, dst, sim, pos) of wanted(id, file, offset): lists by random access, those of one file in one task."""
+    """(id, dst, sim, pos) of wanted(id, file, offset): lists by random access, those of one file in one task, which reads it once."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, d, s, k) for i, o, content in zip(f["id"], f["offset"], f["content"]) for k, (d, s) in enumerate(connections_at(content, int(o), i))]
-            yield pd.DataFrame(rows, columns=["id", "dst", "sim", "pos"]).astype({"sim": "float32"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content, asked in zip(b.column(0), b.column(1)):
+                data = np.frombuffer(content.as_buffer(), np.uint8)
+                at, owner = asked.values.field("offset").to_numpy(), asked.values.field("id")
+                uid = np.frombuffer(bytes.fromhex("".join(owner.to_pylist()).replace("-", "")), np.uint8).reshape(-1, 16)
+                there = np.flatnonzero((at >= 0) & (at + 20 <= len(data)))
+                there = there[(data[at[there][:, None] + np.arange(16)] == uid[there]).all(axis=1)]
+                n = np.ascontiguousarray(data[at[there][:, None] + np.arange(16, 20)]).view("<u4").reshape(-1).astype(np.int64)
+                whole = at[there] + 20 + 20 * n <= len(data)
+                there, n = there[whole], n[whole]
+                ends, i = np.cumsum(n), 0
+                while i < len(there):
+                    j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + BATCH_EDGES, side="right")))
+                    k, m = there[i:j], n[i:j]
+                    pos = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+                    pairs = data[(np.repeat(at[k], m) + 20 + 20 * pos)[:, None] + np.arange(20)]
+                    sims = np.ascontiguousarray(pairs[:, 16:]).view("<f4").reshape(-1)
+                    yield pa.RecordBatch.from_arrays([owner.take(pa.array(np.repeat(k, m))), _hexed(pairs[:, :16]), pa.array(sims), pa.array(pos.astype(np.int32))], names=["id", "dst", "sim", "pos"])
+                    i = j
 
     ship(spark)
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), "content")
-    cut = wanted.select("id", "file", "offset", F.col("offset").alias("at")).join(files, "file")
-    # of each file only the record asked for leaves the JVM
-    size = F.expr("cast(conv(concat(hex(substring(content, cast(offset as int) + 20, 1)), hex(substring(content, cast(offset as int) + 19, 1)), hex(substring(content, cast(offset as int) + 18, 1)), hex(substring(content, cast(offset as int) + 17, 1))), 16, 10) as int)")
-    one = cut.withColumn("size", size).select("id", F.lit(0).cast("long").alias("offset"), F.expr("substring(content, cast(at as int) + 1, 20 + 20 * size)").alias("content"))
-    return one.mapInPandas(run, "id string, dst string, sim float, pos int")
+    asked = wanted.groupBy("file").agg(F.collect_list(F.struct("id", F.col("offset").cast("long").alias("offset"))).alias("asked"))
+    # a row for each file, so its bytes move once at most; as many tasks as files
+    each = files.join(asked.hint("shuffle_hash"), "file").select("content", "asked")
+    return each.mapInArrow(run, "id string, dst string, sim float, pos int").withColumn("dst", _dashed(F.col("dst")))

@@ -57,3 +57,17 @@ def test_partitions_follow_the_rows(spark, monkeypatch):
         assert edges.top_edges(edges.transpose(got), 0.0, 3).rdd.getNumPartitions() >= len(want) / 64
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_packed_files_are_bounded_and_read_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(packed, "PART_EDGES", 10)
+    u = lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, str(k)))
+    rows = [(u(a), u(b), (a + b) / 64) for a in range(20) for b in range(a % 5 + 1)]
+    index = packed.write_adjacency(spark.createDataFrame(rows, "src string, dst string, sim float"), f"{tmp_path}/bin", 2)
+    assert index.select("file").distinct().count() > 2
+    wrong = index.limit(3).selectExpr("id", "file", "offset + 4 AS offset", "connections").union(index.limit(3).selectExpr("id", "file", "1000000L", "connections"))
+    found = packed.lookup_lists(spark, f"{tmp_path}/bin", index.where("id < '8'").union(wrong))
+    got = [(r["id"], r["dst"], r["sim"]) for r in found.collect()]
+    assert sorted(got) == sorted(r for r in rows if r[0] < "8") and 0 < len(got) < len(rows)
+    plan = found._jdf.queryExecution().toString()
+    assert "substring(content" not in plan  # the file's bytes beside every list that is wanted
