@@ -71,3 +71,17 @@ def test_packed_files_are_bounded_and_read_once(spark, tmp_path, monkeypatch):
     assert sorted(got) == sorted(r for r in rows if r[0] < "8") and 0 < len(got) < len(rows)
     plan = found._jdf.queryExecution().toString()
     assert "substring(content" not in plan  # the file's bytes beside every list that is wanted
+
+
+def test_walks_are_the_same_wherever_rows_lie(spark):
+    rng = random.Random(9)
+    e = spark.createDataFrame([(a, b, rng.random()) for a in range(60) for b in rng.sample(range(80), 4)], "src long, dst long, sim double")
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            start = spark.range(3).repartition(int(n)).select("id")
+            got.append({r["id"] for r in sample.random_walks(e.repartition(int(n)), start, walks=3, steps=4).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and len(got[0]) > 3
