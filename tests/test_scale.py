@@ -13,6 +13,42 @@ from kinweave.sources import adapters, packed
 from kinweave.streaming import crawl
 
 
+def asked_one_batch_after_the_other(near, seeds, batch, most):
+    queued, done, k = {s: 0 for s in seeds}, [], 0
+    while (now := sorted((r, x) for x, r in queued.items() if x not in done)[: min(batch, most - len(done))]):
+        k += 1
+        done += [x for _, x in now]
+        for _, x in now:
+            for y in near.get(x, ()):
+                queued.setdefault(y, k)
+    return set(done)
+
+
+@pytest.mark.parametrize(("batch", "most"), [(3, 5), (3, 11), (4, 23), (1, 17)])
+def test_crawl_in_the_order_of_batches(spark, batch, most):
+    rng = random.Random(batch * most)
+    rows = sorted({(f"n{a:02d}", f"n{b:02d}") for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(90))} | {(f"n{k:02d}", f"n{(k * 7 + 3) % 40:02d}") for k in range(40)})
+    near = {}
+    for a, b in rows:
+        near.setdefault(a, []).append(b)
+    recorded = edges.adjacency(spark.createDataFrame([(a, b, 0.5) for a, b in rows], "src string, dst string, sim double"))
+    got = crawl.crawl(recorded, ["n00", "n05"], most=most, batch=batch)
+    want = asked_one_batch_after_the_other(near, ["n00", "n05"], batch, most)
+    assert {r["id"] for r in got.select("id").distinct().collect()} == want
+    assert got.count() == sum(len(near[x]) for x in want)
+
+
+def test_crawl_takes_rounds_by_hops_not_by_batches(spark, tmp_path, monkeypatch):
+    saved, save = [], crawl.save_state
+    monkeypatch.setattr(crawl, "save_state", lambda *a: saved.append(1) or save(*a))
+    rows = [("hub", f"n{k:03d}", 0.5) for k in range(100)] + [(f"n{k:03d}", "hub", 0.5) for k in range(100)]
+    recorded = edges.adjacency(spark.createDataFrame(rows, "src string, dst string, sim double"))
+    assert crawl.crawl(recorded, ["hub"], batch=2, save=f"{tmp_path}/state").count() == 200
+    assert len(saved) <= 4
+    done, queue = crawl.load_state(spark, f"{tmp_path}/state")
+    assert done.count() == 101 and queue.isEmpty()
+
+
 @pytest.mark.parametrize("kind", ["long", "string"])
 @pytest.mark.parametrize(("block", "long"), [(7, 3), (1 << 21, 4096)])
 def test_wedges_by_blocks(spark, monkeypatch, kind, block, long):
